@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -50,7 +51,11 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
 
 
 def arrow_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound the memory of Python workers that read whole texts: few rows an Arrow batch."""
+    """Prepare for Python workers that read whole texts: few rows an Arrow batch, and this package on their path."""
+    home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    path = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if home not in path.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (home, path) if x)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > rows:
         spark.conf.set(key, str(rows))
