@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from muster.llm import simhash
+from muster.llm import simhash, token_counts
 
 QUERIES = {
+    "op8_token_counts": token_counts.op8_token_counts,
     "op1_simhash": simhash.op1_simhash,
 }
 ORACLES: dict[str, str] = {}
