@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from muster.llm import langid, simhash, token_counts
+from muster.llm import langid, simhash, token_counts, toxicity
 
 QUERIES = {
+    "op4_toxicity": toxicity.op4_toxicity,
     "op10_langid": langid.op10_langid,
     "op8_token_counts": token_counts.op8_token_counts,
     "op1_simhash": simhash.op1_simhash,
