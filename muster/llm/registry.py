@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from muster.llm import langid, simhash, token_counts, toxicity
+from muster.llm import langid, secrets, simhash, token_counts, toxicity
 
 QUERIES = {
+    "op1_simhash": simhash.op1_simhash,
     "op4_toxicity": toxicity.op4_toxicity,
-    "op10_langid": langid.op10_langid,
     "op8_token_counts": token_counts.op8_token_counts,
-    "op1_simhash": simhash.op1_simhash,
+    "op10_langid": langid.op10_langid,
+    "op2_secrets": secrets.op2_secrets,
+}
+ORACLES: dict[str, str] = {
+    "op2_secrets": secrets.OP2_SQL,
 }
-ORACLES: dict[str, str] = {}
