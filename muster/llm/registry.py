@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from muster.llm import langid, secrets, simhash, token_counts, toxicity
+from muster.llm import chat, langid, secrets, simhash, token_counts, toxicity
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -10,7 +10,9 @@ QUERIES = {
     "op8_token_counts": token_counts.op8_token_counts,
     "op10_langid": langid.op10_langid,
     "op2_secrets": secrets.op2_secrets,
+    "op5_chat": chat.op5_chat,
 }
 ORACLES: dict[str, str] = {
     "op2_secrets": secrets.OP2_SQL,
+    "op5_chat": chat.OP5_SQL,
 }
