@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from muster.llm import chat, langid, secrets, simhash, token_counts, toxicity
+from muster.llm import chat, langid, mixing, secrets, simhash, token_counts, toxicity
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -11,8 +11,10 @@ QUERIES = {
     "op10_langid": langid.op10_langid,
     "op2_secrets": secrets.op2_secrets,
     "op5_chat": chat.op5_chat,
+    "op7_mix": mixing.op7_mix,
 }
 ORACLES: dict[str, str] = {
     "op2_secrets": secrets.OP2_SQL,
     "op5_chat": chat.OP5_SQL,
+    "op7_mix": mixing.OP7_SQL,
 }
