@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from muster.llm import chat, langid, mixing, secrets, simhash, token_counts, toxicity
+from muster.llm import chat, langid, line_dedup, mixing, secrets, simhash, token_counts, toxicity
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -12,9 +12,11 @@ QUERIES = {
     "op2_secrets": secrets.op2_secrets,
     "op5_chat": chat.op5_chat,
     "op7_mix": mixing.op7_mix,
+    "op9_line_dedup": line_dedup.op9_line_dedup,
 }
 ORACLES: dict[str, str] = {
     "op2_secrets": secrets.OP2_SQL,
     "op5_chat": chat.OP5_SQL,
     "op7_mix": mixing.OP7_SQL,
+    "op9_line_dedup": line_dedup.OP9_SQL,
 }
