@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from muster.llm import chat, langid, line_dedup, mixing, quality_crf, secrets, simhash, token_counts, toxicity
+from muster.llm import chat, decontam, langid, line_dedup, mixing, quality_crf, secrets, simhash, token_counts, toxicity
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op3_quality": quality_crf.op3_quality,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op6_decontam": decontam.op6_decontam,
     "op8_token_counts": token_counts.op8_token_counts,
     "op10_langid": langid.op10_langid,
     "op2_secrets": secrets.op2_secrets,
