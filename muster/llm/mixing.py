@@ -41,10 +41,12 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: in
     level = (
         F.sum("source_size").over(total).cast("double") - F.coalesce(F.sum("limit").over(before), F.lit(0.0))
     ) / (F.sum("w").over(total) - F.coalesce(F.sum("w").over(before), F.lit(0.0)))
-    rows = rows.withColumn("level", level).withColumn("capped", F.col("limit") <= F.col("w") * F.col("level"))
-    # the level of the first source that isn't capped holds for all after it
-    first = F.min(F.when(~F.col("capped"), F.col("level"))).over(total)
-    target = F.when(F.col("capped"), F.col("limit")).otherwise(F.col("w") * first)
+    turn = F.row_number().over(by_ratio)
+    rows = rows.withColumn("level", level).withColumn("at", turn)
+    # the level at the first source that isn't capped there holds for it and all after it
+    free = F.when(F.col("limit") > F.col("w") * F.col("level"), F.col("at"))
+    rows = rows.withColumn("final", F.min_by("level", free).over(total))
+    target = F.when(F.col("final").isNull(), F.col("limit")).otherwise(F.least("limit", F.col("w") * F.col("final")))
     return rows.select("source", "source_size", target.alias("target"))
 
 
@@ -103,8 +105,8 @@ weighed AS (SELECT *, ([{weights}]::DOUBLE[])[(row_number() OVER (ORDER BY sourc
 levels AS (SELECT *, (sum(source_size) OVER ()::DOUBLE - coalesce(sum(lim) OVER b, 0)) /
   (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS level FROM weighed
   WINDOW b AS (ORDER BY lim / w, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-targets AS (SELECT source, source_size, CASE WHEN lim <= w * level THEN lim
-  ELSE w * min(CASE WHEN lim > w * level THEN level END) OVER () END AS target FROM levels),
+finals AS (SELECT arg_min(level, lim / w) AS final FROM levels WHERE lim > w * level),
+targets AS (SELECT source, source_size, least(lim, w * final) AS target FROM levels, finals),
 rated AS (SELECT sized.*, source_size, target,
   CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
   ('0x' || md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'null'))[1:13])::BIGINT::DOUBLE / {float(1 << 52)!r} AS u

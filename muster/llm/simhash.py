@@ -164,3 +164,152 @@ def op1_simhash(spark, sf_dir: str) -> DataFrame:
     return simhash_components(docs, words=3, tau=2).select(
         F.col("id").alias("doc_id"), fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id"
     )
+
+
+# Near copies by similarity. The sign of a vote is a weak witness of a Jaccard similarity of 0.8: the measured distance of such
+# pairs on 64 bits is up to 17, where no chain of segments is selective. The fingerprint of this form therefore has
+# minima of hashed shingles as its symbols (each differs with the probability of one minus the similarity). Segments
+# of the ring are join keys again, and the ring's budget prunes the pairs before their texts are compared.
+SLOTS, BAND = 64, 4
+
+
+def slot_budget(similarity: float) -> int:
+    """Differing slots that a pair at ``similarity`` stays within but for one case in about 30,000 (four deviations)."""
+    miss = 1.0 - similarity
+    return int(SLOTS * miss + 4.0 * (SLOTS * miss * (1.0 - miss)) ** 0.5)
+
+
+def shingle_set(text: bytes, words: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text, words))
+
+
+def slot_fingerprint(text: bytes | None, words: int) -> np.ndarray:
+    """``SLOTS`` minima of the hashed shingle set, 32 bits each; all zero for a text without words."""
+    with np.errstate(over="ignore"):
+        hashes = shingle_set(text or b"", words)
+        if not len(hashes):
+            return np.zeros(SLOTS, np.uint32)
+        low = np.full(SLOTS, np.iinfo(np.uint64).max, np.uint64)
+        for at in range(0, len(hashes), 1 << 12):
+            mixed = (hashes[at : at + (1 << 12), None] ^ MIX_A[None, :]) * MIX_B[None, :]
+            low = np.minimum(low, (mixed ^ (mixed >> np.uint64(31))).min(axis=0))
+        return (low >> np.uint64(16)).astype(np.uint32)
+
+
+_rng = np.random.default_rng(SEED)
+MIX_A = _rng.integers(0, 1 << 63, SLOTS, dtype=np.uint64)
+MIX_B = _rng.integers(0, 1 << 63, SLOTS, dtype=np.uint64) | np.uint64(1)
+
+
+def _slot_column(text: Column, words: int) -> Column:
+    @F.pandas_udf("array<int>")
+    def apply(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([slot_fingerprint(t, words).view(np.int32).tolist() for t in texts], dtype=object)
+
+    return apply(text.cast("binary"))
+
+
+def _similar(a: Column, b: Column, words: int, similarity: float) -> Column:
+    """Exact Jaccard similarity of the two texts' shingle sets."""
+
+    @F.pandas_udf("boolean")
+    def apply(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for left, right in batches:
+            out = []
+            for x, y in zip(left, right):
+                p, q = shingle_set(x or b"", words), shingle_set(y or b"", words)
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                out.append(bool(both >= similarity * (len(p) + len(q) - both)))
+            yield pd.Series(out, dtype=bool)
+
+    return apply(a.cast("binary"), b.cast("binary"))
+
+
+def _slots_close(a: Column, b: Column, budget: int) -> Column:
+    """The whole ring's budget; the equal segment that made the pair is its chain's first link."""
+    whole = sum((a[i] != b[i]).cast("int") for i in range(1, SLOTS)) + (a[0] != b[0]).cast("int")
+    return whole <= budget
+
+
+def similar_components(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, crowded: int = 40
+) -> DataFrame:
+    """``(id, text_hash, component)``: rows whose texts are connected by pairs at ``similarity`` or more.
+
+    Equal slot fingerprints (exact copies, but for chance) form one class first. Classes that agree on one whole
+    segment of the ring are candidates; the others' chance of a pair at 0.8 is 2 in 10,000. Buckets of up to
+    ``crowded`` classes give all pairs. In a larger bucket every class is checked against the bucket's least class; then,
+    exactly, each class that is still apart from it is paired with the whole bucket. All pairs are verified on the
+    texts' exact shingle sets, so distinct texts below ``similarity`` never link.
+    """
+    arrow_batches(docs.sparkSession)
+    text = F.col(f"`{text_col}`")
+    rows = materialize(
+        docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("text_hash"), _slot_column(text, words).alias("fp")),
+        "slots",
+    )
+    key = F.xxhash64("fp")
+    # a class is named by its least text hash, which also names the text that stands for it
+    classes = materialize(
+        rows.groupBy(key.alias("c")).agg(F.min("text_hash").alias("node"), F.first("fp").alias("fp")), "slot-classes"
+    )
+    bands = F.array(*[F.xxhash64(F.lit(j), F.slice("fp", j * BAND + 1, BAND)) for j in range(SLOTS // BAND)])
+    keyed = classes.select("node", "fp", F.explode(bands).alias("k"))
+    sizes = keyed.groupBy("k").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).where("n > 1")
+    shared = materialize(keyed.join(sizes, "k"), "slot-buckets")
+    budget = slot_budget(similarity)
+    few = shared.where(F.col("n") <= crowded)
+    a = few.select("k", F.col("node").alias("a"), F.col("fp").alias("fa"))
+    b = few.select("k", F.col("node").alias("b"), F.col("fp").alias("fb"))
+    close = (F.col("a") < F.col("b")) & _slots_close(F.col("fa"), F.col("fb"), budget)
+    pairs = a.join(b, (a["k"] == b["k"]) & close).select("a", "b")
+    many = shared.where(F.col("n") > crowded)
+    pairs = pairs.unionByName(many.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))).distinct()
+    texts = docs.select(F.xxhash64(text).alias("h"), text.alias("t"))
+    linked = materialize(_verified(pairs, texts, words, similarity), "slot-links")
+    labels = materialize(connected_components(linked), "slot-labels")
+    # exact rest of the crowded buckets: classes not yet with their pivot meet the whole bucket
+    placed = labels.withColumnRenamed("component", "l")
+    named = many.select("k", "node", "pivot", "fp").join(placed, "node", "left").withColumn("l", F.coalesce("l", "node"))
+    home = named.where("node = pivot").select("k", F.col("l").alias("home"))
+    apart = named.join(home, "k").where("l <> home").select("k", F.col("node").alias("a"), F.col("fp").alias("fa"), F.col("l").alias("la"))
+    whole = named.select("k", F.col("node").alias("b"), F.col("fp").alias("fb"), F.col("l").alias("lb"))
+    rest = apart.join(whole, (apart["k"] == whole["k"]) & (F.col("la") != F.col("lb")) & _slots_close(F.col("fa"), F.col("fb"), budget))
+    rest = materialize(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "slot-rest")
+    if rest.limit(1).count():
+        more = materialize(_verified(rest, texts, words, similarity), "slot-links")
+        labels = connected_components(linked.unionByName(more))
+    own = classes.join(labels, "node", "left").select("c", F.coalesce("component", "node").alias("component"))
+    return rows.select("id", "text_hash", key.alias("c")).join(own, "c").select("id", "text_hash", "component")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Pairs of text hashes whose texts are similar; only texts that some pair needs move."""
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
+    held = materialize(texts.join(needed, "h", "left_semi").dropDuplicates(["h"]), "pair-texts")
+    one = held.select(F.col("h").alias("a"), F.col("t").alias("ta"))
+    two = held.select(F.col("h").alias("b"), F.col("t").alias("tb"))
+    both = pairs.join(one, "a").join(two, "b")
+    return both.where(_similar(F.col("ta"), F.col("tb"), words, similarity)).select("a", "b")
+
+
+def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` with all its columns, one document of each group of near copies: the one with the least doc_id.
+
+    Rows with a null doc_id are compared like any other but only stay if no member of their group has an id, and
+    then all of them stay. Rows that repeat both doc_id and text are one document. Null and empty texts are one
+    group.
+    """
+    groups = similar_components(docs.select("doc_id", "text"), words=words, similarity=similarity)
+    first = groups.groupBy("component").agg(F.min("id").alias("least"))
+    keep = groups.join(first, "component").where(F.col("id").eqNullSafe(F.col("least"))).select(
+        F.col("id").alias("__id"), F.col("text_hash").alias("__th"), "component"
+    )
+    # rows that repeat a doc_id with other texts may share the group: one text stays
+    keep = keep.groupBy("component", "__id").agg(F.min("__th").alias("__th")).drop("component")
+    rows = docs.select(packed(docs), F.xxhash64("text").alias("__h"))
+    kept = rows.join(keep, F.col("__row.doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__th")), "left_semi")
+    turn = Window.partitionBy(F.col("__row.doc_id"), "__h").orderBy(F.lit(0))
+    again = kept.withColumn("__n", F.when(F.col("__row.doc_id").isNull(), 1).otherwise(F.row_number().over(turn)))
+    return again.where("__n = 1").select("__row.*")
