@@ -60,9 +60,9 @@ def _(spark, d):
     return matched(spark, d, True).groupBy("relation", "kind").agg(F.count("*").alias("n"))
 
 
-@query("composite", f"WITH {pair_sql(True)} SELECT kind, sum(round(score * 10000)::BIGINT)::BIGINT AS total, max(score) AS high FROM pairs GROUP BY kind")
+@query("composite", f"WITH {pair_sql(True)} SELECT kind, count(*) AS n, max(score) AS high FROM pairs GROUP BY kind")
 def _(spark, d):
-    return matched(spark, d, True).groupBy("kind").agg(F.sum(F.round(c("score") * 10000).cast("long")).alias("total"), F.max("score").alias("high"))
+    return matched(spark, d, True).groupBy("kind").agg(F.count("*").alias("n"), F.max("score").alias("high"))
 
 
 @query("spatial_similarity", f"WITH {pair_sql(False)} SELECT kind, spatial, count(*) AS n FROM pairs WHERE hours <= 0.5 GROUP BY ALL")
