@@ -9,14 +9,13 @@ words means one word inserted there. The earliest line of each key is verified w
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from muster.runtime import broadcast_if_small, materialize, packed
 
 MIN_WORDS = 3  # shorter lines are never dropped
 NEAR_WORDS = 10
-BLOCK_WORDS = 5  # an edit of one word leaves the first or the last of these alone
 BROADCAST_LINES = 1_000_000  # 8 bytes each
 
 
@@ -38,9 +37,14 @@ def line_table(docs: DataFrame) -> DataFrame:
 
 
 def _near_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Hashes of classes that an earlier class lies within one word of."""
+    """Hashes of classes that an earlier class lies within one word of.
+
+    Two such lines agree on the first or on the last half of the shorter one, so only lines that share a half with another
+    distinct line emit variants. A variant's key is a sum over its words of hashes of word and place, so all
+    variants of a line take time linear in its length, however long it is.
+    """
     big = classes.where(F.col("n") >= NEAR_WORDS)
-    ends = big.select("h", F.explode(F.array(F.struct(F.lit(0).alias("e"), "head"), F.struct(F.lit(1).alias("e"), F.col("tail").alias("head")))).alias("x"))
+    ends = big.select("h", F.explode(F.array_distinct(F.array("x1", "x2", "x3", "x4"))).alias("x"))
     crowded = ends.groupBy("x").agg(F.count("*").alias("c")).where("c > 1")
     alive = broadcast_if_small(
         materialize(ends.join(crowded, "x").select("h").distinct(), "alive"), BROADCAST_LINES
@@ -48,26 +52,27 @@ def _near_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
     again = line_table(docs).where(F.col("n") >= NEAR_WORDS).select(F.xxhash64("line").alias("h"), "line")
     words = again.join(alive, "h", "left_semi").groupBy("h").agg(F.first("line").alias("line"))
     known = materialize(
-        words.join(big.select("h", "n", "first_doc", "first_pos"), "h").select(
-            "h", "n", F.struct("first_doc", "first_pos", "h").alias("o"), "line"
-        ),
-        "near-lines",
-    )
-    w = F.split("line", " ")
-    without = F.transform(
-        F.sequence(F.lit(1), F.size(w)),
-        lambda i: F.struct(
-            i.alias("i"),
-            F.xxhash64(F.concat(F.slice(w, F.lit(1), i - 1), F.slice(w, i + 1, F.size(w)))).alias("v"),
-        ),
+        words.join(big.select("h", "n", F.col("first_doc").alias("fd"), F.col("first_pos").alias("fp")), "h"), "near-lines"
     )
-    variants = known.select("h", "o", "n", F.explode(without).alias("x")).select("h", "o", "n", "x.i", "x.v")
+    w = known.repartition("h").select("h", "fd", "fp", "n", F.posexplode(F.split("line", " ")).alias("i", "w"))
+    own, moved = F.xxhash64("w", "i"), F.xxhash64("w", F.col("i") - 1)
+    for name, x in (("a", own), ("b", moved)):  # 40 bits each: sums of millions of words stay in range
+        w = w.withColumn(f"{name}1", F.shiftrightunsigned(x, 24)).withColumn(f"{name}2", x.bitwiseAND(F.lit((1 << 40) - 1)))
+    line = Window.partitionBy("h").orderBy("i")
+    upto, whole = line.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("h")
+    key = lambda j: (F.sum(f"a{j}").over(upto) - F.col(f"a{j}") + F.sum(f"b{j}").over(whole) - F.sum(f"b{j}").over(upto)).alias(f"v{j}")
+    variants = w.select("h", "fd", "fp", "n", (F.col("i") + 1).alias("i"), key(1), key(2)).repartition("v1", "v2", "n")
     # one word replaced at i: all lines of a key are within one word of each other; the earliest is enough
-    least = variants.groupBy("v", "i", "n").agg(F.min("o").alias("p"), F.count("*").alias("c")).where("c > 1")
-    swapped = variants.join(least, ["v", "i", "n"]).where("p < o").select("h", F.col("p.h").alias("p"), "i", F.lit("swap").alias("how"))
-    # one word inserted at i: the longer line's key is the shorter line's whole words
-    whole = known.select(F.xxhash64(w).alias("v"), F.col("h").alias("sh"), F.col("o").alias("so"), (F.col("n") + 1).alias("n"))
-    grown = variants.join(whole, ["v", "n"])
+    first = F.first("h").over(Window.partitionBy("v1", "v2", "n", "i").orderBy(F.asc_nulls_last("fd"), "fp", "h"))
+    swapped = variants.select("h", first.alias("p"), "i", F.lit("swap").alias("how")).where("p <> h")
+    # one word inserted at i: the longer line's key is the shorter line's whole sum
+    sums = w.groupBy("h", "fd", "fp", "n").agg(F.sum("a1").alias("v1"), F.sum("a2").alias("v2"))
+    short = sums.select("v1", "v2", (F.col("n") + 1).alias("n"), F.col("h").alias("sh"), F.col("fd").alias("sd"), F.col("fp").alias("sp"))
+    grown = variants.join(short, ["v1", "v2", "n"])
+    last = lambda d: F.coalesce(d.isNull().cast("int"), F.lit(0))
+    a = F.struct(last(F.col("fd")).alias("k"), F.col("fd").alias("d"), F.col("fp").alias("q"), F.col("h").alias("h"))
+    b = F.struct(last(F.col("sd")).alias("k"), F.col("sd").alias("d"), F.col("sp").alias("q"), F.col("sh").alias("h"))
+    grown = grown.select("h", "sh", "i", a.alias("o"), b.alias("so"))
     longer = grown.where("so < o").select("h", F.col("sh").alias("p"), "i", F.lit("cut").alias("how"))
     shorter = (
         grown.where("o < so").groupBy("sh").agg(F.min(F.struct("o", "i")).alias("m"))
@@ -82,21 +87,22 @@ def _near_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
         .when(F.col("how") == "cut", drop(F.col("a")) == F.col("b"))
         .otherwise(F.col("a") == drop(F.col("b")))
     )
-    return pairs.join(a, "h").join(b, "p").where(same).select("h").distinct()
+    # a line of many places is verified once for each partner and place, in one pass over the words
+    return pairs.distinct().join(a, "h").join(b, "p").where(same).select("h").distinct()
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """``docs(doc_id, text)`` -> ``(doc_id, th, dropped)``: sorted numbers of each text's dropped lines, where any."""
     rows = line_table(docs).select(
         "doc_id", "th", "pos", "n", F.xxhash64("line").alias("h"),
-        F.xxhash64(F.substring_index("line", " ", BLOCK_WORDS)).alias("head"),
-        F.xxhash64(F.substring_index("line", " ", -BLOCK_WORDS)).alias("tail"),
+        *[F.when(F.col("n") >= NEAR_WORDS, F.expr(f"xxhash64({k}, {side}, substring_index(line, ' ', cast({side} * ({k}) AS int)))")).alias(f"x{j}")
+          for j, (k, side) in enumerate((("n div 2", 1), ("n div 2", -1), ("(n - 1) div 2", 1), ("(n - 1) div 2", -1)), 1)],
     )
     rows = materialize(rows, "lines")
     first = (
         rows.groupBy("h").agg(
             F.min("doc_id").alias("first_doc"), F.min_by("pos", "doc_id").alias("first_pos"), F.count("*").alias("c"),
-            F.min("n").alias("n"), F.min("head").alias("head"), F.min("tail").alias("tail"),
+            F.min("n").alias("n"), *[F.min(f"x{j}").alias(f"x{j}") for j in range(1, 5)],
         )
     )
     classes = materialize(first, "line-classes")
