@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from muster.runtime import broadcast_if_small, materialize, packed
+from muster.runtime import broadcast_if_small, materialize, packed, release
 
 MIN_WORDS = 3  # shorter lines are never dropped
 NEAR_WORDS = 10
@@ -36,8 +36,8 @@ def line_table(docs: DataFrame) -> DataFrame:
     return lines.withColumn("n", n).where(F.col("n") >= MIN_WORDS)
 
 
-def _near_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Hashes of classes that an earlier class lies within one word of.
+def _near_classes(docs: DataFrame, classes: DataFrame) -> tuple[DataFrame, tuple[DataFrame, ...]]:
+    """Hashes of classes that an earlier class lies within one word of, and the tables that hold them.
 
     Two such lines agree on the first or on the last half of the shorter one, so only lines that share a half with another
     distinct line emit variants. A variant's key is a sum over its words of hashes of word and place, so all
@@ -46,9 +46,8 @@ def _near_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
     big = classes.where(F.col("n") >= NEAR_WORDS)
     ends = big.select("h", F.explode(F.array_distinct(F.array("x1", "x2", "x3", "x4"))).alias("x"))
     crowded = ends.groupBy("x").agg(F.count("*").alias("c")).where("c > 1")
-    alive = broadcast_if_small(
-        materialize(ends.join(crowded, "x").select("h").distinct(), "alive"), BROADCAST_LINES
-    )
+    alive_table = materialize(ends.join(crowded, "x").select("h").distinct(), "alive")
+    alive = broadcast_if_small(alive_table, BROADCAST_LINES)
     again = line_table(docs).where(F.col("n") >= NEAR_WORDS).select(F.xxhash64("line").alias("h"), "line")
     words = again.join(alive, "h", "left_semi").groupBy("h").agg(F.first("line").alias("line"))
     known = materialize(
@@ -88,7 +87,7 @@ def _near_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
         .otherwise(F.col("a") == drop(F.col("b")))
     )
     # a line of many places is verified once for each partner and place, in one pass over the words
-    return pairs.distinct().join(a, "h").join(b, "p").where(same).select("h").distinct()
+    return pairs.distinct().join(a, "h").join(b, "p").where(same).select("h").distinct(), (alive_table, known)
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
@@ -106,11 +105,14 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
         )
     )
     classes = materialize(first, "line-classes")
-    near = _near_classes(docs, classes).withColumn("near", F.lit(True))
+    near, used = _near_classes(docs, classes)
+    near = near.withColumn("near", F.lit(True))
     marked = materialize(
         classes.join(near, "h", "left").where("c > 1 or near").select("h", "first_doc", F.coalesce("near", F.lit(False)).alias("near")),
         "marked",
     )
+    for done in used:
+        release(done)
     hits = rows.select("doc_id", "th", "pos", "h").join(marked, "h")
     # the first place of a line within its own text; narrow rows, and only of lines that occur more than once
     own = hits.groupBy("doc_id", "th", "h").agg(
@@ -119,10 +121,14 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     all_go = F.col("near") | (F.col("f") < F.col("doc_id")) | (F.col("doc_id").isNull() & F.col("f").isNotNull())
     at = F.array_sort("at")
     gone = F.when(all_go, at).otherwise(F.slice(at, F.lit(2), F.size(at)))
-    return (
+    out = materialize(
         own.select("doc_id", "th", F.explode(gone).alias("pos"))
-        .groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
+        .groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("pos")).alias("dropped")),
+        "dropped",
     )
+    for done in (rows, classes, marked):  # only the places are needed from here on
+        release(done)
+    return out
 
 
 def _without(lines: Column, dropped: Column) -> Column:
