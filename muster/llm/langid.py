@@ -96,9 +96,9 @@ class Automaton:
             c = coded[:n, j]
             after = self.table[state[:n], c]
             fails = after < 0
-            count[:n] += fails
+            count[:n] += fails | (state[:n] == 0)  # a phrase starts here; a symbol of no sample is one of its own
             state[:n] = np.maximum(np.where(fails, self.table[0, c], after), 0)
-        return count + (lengths > 0)
+        return count
 
 
 def entropies(texts: list[str], models: list[Automaton]) -> np.ndarray:
