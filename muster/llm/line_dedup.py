@@ -116,7 +116,7 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     hits = rows.select("doc_id", "th", "pos", "h").join(marked, "h")
     # the first place of a line within its own text; narrow rows, and only of lines that occur more than once
     own = hits.groupBy("doc_id", "th", "h").agg(
-        F.collect_list("pos").alias("at"), F.first("first_doc").alias("f"), F.first("near").alias("near")
+        F.collect_set("pos").alias("at"), F.first("first_doc").alias("f"), F.first("near").alias("near")
     )
     all_go = F.col("near") | (F.col("f") < F.col("doc_id")) | (F.col("doc_id").isNull() & F.col("f").isNotNull())
     at = F.array_sort("at")
