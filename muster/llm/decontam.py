@@ -240,7 +240,7 @@ def leaks_by_join(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     a = window_table(docs, "doc_id").withColumnsRenamed({"at": "d", "kinds": "dk", "cores": "dc"})
     b = window_table(benchmark, "item_id").withColumnsRenamed({"at": "b", "kinds": "bk", "cores": "bc"})
-    words = benchmark.select(F.col("id").alias("item_id"), F.size(F.filter(F.split("text", r"\s+"), lambda w: F.rlike(w, r"[^.,;:!?\"'()\[\]{}<>*#%&$|]"))).alias("size"))
+    words = benchmark.select(F.col("id").alias("item_id"), F.size(F.filter(F.split("text", r"\s+"), lambda w: F.rlike(w, F.lit(r"[^.,;:!?\"'()\[\]{}<>*#%&$|]")))).alias("size"))
     pairs = a.join(b, "v").withColumn("offset", F.col("d") - F.col("b"))
     pairs = pairs.join(words, "item_id")
 
