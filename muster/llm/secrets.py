@@ -124,8 +124,8 @@ def trigram_query(pattern: str) -> list[list[frozenset[str]]]:
 
 
 def fold(text: Column) -> Column:
-    """Lower-case A-Z only, as the index does."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    """Lower case for the index. Other letters may fold too: that can add candidates, which are verified, but lose none."""
+    return F.lower(text)
 
 
 def text_key(text: Column) -> Column:
@@ -135,11 +135,12 @@ def text_key(text: Column) -> Column:
 
 def build_index(texts: DataFrame, trigrams: list[str]) -> DataFrame:
     """``texts(key, text)`` -> postings ``(trigram, key)``, one for each of ``trigrams`` that a text has."""
-    low = fold(F.col("text"))
-    have = F.array_compact(F.array(*[F.when(F.contains(F.col("low"), F.lit(g)), F.lit(g)) for g in trigrams]))
+    # bound as a lambda's argument, the folded text is made once and not once a trigram
+    have = F.transform(
+        F.array(fold(F.col("text"))), lambda low: F.array_compact(F.array(*[F.when(F.contains(low, F.lit(g)), F.lit(g)) for g in trigrams]))
+    )
     return (
-        texts.select("key", low.alias("low"))
-        .select("key", have.alias("grams"))
+        texts.select("key", have[0].alias("grams"))
         .where(F.size("grams") > 0)
         .select("key", F.explode("grams").alias("trigram"))
         .distinct()
