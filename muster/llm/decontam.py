@@ -209,59 +209,97 @@ def leak_column(text: Column, items: list[tuple[object, str]], spark) -> Column:
     return found(F.coalesce(text, F.lit("")))
 
 
-def window_table(docs: DataFrame, id_name: str) -> DataFrame:
-    """``(id, text_hash, at, v, slots)``: every window of every text, for benchmarks too large to broadcast."""
-    arrow_batches(docs.sparkSession)
+FILTER_BITS = 27  # a filter of 16 MB at any benchmark size; it only spares windows that can't meet the benchmark
 
-    @F.pandas_udf("array<struct<at:int,v:long,kinds:array<int>,cores:array<string>>>")
+
+def window_table(docs: DataFrame, name: str, words: np.ndarray | None = None) -> DataFrame:
+    """``(name_id, name_h, at, v, size, kinds, cores)``: windows of every text, for benchmarks too large to broadcast.
+
+    With a filter's ``words``, only windows that may be the benchmark's; repeated rows repeat their windows.
+    """
+    spark = docs.sparkSession
+    arrow_batches(spark)
+    shared = spark.sparkContext.broadcast(words)
+
+    @F.pandas_udf("array<struct<at:int,v:long,size:int,kinds:array<int>,cores:array<string>>>")
     def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        lexer = Lexer()
+        lexer, bits = Lexer(), shared.value
         for texts in batches:
             out = []
             for t in texts:
                 h, kind, ids = lexer.tokens(t)
                 wh, good = windows(h, kind)
+                if bits is not None and len(wh):
+                    for bit in filter_places(wh):
+                        good &= (bits[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1) == 1
                 cores = [lexer.core[i] for i in ids]
                 out.append([
-                    {"at": a, "v": int(wh[a].view(np.int64)), "kinds": kind[a : a + WINDOW].tolist(), "cores": cores[a : a + WINDOW]}
+                    {"at": a, "v": int(wh[a].view(np.int64)), "size": len(ids), "kinds": kind[a : a + WINDOW].tolist(), "cores": cores[a : a + WINDOW]}
                     for a in np.nonzero(good)[0].tolist()
                 ])
             yield pd.Series(out, dtype=object)
 
-    rows = docs.select(F.col("id").alias(id_name), F.xxhash64("text").alias(f"{id_name}_h"), F.coalesce("text", F.lit("")).alias("t"))
-    return rows.select(id_name, f"{id_name}_h", F.explode(cut("t")).alias("w")).select(id_name, f"{id_name}_h", "w.*")
+    rows = docs.select(F.col("id").alias(f"{name}_id"), F.xxhash64("text").alias(f"{name}_h"), F.coalesce("text", F.lit("")).alias("t"))
+    return rows.select(f"{name}_id", f"{name}_h", F.explode(cut("t")).alias("w")).select(f"{name}_id", f"{name}_h", "w.*")
+
+
+def filter_places(wh: np.ndarray) -> list[np.ndarray]:
+    """The two bits of each window hash in the filter."""
+    mask = np.uint64((1 << FILTER_BITS) - 1)
+    return [(x & mask).astype(np.int64) for x in (wh, wh >> np.uint64(32))]
+
+
+def window_filter(table: DataFrame) -> np.ndarray:
+    """A fixed-size Bloom filter of the table's window hashes, gathered as its non-zero words."""
+    mask = (1 << FILTER_BITS) - 1
+    bits = F.array(F.col("v").bitwiseAND(mask), F.shiftrightunsigned("v", 32).bitwiseAND(mask))
+    places = table.select(F.explode(bits).alias("bit"))
+    one = F.expr("shiftleft(1L, cast(bit & 63 AS int))")
+    rows = places.groupBy(F.shiftright("bit", 6).alias("k")).agg(F.bit_or(one).alias("w")).toArrow()
+    out = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    out[rows["k"].to_numpy()] = rows["w"].to_numpy().view(np.uint64)
+    return out
 
 
 def leaks_by_join(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The shuffle form: windows of both sides meet by hash, alignments are checked one by one.
 
-    ``docs(id, text)`` and ``benchmark(id, text)`` -> ``(doc_id, item_id, matched)``. An alignment has at most as many
-    windows as its item has words, so no group is unbounded.
+    ``docs(id, text)`` and ``benchmark(id, text)`` -> the rows of the broadcast form: ``(doc_id, item_id, item_words,
+    matched, coverage, first_word, exact)`` for each pair of rows. Rows that repeat an id and a text are aligned once
+    and counted; an alignment has at most as many distinct windows as its item has words, so no group is unbounded.
     """
-    a = window_table(docs, "doc_id").withColumnsRenamed({"at": "d", "kinds": "dk", "cores": "dc"})
-    b = window_table(benchmark, "item_id").withColumnsRenamed({"at": "b", "kinds": "bk", "cores": "bc"})
-    words = benchmark.select(F.col("id").alias("item_id"), F.size(F.filter(F.split("text", r"\s+"), lambda w: F.rlike(w, F.lit(r"[^.,;:!?\"'()\[\]{}<>*#%&$|]")))).alias("size"))
-    pairs = a.join(b, "v").withColumn("offset", F.col("d") - F.col("b"))
-    pairs = pairs.join(words, "item_id")
-
-    def verify(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        size = int(rows["size"].iloc[0])
-        cores, kinds, doc = {}, {}, {}
-        for _, r in rows.iterrows():
-            for j in range(WINDOW):
-                cores[r["b"] + j], kinds[r["b"] + j] = r["bc"][j], r["bk"][j]
-                doc[r["d"] + j] = (r["dk"][j], r["dc"][j])
-        item = Item(None, kinds, cores)
-        _, length = matched_run(rows["b"].tolist(), item, doc, int(rows["offset"].iloc[0]))
-        if length < min(RUN, size):
-            return pd.DataFrame({"doc_id": [], "item_id": [], "matched": []})
-        return pd.DataFrame({"doc_id": [rows["doc_id"].iloc[0]], "item_id": [rows["item_id"].iloc[0]], "matched": [length]})
-
-    kinds = dict(pairs.dtypes)
-    found = pairs.groupBy("doc_id", "doc_id_h", "item_id", "item_id_h", "offset").applyInPandas(
-        verify, f"doc_id {kinds['doc_id']}, item_id {kinds['item_id']}, matched int"
-    )
-    return found.groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"))
+    items = benchmark.where(F.col("text").isNotNull()).groupBy("id", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), F.count("*").alias("n"))
+    b = window_table(items, "item")
+    a = window_table(docs, "doc", window_filter(b)).drop("size")
+    a = a.withColumnsRenamed({"at": "d", "kinds": "dk", "cores": "dc"})
+    b = b.withColumnsRenamed({"at": "b", "kinds": "bk", "cores": "bc"})
+    pairs = a.join(b, "v").groupBy("doc_id", "doc_h", "item_id", "item_h", (F.col("d") - F.col("b")).alias("offset"), "size")
+    lines = pairs.agg(F.collect_set(F.struct("b", "bk", "bc", "dk", "dc")).alias("w"))
+
+    @F.pandas_udf("struct<matched:int,start:int,exact:boolean>")
+    def verify(w: pd.Series, offset: pd.Series, size: pd.Series) -> pd.DataFrame:
+        out = []
+        for rows, at, n in zip(w, offset, size):
+            cores, kinds, doc = {}, {}, {}
+            for r in rows:
+                for j in range(WINDOW):
+                    t = r["b"] + j
+                    cores[t], kinds[t], doc[t + at] = r["bc"][j], r["bk"][j], (r["dk"][j], r["dc"][j])
+            start, length = matched_run([r["b"] for r in rows], Item(None, kinds, cores), doc, at)
+            exact = all(doc[t + at][1] == cores[t] for t in range(start, start + length))
+            out.append((length, start, exact) if length >= min(RUN, n) else (0, 0, False))
+        return pd.DataFrame(out, columns=["matched", "start", "exact"])
+
+    found = lines.withColumn("r", verify("w", "offset", "size")).where("r.matched > 0")
+    best = F.max(F.struct("r.matched", (-(F.col("r.start") + F.col("offset"))).alias("back"), "r.exact")).alias("r")
+    found = found.groupBy("doc_id", "doc_h", "item_id", "item_h", "size").agg(best)
+    times = docs.groupBy(F.col("id").alias("x"), F.xxhash64("text").alias("doc_h")).agg(F.count("*").alias("n"))
+    per = items.select(F.col("id").alias("y"), F.col("h").alias("item_h"), F.col("n").alias("m"))
+    found = found.join(times, (found["doc_h"] == times["doc_h"]) & found["doc_id"].eqNullSafe(times["x"]))
+    found = found.join(per, (found["item_h"] == per["item_h"]) & found["item_id"].eqNullSafe(per["y"]))
+    words = F.col("size").alias("item_words")
+    rows = found.withColumn("again", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n") * F.col("m"))))
+    return rows.select("doc_id", "item_id", words, "r.matched", (F.col("r.matched") / F.col("size")).alias("coverage"), (-F.col("r.back")).alias("first_word"), "r.exact")
 
 
 def op6_decontam(spark, sf_dir: str) -> DataFrame:
