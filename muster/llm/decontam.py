@@ -138,17 +138,21 @@ def matched_run(starts: list[int], item: Item, doc: list[tuple[int, str]], offse
     """Longest run of aligned tokens ``(start, length)`` on one alignment whose slots are consistent.
 
     ``starts`` are the item's matched window places; ``doc`` has kinds and values of the document's tokens. A run
-    ends where no window covers the next token, or where a slot's value contradicts an earlier one of the run.
+    ends where no window covers the next token. Where a slot's value contradicts an earlier one, the run goes on from
+    just after the last place of that earlier value.
     """
     covered = sorted({t for s in starts for t in range(s, s + WINDOW)})
     best, begin, seen, last = (0, 0), None, {}, None
     for t in covered:
         value = (item.kinds[t], item.cores[t])
-        other = doc[t + offset][1] if value[0] else None
-        if begin is None or t != last + 1 or (value[0] and seen.get(value, other) != other):
+        if begin is None or t != last + 1:
             begin, seen = t, {}
         if value[0]:
-            seen[value] = other
+            other = doc[t + offset][1]
+            was, at = seen.get(value, (other, t))
+            if was != other:
+                begin = max(begin, at + 1)
+            seen[value] = (other, t)
         last = t
         best = max(best, (t - begin + 1, -begin))
     return -best[1], best[0]

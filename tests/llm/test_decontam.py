@@ -1,5 +1,6 @@
 """Decontamination: the broadcast and the shuffle form give the same rows, and runs are the longest ones."""
 
+import random
 from collections import Counter
 
 from muster.llm import decontam
@@ -36,3 +37,35 @@ def test_the_filter_keeps_every_benchmark_window(spark):
     table = decontam.window_table(bench, "item")
     kept = decontam.window_table(bench, "item", decontam.window_filter(table))
     assert rows(kept.select("item_id", "at", "v")) == rows(table.select("item_id", "at", "v"))
+
+
+def brute_run(starts, item, doc, offset):
+    covered = {t for s in starts for t in range(s, s + decontam.WINDOW)}
+    best = (0, 0)
+    for i in sorted(covered):
+        seen = {}
+        for t in range(i, max(covered) + 1):
+            value = (item.kinds[t], item.cores[t]) if t in covered else None
+            if value is None or value[0] and seen.setdefault(value, doc[t + offset][1]) != doc[t + offset][1]:
+                break
+            best = max(best, (t - i + 1, -i))
+    return -best[1], best[0]
+
+
+def test_a_contradicted_slot_does_not_hide_the_longest_run():
+    words = "we think that Ann walked down to see whether all Ann could still find old boats upon this very lake".split()
+    item, doc = " ".join(words), " ".join([*words[:3], "Zoe", *words[4:]])
+    index = decontam.Index([(1, item)])
+    (_, size, matched, _, first, exact), = decontam.leaks(doc, index, decontam.Lexer())
+    assert (matched, first, exact) == (size - 4, 4, True)
+
+
+def test_runs_are_those_of_a_brute_force():
+    rnd = random.Random(3)
+    for _ in range(500):
+        n = rnd.randrange(decontam.WINDOW, 30)
+        kinds = [rnd.choice((0, 0, 1, 2, 3)) for _ in range(n)]
+        item = decontam.Item(1, kinds, [rnd.choice("ab") for _ in range(n)])
+        doc = {t + 5: (kinds[t], rnd.choice(("x", "x", "x", "y"))) for t in range(n)}
+        starts = [s for s in range(n - decontam.WINDOW + 1) if rnd.random() < 0.6] or [0]
+        assert decontam.matched_run(starts, item, doc, 5) == brute_run(starts, item, doc, 5)
