@@ -438,3 +438,9 @@ def _(spark, d):
 n AS (SELECT *, sum(s::INT) OVER (PARTITION BY is_synthetic ORDER BY reported_at, report_id ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT report_id, min(reported_at) OVER (PARTITION BY is_synthetic, k) AS block FROM n""")
 def _(spark, d):
     return U.session_blocks(view(spark, d, "report").where("user_id % 10 = 3"), 0.5).select("report_id", "block")
+
+
+@query("session_blocks_all", """WITH g AS (SELECT report_id, is_synthetic, reported_at, coalesce(epoch_us(reported_at) - epoch_us(lag(reported_at) OVER (PARTITION BY is_synthetic ORDER BY reported_at, report_id)) > 21600000000, true) AS s FROM report),
+n AS (SELECT *, sum(s::INT) OVER (PARTITION BY is_synthetic ORDER BY reported_at, report_id ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT report_id, min(reported_at) OVER (PARTITION BY is_synthetic, k) AS block FROM n""")
+def _(spark, d):
+    return U.session_blocks(view(spark, d, "report")).select("report_id", "block")
