@@ -34,6 +34,11 @@ def _(spark, d):
     return table(spark, d, "documents").where("lang = 'en'").select("doc_id", F.md5(T.tidy_spaces(c("text")).cast("binary")).alias("clean"))
 
 
+@query("clean_text_all")
+def _(spark, d):
+    return docs(spark, d).select("doc_id", F.md5(T.tidy_spaces(c("text")).cast("binary")).alias("clean"))
+
+
 @query("clean_reports")
 def _(spark, d):
     return T.clean_reports(table(spark, d, "pages").select("page_id", c("html").alias("text"))).drop("text")

@@ -1,8 +1,11 @@
 """Queries that run over every row of their tables."""
 
+import hashlib
+import re
+
 from muster.operators import fusion as U
 from muster.plans import registry
-from muster.plans.views import view
+from muster.plans.views import table, view
 from tests.test_jobs import reports
 
 SF = "/root/testdata/sf0.001"
@@ -27,3 +30,16 @@ def test_session_blocks_of_every_report(spark):
     want = blocks(sparse.collect(), 6)
     assert sorted(map(tuple, U.session_blocks(sparse).select("report_id", "block").collect())) == want
     assert 4 < len({b for _, b in want}) < 60
+
+
+def tidy(text):
+    text = re.sub("[\\x00-\\x1f\\x7f-\\x9f\u200b-\u200f\u2028-\u202e\u2060\ufeff]", " ", text)
+    return re.sub(" +([!?,.:;])", r"\1", re.sub("[ \u00a0]+", " ", text)).strip(" ")
+
+
+def test_clean_text_of_every_language(spark, tmp_path):
+    rows = [(r["doc_id"], r["lang"], r["text"]) for r in table(spark, SF, "documents").collect()]
+    odd = [(-1, None, "caf\u00e9 \u00a0 ol\u00e9 !\x85\u200b\ufb01n"), (-2, "fr", "\t\u00c7a  va ?\n"), (-3, "de", None), (-4, "es", "")]
+    spark.createDataFrame(rows + odd, "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = dict(map(tuple, registry.QUERIES["clean_text_all"](spark, str(tmp_path)).collect()))
+    assert got == {i: None if t is None else hashlib.md5(tidy(t).encode()).hexdigest() for i, _, t in rows + odd}
