@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import functions as F
@@ -17,14 +18,39 @@ c = F.col
 COLS = ("report_id", "reported_at", "is_synthetic", "caller_id", "latitude", "longitude", "location_text", "text")
 
 
-def streamed(spark, d, parts: int = 3):
-    """The report view as files in the shared folder, read back as a stream."""
+def streamed(spark, d, parts: int = 3, closing: bool = False):
+    """The report view as files in the shared folder, read back as a stream in the order of event time.
+
+    With ``closing``, a last row of nulls 8 hours on moves the watermark past every window of the reports; its own
+    window stays open.
+    """
     path = f"{shared_dir(spark)}/muster-in-{uuid.uuid4().hex}"
     r = view(spark, d, "report").select(*COLS)
     r.repartitionByRange(parts, "reported_at").write.parquet(path)
+    order_files(spark, path)
+    if closing:
+        late = spark.read.schema(r.schema).parquet(path).agg((F.max("reported_at") + F.expr("INTERVAL 8 HOURS")).alias("reported_at"))
+        nulls = {f.name: F.lit(None).cast(f.dataType) for f in r.schema if f.name != "reported_at"}
+        late.where("reported_at is not null").withColumns(nulls).select(*COLS).coalesce(1).write.mode("append").parquet(path)
     return spark.readStream.schema(r.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
+def order_files(spark, path: str) -> None:
+    """Set the files' times in the order of their ranges: a stream reads by time, and tasks end in any order.
+
+    A range read after a later one would be dropped as late, so a file system without settable times is an error.
+    """
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = sorted((s.getPath() for s in fs.listStatus(where) if s.getPath().getName().startswith("part-")), key=lambda p: p.getName())
+    last = int(time.time()) * 1000
+    times = [last - 1000 * (len(files) - k) for k in range(len(files))]
+    for p, t in zip(files, times):
+        fs.setTimes(p, t, -1)
+    if [fs.getFileStatus(p).getModificationTime() for p in files] != times:
+        raise OSError(f"can't set the times of the files in {path}")
+
+
 def drained(spark, df, mode: str = "append"):
     path = f"{shared_dir(spark)}/muster-out-{uuid.uuid4().hex}"
     S.drain(df, path, mode)
@@ -50,7 +76,7 @@ def _(spark, d):
 
 @query("stream_pulse")
 def _(spark, d):
-    return drained(spark, S.pulse_stream(streamed(spark, d)))
+    return drained(spark, S.pulse_stream(streamed(spark, d, closing=True)))
 
 
 @query("stream_enrich")
