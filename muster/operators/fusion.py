@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -106,8 +107,8 @@ class Fuser:
 LINK_SCHEMA = "incident_id string, report_id string, relationship_type string, similarity_score double"
 
 
-def session_blocks(reports: DataFrame, hours: float = 6.0) -> DataFrame:
-    """Reports with the start of their block: a gap of more than ``hours`` within a kind closes a block.
+def session_blocks(reports: DataFrame, hours: float = 6.0, keys: tuple[str, ...] = ("is_synthetic",)) -> DataFrame:
+    """Reports with the start of their block: a gap of more than ``hours`` within the ``keys`` closes a block.
 
     Two reports of one stretch of ``hours`` have no such gap between them, so the window goes over stretches that
     have reports, not over reports.
@@ -115,13 +116,13 @@ def session_blocks(reports: DataFrame, hours: float = 6.0) -> DataFrame:
     from pyspark.sql import Window
 
     hour = F.floor(F.unix_micros("reported_at") / F.lit(hours * 3_600_000_000.0)).cast("long")
-    per = reports.groupBy("is_synthetic", hour.alias("_h")).agg(F.min("reported_at").alias("_lo"), F.max("reported_at").alias("_hi"))
-    w = Window.partitionBy("is_synthetic").orderBy("_h")
+    per = reports.groupBy(*keys, hour.alias("_h")).agg(F.min("reported_at").alias("_lo"), F.max("reported_at").alias("_hi"))
+    w = Window.partitionBy(*keys).orderBy("_h")
     gap = F.unix_micros("_lo") - F.unix_micros(F.lag("_hi").over(w))
     starts = per.withColumn("_s", F.when(gap.isNull() | (gap > int(hours * 3_600_000_000)), F.col("_lo")))
     block = F.last("_s", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    blocks = starts.select("is_synthetic", "_h", block.alias("block"))
-    return reports.withColumn("_h", hour).join(blocks, ["is_synthetic", "_h"]).drop("_h")
+    blocks = starts.select(*keys, "_h", block.alias("block"))
+    return reports.withColumn("_h", hour).join(blocks, [*keys, "_h"]).drop("_h")
 
 
 def region_block(reports: DataFrame) -> Column:
@@ -135,29 +136,33 @@ def fuse_replay(reports: DataFrame, mode: str = "region", cfg: Config = DEFAULT)
     """Exact greedy fusion in the order of (reported_at, report_id) within each block.
 
     ``region`` scales and never compares across regions. Its blocks are also cut where more than the horizon passes
-    without a report, as nothing can match across such a gap. ``exact`` has only those cuts: the one-by-one
-    semantics, serial in a block, for small data and tests.
+    without a report of the region, as nothing can match across such a gap. ``exact`` has only the gaps of a kind: the
+    one-by-one semantics, for small data and tests. A block is serial in either mode; its sorted rows come in Arrow
+    batches, so that a task holds one batch and the open incidents, never a block.
     """
     arrow_batches(reports.sparkSession, 10_000)
     r = reports.withColumn("region", region_block(reports) if mode == "region" else F.lit("all"))
-    r = session_blocks(r, cfg.horizon_hours)
+    key = ("is_synthetic", "region")
+    r = session_blocks(r, cfg.horizon_hours, key)
     narrow = r.select(
         "report_id", "region", "is_synthetic", "block", (F.unix_micros("reported_at") / F.lit(3_600_000_000.0)).alias("hours"),
         F.col("latitude").alias("lat"), F.col("longitude").alias("lon"), S.norm_place(F.col("location_text")).alias("place"),
         F.xxhash64(S.norm_place(F.col("text"))).alias("text"), F.nullif(F.trim("caller_id"), F.lit("")).alias("source"),
     )
 
-    def replay(rows: pd.DataFrame) -> pd.DataFrame:
-        fuser = Fuser(cfg)
-        rows = rows.sort_values(["hours", "report_id"])
+    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ("report_id", "hours", "lat", "lon", "place", "text", "source")
-        out = [
-            fuser.add({k: None if v is None or v != v else v for k, v in zip(names, row)})
-            for row in zip(*[rows[n].tolist() for n in names])
-        ]
-        return pd.DataFrame(out, columns=["incident_id", "report_id", "relationship_type", "similarity_score"])
-
-    return narrow.groupBy("is_synthetic", "region", "block").applyInPandas(replay, LINK_SCHEMA)
+        block, fuser = None, Fuser(cfg)
+        for rows in batches:
+            out = []
+            for *at, row in zip(rows["is_synthetic"].tolist(), rows["region"].tolist(), rows["block"].tolist(), zip(*[rows[n].tolist() for n in names])):
+                if at != block:
+                    block, fuser = at, Fuser(cfg)
+                out.append(fuser.add({k: None if v is None or v != v else v for k, v in zip(names, row)}))
+            yield pd.DataFrame(out, columns=["incident_id", "report_id", "relationship_type", "similarity_score"])
+
+    dealt = narrow.repartition(*key, "block").sortWithinPartitions(*key, "block", "hours", "report_id")
+    return dealt.mapInPandas(replay, LINK_SCHEMA)
 
 
 # -- rules on one row --------------------------------------------------------------------------------------------
