@@ -29,7 +29,7 @@ DOT = "list_dot_product({a}::DOUBLE[], {b}::DOUBLE[])"
 def pair_sql(semantic: bool) -> str:
     cos = "round(greatest(-1.0, least(1.0, " + DOT.format(a="a.embedding", b="b.embedding") + " / (sqrt(" + DOT.format(a="a.embedding", b="a.embedding") + ") * sqrt(" + DOT.format(a="b.embedding", b="b.embedding") + ")))), 4)"
     sem, score = (cos, "0.55 * semantic + 0.2 * temporal + 0.25 * spatial") if semantic else ("NULL::DOUBLE", "0.4444 * temporal + 0.5556 * spatial")
-    return f"""p AS (SELECT *, {PLACE.format('location_text')} AS place, lower(trim(text)) AS nt FROM report),
+    return f"""p AS (SELECT * EXCLUDE (text), {PLACE.format('location_text')} AS place, md5(lower(trim(text))) AS nt FROM report),
 pr AS (SELECT a.report_id AS a_report_id, b.report_id AS b_report_id, {sem} AS semantic, epoch_us(b.reported_at) / 3600000000.0 - epoch_us(a.reported_at) / 3600000000.0 AS h0,
  (epoch_us(b.reported_at) - epoch_us(a.reported_at)) / 3600000000.0 AS hours, {KIND.format(a='a.', b='b.')} AS kind, {HV.format(a='a.', b='b.')} AS hv,
  a.nt = b.nt AS verbatim, b.caller_id AS src, coalesce(a.caller_id = b.caller_id, false) AS same
@@ -65,9 +65,9 @@ def _(spark, d):
     return matched(spark, d, True).groupBy("kind").agg(F.count("*").alias("n"), F.max("score").alias("high"))
 
 
-@query("spatial_similarity", f"WITH {pair_sql(False)} SELECT kind, spatial, count(*) AS n FROM pairs WHERE hours <= 0.5 GROUP BY ALL")
+@query("spatial_similarity", f"WITH {pair_sql(False)} SELECT kind, spatial, count(*) AS n FROM pairs GROUP BY ALL")
 def _(spark, d):
-    p = C.correlate(C._tidy(C._meet(r := C.prepared(view(spark, d, "report")), r, 0.5)).withColumn("kind", C._kind()))
+    p = C.correlate(C._tidy(C._meet(r := C.prepared(view(spark, d, "report"), vectors=False), r, 6.0)).withColumn("kind", C._kind()))
     return p.groupBy("kind", "spatial").agg(F.count("*").alias("n"))
 
 
@@ -78,15 +78,19 @@ def _(spark, d):
     return U.fuse_components(matched(spark, d, True), view(spark, d, "report"))
 
 
-INC = """cand AS (SELECT 'inc-' || event_id AS incident_id, CASE event_id % 3 WHEN 0 THEN 'ACTIVE' WHEN 1 THEN 'NEEDS_REVIEW' ELSE 'RESOLVED' END AS status,
- is_synthetic, reported_at AS last_active, latitude, longitude, location_text FROM report WHERE event_id % 20 IN (0, 7, 11))"""
+# One incident a caller, day and kind: its last report gives time and place.
+INC = """cand AS (SELECT 'inc-' || max(event_id) AS incident_id, CASE max(event_id) % 3 WHEN 0 THEN 'ACTIVE' WHEN 1 THEN 'NEEDS_REVIEW' ELSE 'RESOLVED' END AS status,
+ is_synthetic, max(reported_at) AS last_active, arg_max(x, (reported_at, event_id)).a AS latitude, arg_max(x, (reported_at, event_id)).b AS longitude, arg_max(x, (reported_at, event_id)).c AS location_text
+ FROM (SELECT *, {'a': latitude, 'b': longitude, 'c': location_text} AS x FROM report) GROUP BY user_id, date_trunc('day', reported_at), is_synthetic)"""
 
 
 def open_incidents(spark, d):
-    return view(spark, d, "report").where("event_id % 20 in (0, 7, 11)").select(
-        F.concat(F.lit("inc-"), "event_id").alias("incident_id"),
-        F.when(c("event_id") % 3 == 0, "ACTIVE").when(c("event_id") % 3 == 1, "NEEDS_REVIEW").otherwise("RESOLVED").alias("status"),
-        "is_synthetic", c("reported_at").alias("last_active"), "latitude", "longitude", "location_text",
+    r = view(spark, d, "report")
+    last = F.max(F.struct("reported_at", "event_id", "latitude", "longitude", "location_text")).alias("l")
+    g = r.groupBy("user_id", F.date_trunc("day", "reported_at").alias("day"), "is_synthetic").agg(last, F.max("event_id").alias("e"))
+    return g.select(
+        F.concat(F.lit("inc-"), "e").alias("incident_id"), F.when(c("e") % 3 == 0, "ACTIVE").when(c("e") % 3 == 1, "NEEDS_REVIEW").otherwise("RESOLVED").alias("status"),
+        "is_synthetic", c("l.reported_at").alias("last_active"), "l.latitude", "l.longitude", "l.location_text",
     )
 
 
@@ -106,8 +110,8 @@ s AS (SELECT *, round(exp(-hours / 3.0), 4) AS t, CASE kind WHEN 'COORDINATES' T
 z AS (SELECT *, round((0.4444 * t + 0.5556 * sp)::DOUBLE, 4) AS score FROM s)
 SELECT report_id, incident_id, score FROM z WHERE kind <> 'CONFLICTING_TEXT' AND score >= 0.7 QUALIFY row_number() OVER (PARTITION BY report_id ORDER BY score DESC, last_active DESC, incident_id) = 1""")
 def _(spark, d):
-    found = C.candidates(view(spark, d, "report"), open_incidents(spark, d))
-    return C.best_match(C.score_candidates(found)).select("report_id", c("i_incident_id").alias("incident_id"), "score")
+    found = C.score_candidates(view(spark, d, "report"), open_incidents(spark, d))
+    return C.best_match(found).select("report_id", "incident_id", "score")
 
 
 # -- scalar functions ----------------------------------------------------------------------------------------------
@@ -434,10 +438,10 @@ def _(spark, d):
     return U.recover_failed(view(spark, d, "pred"))
 
 
-@query("session_blocks", """WITH g AS (SELECT report_id, is_synthetic, reported_at, coalesce(epoch_us(reported_at) - epoch_us(lag(reported_at) OVER (PARTITION BY is_synthetic ORDER BY reported_at, report_id)) > 1800000000, true) AS s FROM report WHERE user_id % 10 = 3),
+@query("session_blocks", """WITH g AS (SELECT report_id, is_synthetic, reported_at, coalesce(epoch_us(reported_at) - epoch_us(lag(reported_at) OVER (PARTITION BY is_synthetic ORDER BY reported_at, report_id)) > 1800000000, true) AS s FROM report),
 n AS (SELECT *, sum(s::INT) OVER (PARTITION BY is_synthetic ORDER BY reported_at, report_id ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT report_id, min(reported_at) OVER (PARTITION BY is_synthetic, k) AS block FROM n""")
 def _(spark, d):
-    return U.session_blocks(view(spark, d, "report").where("user_id % 10 = 3"), 0.5).select("report_id", "block")
+    return U.session_blocks(view(spark, d, "report"), 0.5).select("report_id", "block")
 
 
 @query("session_blocks_all", """WITH g AS (SELECT report_id, is_synthetic, reported_at, coalesce(epoch_us(reported_at) - epoch_us(lag(reported_at) OVER (PARTITION BY is_synthetic ORDER BY reported_at, report_id)) > 21600000000, true) AS s FROM report),

@@ -22,9 +22,10 @@ VIEWS: dict[str, str] = {
   CASE WHEN e.value >= 120 THEN 'CRITICAL' WHEN e.value >= 60 THEN 'HIGH' WHEN e.value >= 20 THEN 'MEDIUM'
     WHEN e.value >= 2 THEN 'LOW' END AS urgency,
   e.event_id, e.user_id, e.value, d.doc_id
-FROM {events} e CROSS JOIN (SELECT count(*) AS n FROM {documents}) dn CROSS JOIN (SELECT count(*) AS n FROM {embeddings}) vn
-JOIN {documents} d ON d.doc_id = e.event_id % dn.n
-JOIN {embeddings} v ON v.vec_id = (e.user_id * 7 + e.event_id % 3) % vn.n
+FROM (SELECT x.*, x.event_id % dn.n AS doc_key, (x.user_id * 7 + x.event_id % 3) % vn.n AS vec_key FROM {events} x
+  CROSS JOIN (SELECT count(*) AS n FROM {documents}) dn CROSS JOIN (SELECT count(*) AS n FROM {embeddings}) vn) e
+JOIN {documents} d ON d.doc_id = e.doc_key
+JOIN {embeddings} v ON v.vec_id = e.vec_key
 JOIN {region} r ON r.r_regionkey = e.user_id % 5""",
     "incident": f"""SELECT 'inc-' || cast(o_orderkey AS string) AS incident_id,
   CASE WHEN o_orderkey % 10 = 0 THEN 'RESOLVED' WHEN o_orderkey % 10 = 1 THEN 'VERIFIED' WHEN o_orderkey % 10 = 2 THEN 'ESCALATED'

@@ -13,9 +13,14 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can read: ``spark.checkpoint.dir``; a temporary one only where it is unset (tests)."""
+    """The folder every executor can read: ``spark.checkpoint.dir``.
+
+    Where it is unset, a local session (tests) gets a temporary one; on a cluster that is an error, as its machines don't share such a folder.
+    """
     path = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {CHECKPOINT_KEY} to a folder that every executor can read")
         path = tempfile.mkdtemp(prefix="muster-")
         spark.conf.set(CHECKPOINT_KEY, path)
     return path.rstrip("/")

@@ -30,7 +30,7 @@ def test_stands_without_llm():
         "import sys\n"
         "class Gone:\n"
         "    def find_spec(self, name, path=None, target=None):\n"
-        "        if name.startswith('muster.llm') or name == 'corpus_pipeline': raise ModuleNotFoundError(name)\n"
+        "        if name.startswith('muster.llm') or name == 'corpus_pipeline': raise ModuleNotFoundError(name, name=name)\n"
         "sys.meta_path.insert(0, Gone())\n"
         "import __spark_entry__ as e\n"
         "assert 'priority_queue' in e.queries() and not [k for k in e.queries() if k.startswith('op1')]\n"
