@@ -1,8 +1,9 @@
 """Line deduplication by a deletion-neighbourhood join, in DataFrame functions only.
 
 A line's words (split at ASCII white space, lower-cased) are what is compared. A line is dropped if an equal line
-occurs earlier, or, for lines of at least ``near_words`` words, one within an edit distance of one word. "Earlier" is
-a smaller doc_id, then a smaller line number. Every line emits its words without the i-th one, for each i, as a
+occurs earlier, or, for lines of at least ``NEAR_WORDS`` words, one within an edit distance of one word. The edit
+bound is thus one word in ten: a shorter line has the bound zero, where equal lines are the whole neighbourhood.
+"Earlier" is a smaller doc_id, then a smaller line number. Every line emits its words without the i-th one, for each i, as a
 hashed key with the place i; equal keys mean one word replaced at i, and a key that equals another line's whole
 words means one word inserted there. The earliest line of each key is verified word by word.
 """
@@ -11,12 +12,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from muster.runtime import broadcast_if_small, materialize, packed, release
 
 MIN_WORDS = 3  # shorter lines are never dropped
 NEAR_WORDS = 10
-BROADCAST_LINES = 1_000_000  # 8 bytes each
+LONG_WORDS = 32
+BROADCAST_LINES = 500_000  # hashes, 8 bytes each
+BLANKS = ("  ", "\t", "\x0b", "\x0c", "\r")
 
 
 def _lines(text: Column) -> Column:
@@ -24,96 +28,135 @@ def _lines(text: Column) -> Column:
 
 
 def _folded(text: Column) -> Column:
-    """Lower-cased text whose blanks within a line are single spaces; line breaks stay."""
-    return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09\x0B-\x0D]+", " ")
+    """Lower-cased text whose blanks within a line are single spaces; line breaks stay. Most texts need no regex."""
+    odd = F.lit(False)
+    for blank in BLANKS:
+        odd = odd | F.contains(text, F.lit(blank))
+    tidy = F.regexp_replace(text, r"[\t\x0B-\x0D][\x20\t\x0B-\x0D]*|\x20[\x20\t\x0B-\x0D]+", " ")
+    return F.lower(F.when(odd, tidy).otherwise(F.coalesce(text, F.lit(""))))
 
 
-def line_table(docs: DataFrame) -> DataFrame:
-    """``docs(doc_id, text)`` -> one row a line of at least ``MIN_WORDS`` words: its place, hash and block keys."""
-    row = docs.select("doc_id", F.xxhash64("text").alias("th"), F.split(_folded(F.col("text")), "\n", -1).alias("l"))
-    lines = row.select("doc_id", "th", F.posexplode("l").alias("pos", "raw")).withColumn("line", F.trim("raw"))
-    n = F.length("line") - F.length(F.replace("line", F.lit(" "))) + 1
-    return lines.withColumn("n", n).where(F.col("n") >= MIN_WORDS)
+def _over(words: int) -> Column:
+    """Whether ``line`` has more than so many words; reads no further than that."""
+    return F.substring_index("line", " ", words) != F.col("line")
 
 
-def _near_classes(docs: DataFrame, classes: DataFrame) -> tuple[DataFrame, tuple[DataFrame, ...]]:
-    """Hashes of classes that an earlier class lies within one word of, and the tables that hold them.
+def line_table(docs: DataFrame, words: int = MIN_WORDS) -> DataFrame:
+    """``docs(doc_id, text)`` -> one row a line of at least ``words`` words: its place and folded words."""
+    lines = F.transform(F.split(_folded(F.col("text")), "\n", -1), lambda x: F.trim(x))
+    row = docs.select("doc_id", F.xxhash64("text").alias("th"), lines.alias("l"))
+    return row.select("doc_id", "th", F.posexplode("l").alias("pos", "line")).where(_over(words - 1))
 
-    Two such lines agree on the first or on the last half of the shorter one, so only lines that share a half with another
-    distinct line emit variants. A variant's key is a sum over its words of hashes of word and place, so all
-    variants of a line take time linear in its length, however long it is.
+
+def _ends() -> list[Column]:
+    """Hashes of a near line's first and last words; two lines within one word of each other share one of them.
+
+    The edited place lies behind the first ``k`` words or before the last ``k`` of both lines if both have ``2 k`` words or more.
+    ``k`` is 5, and 16 for lines of ``LONG_WORDS`` words; a line of exactly so many can meet one word less, so it has both.
     """
-    big = classes.where(F.col("n") >= NEAR_WORDS)
-    ends = big.select("h", F.explode(F.array_distinct(F.array("x1", "x2", "x3", "x4"))).alias("x"))
-    crowded = ends.groupBy("x").agg(F.count("*").alias("c")).where("c > 1")
-    alive_table = materialize(ends.join(crowded, "x").select("h").distinct(), "alive")
-    alive = broadcast_if_small(alive_table, BROADCAST_LINES)
-    again = line_table(docs).where(F.col("n") >= NEAR_WORDS).select(F.xxhash64("line").alias("h"), "line")
-    words = again.join(alive, "h", "left_semi").groupBy("h").agg(F.first("line").alias("line"))
-    known = materialize(
-        words.join(big.select("h", "n", F.col("first_doc").alias("fd"), F.col("first_pos").alias("fp")), "h"), "near-lines"
-    )
-    w = known.repartition("h").select("h", "fd", "fp", "n", F.posexplode(F.split("line", " ")).alias("i", "w"))
-    own, moved = F.xxhash64("w", "i"), F.xxhash64("w", F.col("i") - 1)
-    for name, x in (("a", own), ("b", moved)):  # 40 bits each: sums of millions of words stay in range
-        w = w.withColumn(f"{name}1", F.shiftrightunsigned(x, 24)).withColumn(f"{name}2", x.bitwiseAND(F.lit((1 << 40) - 1)))
-    line = Window.partitionBy("h").orderBy("i")
-    upto, whole = line.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("h")
-    key = lambda j: (F.sum(f"a{j}").over(upto) - F.col(f"a{j}") + F.sum(f"b{j}").over(whole) - F.sum(f"b{j}").over(upto)).alias(f"v{j}")
-    variants = w.select("h", "fd", "fp", "n", (F.col("i") + 1).alias("i"), key(1), key(2)).repartition("v1", "v2", "n")
-    # one word replaced at i: all lines of a key are within one word of each other; the earliest is enough
-    first = F.first("h").over(Window.partitionBy("v1", "v2", "n", "i").orderBy(F.asc_nulls_last("fd"), "fp", "h"))
-    swapped = variants.select("h", first.alias("p"), "i", F.lit("swap").alias("how")).where("p <> h")
-    # one word inserted at i: the longer line's key is the shorter line's whole sum
-    sums = w.groupBy("h", "fd", "fp", "n").agg(F.sum("a1").alias("v1"), F.sum("a2").alias("v2"))
-    short = sums.select("v1", "v2", (F.col("n") + 1).alias("n"), F.col("h").alias("sh"), F.col("fd").alias("sd"), F.col("fp").alias("sp"))
-    grown = variants.join(short, ["v1", "v2", "n"])
-    last = lambda d: F.coalesce(d.isNull().cast("int"), F.lit(0))
-    a = F.struct(last(F.col("fd")).alias("k"), F.col("fd").alias("d"), F.col("fp").alias("q"), F.col("h").alias("h"))
-    b = F.struct(last(F.col("sd")).alias("k"), F.col("sd").alias("d"), F.col("sp").alias("q"), F.col("sh").alias("h"))
-    grown = grown.select("h", "sh", "i", a.alias("o"), b.alias("so"))
-    longer = grown.where("so < o").select("h", F.col("sh").alias("p"), "i", F.lit("cut").alias("how"))
-    shorter = (
-        grown.where("o < so").groupBy("sh").agg(F.min(F.struct("o", "i")).alias("m"))
-        .select(F.col("sh").alias("h"), F.col("m.o.h").alias("p"), F.col("m.i").alias("i"), F.lit("add").alias("how"))
-    )
-    pairs = swapped.unionByName(longer).unionByName(shorter)
+    sides = lambda k: [F.xxhash64(F.lit(j), F.substring_index("line", " ", j)) for j in (k, -k)]
+    near, long = _over(NEAR_WORDS - 1), _over(LONG_WORDS - 1)
+    few, many = sides(NEAR_WORDS // 2), sides(LONG_WORDS // 2)
+    own = [F.when(near, F.when(long, m).otherwise(f)) for f, m in zip(few, many)]
+    return own + [F.when(long & ~_over(LONG_WORDS), f) for f in few]
+
+
+def _placed(words: Column) -> Column:
+    return F.transform(words, lambda w, i: F.xxhash64(w, i))
+
+
+def _without_one(words: Column) -> Column:
+    """For each place the hash of all words and places but that one: the exclusive or of the others' hashes."""
+    bound = F.transform(F.array(_placed(words)), lambda x: F.struct(x.alias("x"), F.aggregate(x, F.lit(0).cast("long"), lambda s, y: s.bitwiseXOR(y)).alias("all")))
+    return F.flatten(F.transform(bound, lambda b: F.transform(b["x"], lambda y: y.bitwiseXOR(b["all"]))))
+
+
+def _bags(words: Column) -> Column:
+    return F.transform(words, lambda w: F.shiftrightunsigned(F.xxhash64(w), 24))  # 40 bits: sums of millions stay in range
+
+
+def _bag(words: Column) -> Column:
+    return F.aggregate(_bags(words), F.lit(0).cast("long"), lambda s, y: s + y)
+
+
+def _bag_without_one(words: Column) -> Column:
+    bound = F.transform(F.array(_bags(words)), lambda x: F.struct(x.alias("x"), F.aggregate(x, F.lit(0).cast("long"), lambda s, y: s + y).alias("all")))
+    return F.flatten(F.transform(bound, lambda b: F.transform(b["x"], lambda y: b["all"] - y)))
+
+
+def _one_more(longer: Column, shorter: Column) -> Column:
+    """Whether ``longer`` is ``shorter`` with one more word: it goes on as before after the first place that differs."""
+    first = F.array_position(F.zip_with(shorter, longer, lambda x, y: x.eqNullSafe(y)), F.lit(False)).cast("int")
+    rest = F.concat(F.slice(longer, F.lit(1), first - 1), F.slice(longer, first + 1, F.size(longer)))
+    return (F.size(longer) == F.size(shorter) + 1) & (rest == shorter)
+
+
+def _near_classes(docs: DataFrame, rows: DataFrame) -> tuple[DataFrame, tuple[DataFrame, ...]]:
+    """Hashes of lines that an earlier line lies within one word of, and the tables that hold them.
+
+    Only lines that share their first or last words with another distinct line emit variants. A variant's key takes one word out
+    of a sum of hashes, so all variants of a line take time linear in its length, however long it is. Variants move as a
+    hash and a line's hash, and beyond that only those that another line shares.
+    """
+    ends = rows.where("x1 is not null").select("h", F.explode(F.array_compact(F.array("x1", "x2", "x3", "x4"))).alias("x"))
+    crowded = materialize(ends.groupBy("x").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo < hi").select("x"), "crowded")
+    alive = materialize(ends.join(broadcast_if_small(crowded, BROADCAST_LINES), "x", "left_semi").select("h").distinct(), "alive")
+    again = line_table(docs, NEAR_WORDS).select("doc_id", "pos", "line", F.xxhash64("line").alias("h"))
+    mine = again.join(broadcast_if_small(alive, BROADCAST_LINES), "h", "left_semi")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("k"), F.col("doc_id").alias("d"), F.col("pos").alias("q"))).alias("o")
+    lines = mine.groupBy("h").agg(F.first("line").alias("line"), first)
+    known = materialize(lines.withColumn("n", F.size(F.split("line", " "))), "near-lines")
+    def variants(emit) -> DataFrame:
+        """``(h, n, i, v)``: ``emit(words)`` gives the hashed key of the line without its i-th word, for each i."""
+        return known.select("h", "n", F.posexplode(emit(F.split("line", " "))).alias("i", "v")).withColumn("i", F.col("i") + 1)
+
+    # one word replaced at i: the words of all other places are hashed with their places
+    swap = variants(_without_one).select("h", "i", F.xxhash64("v", "n", "i").alias("v"))
+    shared = swap.groupBy("v").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo < hi").select("v")
+    shared = materialize(shared, "shared-variants")
+    met = swap.join(broadcast_if_small(shared, BROADCAST_LINES), "v", "left_semi").join(known.select("h", "o"), "h")
+    # all lines of a key are within one word of each other; the earliest is enough
+    first = F.first("h").over(Window.partitionBy("v").orderBy("o", "h"))
+    pairs = met.select("h", first.alias("p"), "i", F.lit("swap").alias("how")).where("p <> h")
+    # one word inserted at i: the longer line's key is the sum over the shorter line's words, whatever their places
+    sums = known.select(F.xxhash64(_bag(F.split("line", " ")), F.col("n") + 1).alias("v"), F.col("h").alias("sh"), F.col("o").alias("so"))
+    sums = materialize(sums, "sums")
+    cut = variants(_bag_without_one).select("h", "i", F.xxhash64("v", "n").alias("v"))
+    cut = cut.join(broadcast_if_small(sums.select("v").distinct(), BROADCAST_LINES), "v", "left_semi").dropDuplicates(["h", "v"])
+    grown = cut.join(sums, "v").join(known.select("h", "o"), "h").where("o <> so")
+    late = F.col("so") < F.col("o")
+    pairs = pairs.unionByName(grown.select(
+        F.when(late, F.col("h")).otherwise(F.col("sh")).alias("h"), F.when(late, F.col("sh")).otherwise(F.col("h")).alias("p"), "i",
+        F.when(late, "cut").otherwise("add").alias("how"),
+    ))
     a = known.select("h", F.split("line", " ").alias("a"))
     b = known.select(F.col("h").alias("p"), F.split("line", " ").alias("b"))
     drop = lambda x: F.concat(F.slice(x, F.lit(1), F.col("i") - 1), F.slice(x, F.col("i") + 1, F.size(x)))
     same = (
         F.when(F.col("how") == "swap", drop(F.col("a")) == drop(F.col("b")))
-        .when(F.col("how") == "cut", drop(F.col("a")) == F.col("b"))
-        .otherwise(F.col("a") == drop(F.col("b")))
+        .when(F.col("how") == "cut", _one_more(F.col("a"), F.col("b")))
+        .otherwise(_one_more(F.col("b"), F.col("a")))
     )
     # a line of many places is verified once for each partner and place, in one pass over the words
-    return pairs.distinct().join(a, "h").join(b, "p").where(same).select("h").distinct(), (alive_table, known)
+    return pairs.distinct().join(a, "h").join(b, "p").where(same).select("h").distinct(), (crowded, alive, known, shared, sums)
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """``docs(doc_id, text)`` -> ``(doc_id, th, dropped)``: sorted numbers of each text's dropped lines, where any."""
-    rows = line_table(docs).select(
-        "doc_id", "th", "pos", "n", F.xxhash64("line").alias("h"),
-        *[F.when(F.col("n") >= NEAR_WORDS, F.expr(f"xxhash64({k}, {side}, substring_index(line, ' ', cast({side} * ({k}) AS int)))")).alias(f"x{j}")
-          for j, (k, side) in enumerate((("n div 2", 1), ("n div 2", -1), ("(n - 1) div 2", 1), ("(n - 1) div 2", -1)), 1)],
-    )
-    rows = materialize(rows, "lines")
-    first = (
-        rows.groupBy("h").agg(
-            F.min("doc_id").alias("first_doc"), F.min_by("pos", "doc_id").alias("first_pos"), F.count("*").alias("c"),
-            F.min("n").alias("n"), *[F.min(f"x{j}").alias(f"x{j}") for j in range(1, 5)],
-        )
-    )
-    classes = materialize(first, "line-classes")
-    near, used = _near_classes(docs, classes)
+    x = [c.alias(f"x{j}") for j, c in enumerate(_ends(), 1)]
+    rows = materialize(line_table(docs).select("doc_id", "th", "pos", F.xxhash64("line").alias("h"), *x), "lines")
+    near, used = _near_classes(docs, rows)
+    near = materialize(near, "near")
+    for done in used:
+        release(done)
+    classes = rows.groupBy("h").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("c"))
     near = near.withColumn("near", F.lit(True))
     marked = materialize(
         classes.join(near, "h", "left").where("c > 1 or near").select("h", "first_doc", F.coalesce("near", F.lit(False)).alias("near")),
         "marked",
     )
-    for done in used:
-        release(done)
-    hits = rows.select("doc_id", "th", "pos", "h").join(marked, "h")
+    fixed = isinstance(docs.schema["doc_id"].dataType, NumericType)  # rows of a known size
+    hits = rows.select("doc_id", "th", "pos", "h").join(broadcast_if_small(marked, BROADCAST_LINES) if fixed else marked, "h")
     # the first place of a line within its own text; narrow rows, and only of lines that occur more than once
     own = hits.groupBy("doc_id", "th", "h").agg(
         F.collect_set("pos").alias("at"), F.first("first_doc").alias("f"), F.first("near").alias("near")
@@ -126,7 +169,7 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
         .groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("pos")).alias("dropped")),
         "dropped",
     )
-    for done in (rows, classes, marked):  # only the places are needed from here on
+    for done in (rows, near, marked):  # only the places are needed from here on
         release(done)
     return out
 
@@ -171,11 +214,12 @@ l AS (SELECT rid, doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS l
 lw AS (SELECT *, list_filter(string_split_regex(lower(line), '[\x20\x09\x0B-\x0D]+'), lambda x: x <> '') AS w FROM l),
 lk AS (SELECT *, len(w) AS n, array_to_string(w, ' ') AS h FROM lw),
 ok AS (SELECT * FROM lk WHERE n >= {MIN_WORDS}),
-cls AS (SELECT h, any_value(w) AS w, any_value(n) AS n, min(doc_id) AS fd, arg_min(pos, doc_id) AS fp FROM ok GROUP BY h),
+o AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id NULLS LAST, pos) AS turn FROM ok),
+cls AS (SELECT h, w, n, doc_id AS fd, pos AS fp FROM o WHERE turn = 1),
 var AS (SELECT h, n, fd, fp, i, array_to_string(list_concat(w[:i-1], w[i+1:]), ' ') AS v FROM
   (SELECT *, unnest(range(1, n + 1)) AS i FROM cls WHERE n >= {NEAR_WORDS})),
-sw AS (SELECT h, row_number() OVER (PARTITION BY v, i, n ORDER BY fd, fp, h) AS r FROM var),
-ins AS (SELECT var.h AS lh, cls.h AS sh, (cls.fd, cls.fp) < (var.fd, var.fp) AS short_first FROM var JOIN cls
+sw AS (SELECT h, row_number() OVER (PARTITION BY v, i, n ORDER BY fd NULLS LAST, fp, h) AS r FROM var),
+ins AS (SELECT var.h AS lh, cls.h AS sh, coalesce(cls.fd < var.fd, cls.fd IS NOT NULL AND var.fd IS NULL) OR (cls.fd IS NOT DISTINCT FROM var.fd AND cls.fp < var.fp) AS short_first FROM var JOIN cls
   ON var.v = cls.h AND cls.n >= {NEAR_WORDS}),
 near AS (SELECT h FROM sw WHERE r > 1 UNION SELECT lh FROM ins WHERE short_first UNION SELECT sh FROM ins WHERE NOT short_first),
 seen AS (SELECT ok.rid, ok.pos, ok.h, cls.fd, ok.doc_id,

@@ -127,3 +127,27 @@ def test_chats_read_back(spark):
     assert [got[c]["error"] for c in (1, 2, 4, 5)] == [None, ">assistant", "user>user", None]
     assert sum(s["loss"] for s in got[1]["segments"]) == 1
     assert chat.format_chats(df.limit(0)).count() == 0
+
+
+def test_the_earliest_of_near_lines_stays(spark):
+    first = " ".join(f"word{i}" for i in range(12))
+    other = first.replace("word5", "else")
+    df = spark.createDataFrame([(1, "\n".join([first, other, first]))], "doc_id long, text string")
+    assert line_dedup.dedup_lines(df).first()["text"] == first
+
+
+def test_edits_at_every_place_and_length(spark):
+    """One word replaced, added and removed at each place, around both lengths where the shared ends change."""
+    docs, n = [], 0
+    for size in (9, 10, 11, 31, 32, 33):
+        for at in {0, 1, 4, 5, size // 2, 15, 16, size - 1} - set(range(size, 99)):
+            words = [f"w{n}x{i}" for i in range(size)]
+            for changed in (words[:at] + ["new"] + words[at + 1 :], words[:at] + ["more"] + words[at:], words[:at] + words[at + 1 :]):
+                base = [f"{w}v{n}" for w in words]
+                docs.append((len(docs), " ".join(base) + "\n" + " ".join(w if w in ("new", "more") else f"{w}v{n}" for w in changed)))
+                n += 1
+    want = plain_lines(docs)
+    out = line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"))
+    got = {r["doc_id"]: r["text"] for r in out.collect()}
+    for i, text in docs:
+        assert got[i] == "\n".join(x for k, x in enumerate(text.split("\n")) if (i, k) not in want), text
