@@ -17,9 +17,15 @@ def text_size(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long")
 
 
-def draw(doc_id: Column, seed: str = SEED) -> Column:
-    """A number in [0, 1) that depends on the seed and the id only: 52 bits of an MD5."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null"))).cast("binary"))
+def text_key(text: Column) -> Column:
+    return F.coalesce(F.md5(text.cast("binary")), F.lit("null"))
+
+
+def draw(doc_id: Column, text: Column, turn: Column, seed: str = SEED) -> Column:
+    """A number in [0, 1) that depends on the seed, the id, the text's :func:`text_key` and the row's number among equal ones
+    only: 52 bits of an MD5. Rows without an id, or that repeat one, thus draw apart."""
+    parts = [F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("null")), text, turn.cast("string")]
+    digest = F.md5(F.concat_ws(":", *parts).cast("binary"))
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long").cast("double") / F.lit(float(1 << 52))
 
 
@@ -50,41 +56,62 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: in
     return rows.select("source", "source_size", target.alias("target"))
 
 
-def copies(size: Column, source_size: Column, target: Column, doc_id: Column, seed: str = SEED) -> Column:
+def copies(source_size: Column, target: Column, u: Column) -> Column:
     """floor(rate) copies, plus one with the probability of the fraction."""
     rate = F.when(source_size > 0, target / source_size).otherwise(F.lit(0.0))
-    return (F.floor(rate) + F.when(draw(doc_id, seed) < rate - F.floor(rate), 1).otherwise(0)).cast("long")
+    return (F.floor(rate) + F.when(u < rate - F.floor(rate), 1).otherwise(0)).cast("long")
+
+
+def _numbered(groups: DataFrame) -> DataFrame:
+    """``groups`` with a count ``m`` -> one row for each ``turn`` of 1 to ``m``, in chunks, so that no long array is made."""
+    chunk = 4096
+    some = groups.withColumn("__a", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("m") - 1) / chunk))))
+    upto = F.least(F.col("m"), (F.col("__a") + 1) * chunk)
+    return some.withColumn("turn", F.explode(F.sequence(F.col("__a") * chunk + 1, upto))).drop("__a")
 
 
 def plan_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
     """``(doc_id, source, size, source_size, target, copies)`` for every row; narrow, no text moves.
 
     Null texts and texts without a word have size zero; null is a source of its own, last. A source whose size is
-    zero has target zero. Rows that repeat a doc_id share its draw.
+    zero has target zero. Rows that agree in id, text and source are counted map-side and numbered, and each draws
+    for itself; which of them has which number makes no difference.
     """
-    narrow = docs.select("doc_id", "source", text_size(F.col("text")).alias("size"))
-    sizes = materialize(narrow, "sizes")
+    text = F.col("text")
+    narrow = docs.select("doc_id", "source", text_key(text).alias("t"), text_size(text).alias("size"))
+    rows = materialize(narrow.groupBy("doc_id", "source", "t", "size").agg(F.count("*").alias("m")), "sizes")
+    sizes = rows.select("source", (F.col("size") * F.col("m")).alias("size"))
     targets = broadcast_if_small(materialize(source_targets(sizes, weights, cap), "targets"))
     own = targets.withColumnRenamed("source", "s")
-    joined = sizes.join(own, sizes["source"].eqNullSafe(own["s"])).drop("s")
-    n = copies(F.col("size"), F.col("source_size"), F.col("target"), F.col("doc_id"), seed)
-    return joined.withColumn("copies", n)
+    joined = rows.join(own, rows["source"].eqNullSafe(own["s"])).drop("s")
+    u = draw(F.col("doc_id"), F.col("t"), F.col("turn"), seed)
+    return _numbered(joined).withColumn("copies", copies(F.col("source_size"), F.col("target"), u)).drop("m", "t", "turn")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
     """The mix itself: every row of ``docs`` with all its columns, as often as the plan says.
 
     Sizes are counted once for the targets; the rows are then repeated in place, without a shuffle when the sources
-    fit a checked broadcast. Extra columns may have any name.
+    fit a checked broadcast. Only rows that agree in id and text with another move, to be numbered. Extra columns may have
+    any name.
     """
-    sizes = materialize(docs.select("source", text_size(F.col("text")).alias("size")), "sizes")
-    targets = broadcast_if_small(materialize(source_targets(sizes, weights, cap), "targets"))
+    text = F.col("text")
+    narrow = materialize(docs.select("doc_id", "source", text_key(text).alias("t"), text_size(text).alias("size")), "sizes")
+    targets = broadcast_if_small(materialize(source_targets(narrow.select("source", "size"), weights, cap), "targets"))
+    again = materialize(narrow.groupBy("doc_id", "t").agg(F.count("*").alias("m")).where("m > 1").select(F.col("doc_id").alias("__d"), F.col("t").alias("__k")), "equal-rows")
     own = targets.select(F.col("source").alias("__s"), F.col("source_size").alias("__n"), F.col("target").alias("__t"))
-    rows = docs.select(packed(docs))
+    rows = docs.select(packed(docs), text_key(text).alias("__h"))
+    if again.limit(1).count():
+        some = broadcast_if_small(again)
+        same = F.col("__row.doc_id").eqNullSafe(F.col("__d")) & (F.col("__h") == F.col("__k"))
+        turn = F.row_number().over(Window.partitionBy(F.col("__row.doc_id"), "__h", F.col("__row.source")).orderBy("__h"))
+        rows = rows.join(some, same, "left_anti").withColumn("__i", F.lit(1)).unionByName(rows.join(some, same, "left_semi").withColumn("__i", turn))
+    else:
+        rows = rows.withColumn("__i", F.lit(1))
     joined = rows.join(own, F.col("__row.source").eqNullSafe(F.col("__s")))
-    n = copies(F.lit(0), F.col("__n"), F.col("__t"), F.col("__row.doc_id"), seed)
-    again = joined.withColumn("__c", n).where("__c > 0")
-    return again.select("__row", F.explode(F.sequence(F.lit(1), F.col("__c").cast("int")))).select("__row.*")
+    n = copies(F.col("__n"), F.col("__t"), draw(F.col("__row.doc_id"), F.col("__h"), F.col("__i"), seed))
+    taken = joined.withColumn("__c", n).where("__c > 0")
+    return taken.select("__row", F.explode(F.sequence(F.lit(1), F.col("__c").cast("int")))).select("__row.*")
 
 
 def op7_mix(spark, sf_dir: str) -> DataFrame:
@@ -109,7 +136,8 @@ finals AS (SELECT arg_min(level, lim / w) AS final FROM levels WHERE lim > w * l
 targets AS (SELECT source, source_size, least(lim, w * final) AS target FROM levels, finals),
 rated AS (SELECT sized.*, source_size, target,
   CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
-  ('0x' || md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'null'))[1:13])::BIGINT::DOUBLE / {float(1 << 52)!r} AS u
+  ('0x' || md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'null') || ':' || coalesce(md5(text), 'null') || ':' ||
+    row_number() OVER (PARTITION BY doc_id, text, sized.source))[1:13])::BIGINT::DOUBLE / {float(1 << 52)!r} AS u
   FROM sized JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source),
 planned AS (SELECT *, (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END)::BIGINT AS copies FROM rated)"""
 

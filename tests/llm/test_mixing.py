@@ -54,3 +54,18 @@ def test_mix_repeats_rows_as_planned_and_keeps_columns(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.mix(docs).count() == 0 and mixing.plan_mix(docs).count() == 0
+
+
+@pytest.mark.parametrize("ids", ["none", "one", "few"])
+@pytest.mark.parametrize("texts", ["equal", "apart"])
+def test_rows_without_an_id_of_their_own_draw_apart(spark, ids, texts):
+    """Each source's taken words come within five deviations of its target, whatever the ids."""
+    key = {"none": lambda i: None, "one": lambda i: 7, "few": lambda i: i % 3}[ids]
+    rows = [(key(i), "one two three" if texts == "equal" else f"w{i} two three", "a" if i % 2 else "b", i) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, turn int")
+    plan = mixing.plan_mix(docs)
+    assert plan.count() == 2000
+    mixed = {r["source"]: r["n"] for r in mixing.mix(docs).groupBy("source").agg(F.count("*").alias("n")).collect()}
+    for r in plan.groupBy("source").agg(F.sum("copies").alias("n"), F.first("target").alias("t")).collect():
+        assert abs(3 * r["n"] - r["t"]) <= 3 * 5 * (1000 * 0.25) ** 0.5
+        assert mixed[r["source"]] == r["n"]
