@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from muster.config import DEFAULT, INCIDENT_TYPES, STATUSES, TRANSITIONS, URGENCIES, Config
 from muster.functions import scalars as S
 from muster.operators.queue import scored
-from muster.runtime import arrow_batches
 
 
 def overlay_location(pred: Column, hint: Column) -> Column:
@@ -88,27 +86,24 @@ def review_once(state: DataFrame, actions: DataFrame, cfg: Config = DEFAULT) ->
 
 
 def apply_reviews(state: DataFrame, actions: DataFrame) -> DataFrame:
-    """Several actions an incident, in order of (at, action_id): each sees the state the one before left."""
-    arrow_batches(state.sparkSession, 10_000)
-    j = actions.join(state.select("incident_id", "status"), "incident_id")
-
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["at", "action_id"])
-        now, out = rows["status"].iloc[0], []
-        for action, target, notes in zip(rows["action_id"], rows["target"], rows["notes"]):
-            if len((notes or "").strip()) < 5:
-                why = "NOTES_TOO_SHORT"
-            elif target == now:
-                why = "NO_CHANGE"
-            elif target in ("NEW", "ANALYZING") or target not in STATUSES:
-                why = "TARGET_NOT_ALLOWED"
-            else:
-                why = None if target in TRANSITIONS.get(now, ()) else "TRANSITION_NOT_ALLOWED"
-            before, now = now, now if why else target
-            out.append((rows["incident_id"].iloc[0], action, before, now, why))
-        return pd.DataFrame(out, columns=["incident_id", "action_id", "previous_status", "status", "rejected"])
-
-    return j.groupBy("incident_id").applyInPandas(walk, "incident_id string, action_id string, previous_status string, status string, rejected string")
+    """Several actions an incident, in order of (at, action_id): each sees the state the one before left.
+
+    The actions of one incident are folded in order inside the JVM; they are made by people, so an array holds them.
+    """
+    step = F.struct("at", "action_id", "target", "notes")
+    groups = actions.groupBy("incident_id").agg(F.array_sort(F.collect_list(step)).alias("steps"))
+    rows = groups.join(state.select("incident_id", "status"), "incident_id")
+    done = "array<struct<action_id:string,previous_status:string,status:string,rejected:string>>"
+
+    def follow(acc: Column, x: Column) -> Column:
+        why = review_verdict(acc["now"], x["target"], x["notes"])
+        now = F.when(why.isNull(), x["target"]).otherwise(acc["now"])
+        row = F.struct(x["action_id"].alias("action_id"), acc["now"].alias("previous_status"), now.alias("status"), why.alias("rejected"))
+        return F.struct(now.alias("now"), F.concat(acc["done"], F.array(row)).cast(done).alias("done"))
+
+    start = F.struct(F.col("status").alias("now"), F.array().cast(done).alias("done"))
+    walked = rows.select("incident_id", F.aggregate("steps", start, follow)["done"].alias("d"))
+    return walked.select("incident_id", F.explode("d").alias("r")).select("incident_id", "r.*")
 
 
 OVERRIDABLE = ("incident_type", "urgency", "people_at_risk_count", "location_text", "required_response", "priority_score")
@@ -144,5 +139,5 @@ def apply_overrides(state: DataFrame, actions: DataFrame, cfg: Config = DEFAULT)
     out = scored(j, cfg).withColumn("priority_score", F.coalesce(F.round(manual, 2), "priority_score"))
     touched = F.coalesce(*[F.col(f"o_{f}") for f in OVERRIDABLE]).isNotNull()
     return out.withColumn("priority_level", S.priority_level(F.col("priority_score"), cfg)).withColumn("overridden", touched).select(
-        *[c for c in out.columns if not c.startswith("o_") and c not in ("overridden", "priority_level")], "priority_level", "overridden"
+        *[c for c in out.columns if c not in {*(f"o_{f}" for f in OVERRIDABLE), "overridden", "priority_level"}], "priority_level", "overridden"
     )

@@ -51,27 +51,31 @@ def _(spark, d):
     return with_metadata(spark, d).select("report_id", R.allow_metadata(c("metadata"), ("caller_id",))["caller_id"].alias("caller"))
 
 
-@query("rows_as_json")
+@query("rows_as_json", """SELECT '{"override_id":"' || override_id || '","incident_id":"' || incident_id || '","operator_id":"' || operator_id || '","field":"' || field || '","previous_value":"' || previous_value || '","new_value":"' || new_value
+ || '","reason":"' || reason || '","created_at":"' || strftime(created_at, '%Y-%m-%dT%H:%M:%S.000Z') || '"}' AS "row" FROM audit""")
 def _(spark, d):
     return R.rows_as_json(view(spark, d, "audit"))
 
 
-@query("change_feed")
+@query("change_feed", """WITH f AS (SELECT incident_id, event = 'INCIDENT_CREATED' AS fresh, coalesce(status, 'ACTIVE') AS st, event_at FROM feed),
+e AS (SELECT *, CASE WHEN fresh THEN 'INCIDENT_CREATED' ELSE 'INCIDENT_UPDATED' END AS event FROM f UNION ALL SELECT *, 'STATUS_CHANGED' FROM f WHERE NOT fresh AND st <> 'ACTIVE')
+SELECT event, '{"incident_id":"' || incident_id || '","status":"' || st || '"}' AS payload, strftime(event_at, '%Y-%m-%dT%H:%M:%SZ') AS "timestamp" FROM e""")
 def _(spark, d):
     f = view(spark, d, "feed")
     return R.to_feed(f.select("incident_id", (c("event") == "INCIDENT_CREATED").alias("is_new"), F.coalesce("status", F.lit("ACTIVE")).alias("status"), F.lit("ACTIVE").alias("previous_status"), c("event_at").alias("at")))
 
 
-@query("src_reports")
+@query("src_reports", "SELECT report_id, md5(text) AS text, source, is_synthetic, date_trunc('millisecond', reported_at) AS reported_at, caller_id AS caller FROM report")
 def _(spark, d):
     import uuid
 
     path = f"{shared_dir(spark)}/muster-src-{uuid.uuid4().hex}"
     with_metadata(spark, d).select("report_id", "text", "source", "is_synthetic", "reported_at", "metadata").write.json(path)
-    return R.read_reports(spark, path, "json")
+    got = R.read_reports(spark, path, "json")
+    return got.select("report_id", F.md5("text").alias("text"), "source", "is_synthetic", "reported_at", c("metadata")["caller_id"].alias("caller"))
 
 
-@query("src_labelled")
+@query("src_labelled", "SELECT event_id::VARCHAR AS event_id, report_id, md5(text) AS text, 'g' || (event_id % 37) AS incident_group, urgency AS expected_urgency FROM report")
 def _(spark, d):
     import uuid
 
@@ -83,10 +87,10 @@ def _(spark, d):
         F.struct(F.concat(F.lit("g"), c("event_id") % 37).alias("incident_group"), c("urgency").alias("expected_urgency")).alias("ground_truth"),
     ).write.json(path)
     reports, labels = R.read_labelled(spark, path)
-    return reports.select("event_id", "report_id", "text").join(labels.select("report_id", "incident_group", "expected_urgency"), "report_id")
+    return reports.select("event_id", "report_id", F.md5("text").alias("text")).join(labels.select("report_id", "incident_group", "expected_urgency"), "report_id")
 
 
-@query("tables_roundtrip")
+@query("tables_roundtrip", "SELECT report_id, is_synthetic, reported_at, urgency, reported_at::DATE AS day FROM report")
 def _(spark, d):
     import uuid
 
@@ -96,7 +100,7 @@ def _(spark, d):
     return R.read_table(spark, path, "report_id string, is_synthetic boolean, reported_at timestamp, urgency string")
 
 
-@query("scorecard")
+@query("scorecard", "SELECT 'quality' AS suite, lang AS metric, avg(y_true) AS value, count(*) AS n FROM label GROUP BY lang")
 def _(spark, d):
     import uuid
 
@@ -156,7 +160,8 @@ def _(spark, d):
     return p.select("report_id", V.prediction_reasons().alias("reasons"))
 
 
-@query("normalise_predictions")
+@query("normalise_predictions", """SELECT report_id, CASE event_id % 3 WHEN 0 THEN 'FIRE_WILDFIRE_EXPLOSION' WHEN 1 THEN 'FLOOD' ELSE 'OTHER_GENERAL_INCIDENT' END AS incident_type, CASE WHEN event_id % 3 = 2 THEN 'LOW' ELSE coalesce(urgency, 'LOW') END AS urgency,
+ CASE WHEN event_id % 3 = 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS confidence, CASE WHEN event_id % 3 <> 2 THEN people_count END AS people_count, event_id % 3 <> 2 AND coalesce(people_count > 0, false) AS at_risk, event_id % 3 <> 2 AS valid FROM report""")
 def _(spark, d):
     r = view(spark, d, "report")
     nested = F.to_json(F.struct(F.struct(F.lit("fire_wildfire_explosion").alias("label")).alias("incident_type"), F.struct(F.lower("urgency").alias("label"), F.lit(0.5).alias("confidence")).alias("urgency"), F.struct(c("people_count").alias("count")).alias("people_at_risk")))

@@ -57,29 +57,29 @@ def drained(spark, df, mode: str = "append"):
     return spark.read.schema(df.schema).parquet(path)
 
 
-@query("stream_source")
+@query("stream_source", "SELECT report_id, reported_at FROM report")
 def _(spark, d):
     return drained(spark, streamed(spark, d).select("report_id", "reported_at"))
 
 
-@query("stream_dedup")
+@query("stream_dedup", "SELECT report_id, reported_at FROM report")
 def _(spark, d):
     s = streamed(spark, d)
     return drained(spark, S.dedup_stream(s.union(s.where("latitude is null"))).select("report_id", "reported_at"))
 
 
-@query("late_reports")
+@query("late_reports", "SELECT report_id, reported_at FROM report WHERE reported_at < timestamp '2024-01-10 00:00:00'")
 def _(spark, d):
     r = view(spark, d, "report")
     return S.split_late(r, "2024-01-10 00:00:00")[1].select("report_id", "reported_at")
 
 
-@query("stream_pulse")
+@query("stream_pulse", "SELECT date_trunc('hour', reported_at) AS pulse, count(*) AS injected FROM report GROUP BY 1")
 def _(spark, d):
     return drained(spark, S.pulse_stream(streamed(spark, d, closing=True)))
 
 
-@query("stream_enrich")
+@query("stream_enrich", "SELECT report_id, r_regionkey FROM report LEFT JOIN region ON r_name = location_text")
 def _(spark, d):
     from muster.plans.views import table
 
@@ -102,7 +102,7 @@ def _(spark, d):
     return S.apply_feed(view(spark, d, "feed"))
 
 
-ACT = """act AS (SELECT *, CASE o_orderkey % 6 WHEN 0 THEN 'VERIFIED' WHEN 1 THEN 'RESOLVED' WHEN 2 THEN 'ACTIVE' WHEN 3 THEN 'ESCALATED' WHEN 4 THEN 'NEW' ELSE 'FALSE_REPORT' END AS target, CASE WHEN o_orderkey % 17 = 0 THEN 'ok' ELSE 'checked twice' END AS notes FROM incident WHERE o_orderkey % 3 <> 0),
+ACT = """act AS (SELECT *, CASE o_orderkey % 6 WHEN 0 THEN 'VERIFIED' WHEN 1 THEN 'RESOLVED' WHEN 2 THEN 'ACTIVE' WHEN 3 THEN 'ESCALATED' WHEN 4 THEN 'NEW' ELSE 'FALSE_REPORT' END AS target, CASE WHEN o_orderkey % 17 = 0 THEN 'ok' ELSE 'checked twice' END AS notes FROM incident),
 ver AS (SELECT *, CASE WHEN length(trim(notes)) < 5 THEN 'NOTES_TOO_SHORT' WHEN status = target THEN 'NO_CHANGE' WHEN target = 'NEW' THEN 'TARGET_NOT_ALLOWED' WHEN status IN ('ACTIVE', 'NEEDS_REVIEW', 'VERIFIED') THEN NULL
  WHEN status = 'ESCALATED' AND target <> 'FALSE_REPORT' THEN NULL WHEN status = 'RESOLVED' AND target = 'ACTIVE' THEN NULL ELSE 'TRANSITION_NOT_ALLOWED' END AS rejected FROM act)"""
 
@@ -110,7 +110,7 @@ ver AS (SELECT *, CASE WHEN length(trim(notes)) < 5 THEN 'NOTES_TOO_SHORT' WHEN
 def actions(spark, d):
     k = c("o_orderkey")
     t = F.element_at(F.array(*map(F.lit, ("VERIFIED", "RESOLVED", "ACTIVE", "ESCALATED", "NEW", "FALSE_REPORT"))), (k % 6 + 1).cast("int"))
-    i = view(spark, d, "incident").where("o_orderkey % 3 <> 0")
+    i = view(spark, d, "incident")
     return i.select("incident_id", t.alias("target"), F.when(k % 17 == 0, "ok").otherwise("checked twice").alias("notes"), k)
 
 
@@ -119,7 +119,10 @@ def _(spark, d):
     return W.review_once(view(spark, d, "incident"), actions(spark, d).drop("o_orderkey")).select("incident_id", "status", "rejected")
 
 
-@query("apply_reviews")
+@query("apply_reviews", f"""WITH {ACT}, one AS (SELECT *, CASE WHEN rejected IS NULL THEN target ELSE status END AS s1 FROM ver)
+SELECT incident_id, 'a-' || o_orderkey AS action_id, status AS previous_status, s1 AS status, rejected FROM one
+UNION ALL SELECT incident_id, 'b-' || o_orderkey, s1, CASE WHEN s1 IN ('NEEDS_REVIEW', 'VERIFIED', 'ESCALATED', 'RESOLVED') THEN 'ACTIVE' ELSE s1 END,
+ CASE WHEN s1 = 'ACTIVE' THEN 'NO_CHANGE' WHEN s1 NOT IN ('NEEDS_REVIEW', 'VERIFIED', 'ESCALATED', 'RESOLVED') THEN 'TRANSITION_NOT_ALLOWED' END FROM one""")
 def _(spark, d):
     a = actions(spark, d)
     two = a.select("incident_id", "target", "notes", F.concat(F.lit("a-"), "o_orderkey").alias("action_id"), F.lit(1).alias("at")).unionByName(
@@ -132,15 +135,17 @@ def overrides(spark, d):
     k = c("o_orderkey")
     field = F.when(k % 3 == 0, "priority_score").when(k % 3 == 1, "urgency").otherwise("people_at_risk_count")
     value = F.when(k % 3 == 0, (k % 120).cast("string")).when(k % 3 == 1, "CRITICAL").otherwise((k % 9 - 1).cast("string"))
-    return view(spark, d, "incident").where("o_orderkey % 2 = 0").select(
+    return view(spark, d, "incident").select(
         "incident_id", field.alias("field"), value.alias("new_value"), F.lit("seen on site").alias("reason"), c("created_at").alias("at"), F.concat(F.lit("o-"), k).alias("override_id")
     )
 
 
-@query("override_priority", """SELECT incident_id, (o_orderkey % 120)::DOUBLE AS priority_score, CASE WHEN o_orderkey % 120 >= 80 THEN 'CRITICAL' WHEN o_orderkey % 120 >= 60 THEN 'HIGH' WHEN o_orderkey % 120 >= 35 THEN 'MEDIUM' ELSE 'LOW' END AS priority_level FROM incident WHERE o_orderkey % 6 = 0 AND o_orderkey % 120 <= 100""")
+@query("override_priority", """SELECT incident_id, CASE o_orderkey % 3 WHEN 0 THEN o_orderkey % 120 <= 100 WHEN 1 THEN true ELSE o_orderkey % 9 >= 1 END AS overridden, CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 120 <= 100 THEN (o_orderkey % 120)::DOUBLE END AS priority_score,
+ CASE WHEN o_orderkey % 3 <> 0 OR o_orderkey % 120 > 100 THEN NULL WHEN o_orderkey % 120 >= 80 THEN 'CRITICAL' WHEN o_orderkey % 120 >= 60 THEN 'HIGH' WHEN o_orderkey % 120 >= 35 THEN 'MEDIUM' ELSE 'LOW' END AS priority_level FROM incident""")
 def _(spark, d):
     out = W.apply_overrides(view(spark, d, "incident"), overrides(spark, d))
-    return out.where("o_orderkey % 6 = 0 and overridden").select("incident_id", "priority_score", "priority_level")
+    manual = (c("o_orderkey") % 3 == 0) & c("overridden")
+    return out.select("incident_id", "overridden", F.when(manual, c("priority_score")).alias("priority_score"), F.when(manual, c("priority_level")).alias("priority_level"))
 
 
 @query("apply_overrides")

@@ -29,12 +29,16 @@ def docs(spark, d):
     return table(spark, d, "documents").select("doc_id", "text")
 
 
-@query("clean_text", r"SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(text, '[\x00-\x1f]', ' ', 'g'), '[\s]+', ' ', 'g'), ' +([!?,.:;])', '\1', 'g'))) AS clean FROM documents WHERE lang = 'en'")
+# The same classes of blanks and controls in both engines.
+CLEAN = r"""SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(text, '[\x00-\x1f\x7f-\x9f\x{200b}-\x{200f}\x{2028}-\x{202e}\x{2060}\x{feff}]', ' ', 'g'), '[ \xa0]+', ' ', 'g'), ' +([!?,.:;])', '\1', 'g'))) AS clean FROM documents"""
+
+
+@query("clean_text", CLEAN)
 def _(spark, d):
-    return table(spark, d, "documents").where("lang = 'en'").select("doc_id", F.md5(T.tidy_spaces(c("text")).cast("binary")).alias("clean"))
+    return docs(spark, d).select("doc_id", F.md5(T.tidy_spaces(c("text")).cast("binary")).alias("clean"))
 
 
-@query("clean_text_all")
+@query("clean_text_all", CLEAN)
 def _(spark, d):
     return docs(spark, d).select("doc_id", F.md5(T.tidy_spaces(c("text")).cast("binary")).alias("clean"))
 
@@ -103,7 +107,7 @@ def _(spark, d):
     return T.risk_signals(docs(spark, d), lex, "doc_id")
 
 
-@query("people_at_risk")
+@query("people_at_risk", "SELECT report_id, (event_id % 30)::INT AS people_count, 0.75::DOUBLE AS people_confidence, NULL::VARCHAR AS people_warning FROM report")
 def _(spark, d):
     r = view(spark, d, "report").select("report_id", F.concat(F.lit("about "), (c("event_id") % 30).cast("string"), F.lit(" people trapped near room 12")).alias("text"))
     return T.people_at_risk(r)
@@ -119,7 +123,8 @@ def _(spark, d):
     return T.extract_entities(docs(spark, d), lexicon(spark).select("term", c("tier").alias("entity_type")), "doc_id")
 
 
-@query("primary_location")
+@query("primary_location", """WITH p AS (SELECT report_id, array_to_string(list_transform(string_split(location_text, ' '), lambda w: upper(w[1:1]) || lower(w[2:])), ' ') AS place FROM report)
+SELECT report_id, place, CASE WHEN place IS NULL THEN 'UNKNOWN' ELSE 'APPROXIMATE' END AS place_precision, CASE WHEN place IS NOT NULL THEN 0.75::DOUBLE END AS place_confidence FROM p""")
 def _(spark, d):
     r = view(spark, d, "report").select("report_id", F.concat(F.lit("fire near "), F.initcap(F.lower("location_text")), F.lit(" now")).alias("text"))
     return T.extract_location(r)
