@@ -17,37 +17,43 @@ from pyspark.sql import functions as F
 from muster.runtime import arrow_batches
 
 SAMPLE_CHARS = 30_000  # per language
-MAX_LANGUAGES = 200
-BLOCK = 256  # phrases end at block edges, so that many blocks are parsed at a time
+SAMPLE_DOCS = 200  # documents that a language's sample is taken from, at most
+BLOCK = 256  # characters that are parsed side by side with other blocks
+GROUP = 4096  # blocks in memory at a time
+PIECE = 1 << 18  # characters of a text that are made code points at a time
 _WORKER: dict[tuple, list] = {}
 
 
-def normalise(text: str) -> np.ndarray:
-    """Lower-cased code points with every run of non-letters as one space."""
-    low = text.lower()
-    codes = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    small = codes < len(LETTER)
-    letter = np.where(small, LETTER[np.minimum(codes, len(LETTER) - 1)], False)
-    for i in np.nonzero(~small)[0].tolist():
-        letter[i] = chr(codes[i]).isalpha()
-    codes = np.where(letter, codes, 32)
-    keep = letter.copy()
-    if len(codes):
+LETTER = np.array([chr(c).isalpha() for c in range(0x10000)])
+
+
+def pieces(text: str) -> Iterator[np.ndarray]:
+    """Lower-cased code points with every run of non-letters as one space, a bounded piece at a time."""
+    low, after_letter = text.lower(), False
+    for at in range(0, len(low), PIECE):
+        codes = np.frombuffer(low[at : at + PIECE].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int32)
+        small = codes < len(LETTER)
+        letter = small & LETTER[np.where(small, codes, 0)]
+        for i in np.nonzero(~small)[0].tolist():
+            letter[i] = chr(codes[i]).isalpha()
+        keep = letter.copy()
         keep[1:] |= letter[:-1]
-    return codes[keep]
+        keep[0] |= after_letter
+        after_letter = bool(letter[-1])
+        yield np.where(letter, codes, 32)[keep]
 
 
-LETTER = np.array([chr(c).isalpha() for c in range(0x10000)])
+def normalise(text: str) -> np.ndarray:
+    return np.concatenate([np.empty(0, np.int32), *pieces(text)])
 
 
 class Automaton:
-    """Suffix automaton of one sample as a dense transition table over the sample's own alphabet."""
+    """Suffix automaton of one sample. Its moves share one array: state ``s`` has symbol ``c`` at ``base[s] + c`` if
+    ``owner`` says so there. Rows are fitted into each other's gaps, so memory follows the sample, not its alphabet."""
 
     def __init__(self, sample: np.ndarray):
         self.alphabet, coded = np.unique(sample, return_inverse=True)
         self.bits = float(np.log2(max(2, len(sample))))
-        width = len(self.alphabet)
-        table = np.full((2 * len(sample) + 2, width + 1), -1, np.int32)  # the last symbol is in no sample
         rows: list[dict[int, int]] = [{}]
         length, link, last = [0], [-1], 0
         for c in coded.tolist():
@@ -73,58 +79,126 @@ class Automaton:
                         p = link[p]
                     link[q] = link[new] = twin
             last = new
-        self.table = table[: len(rows)]
-        for state, moves in enumerate(rows):
-            if moves:
-                self.table[state, list(moves)] = list(moves.values())
+        self._pack(rows)
+
+    def _pack(self, rows: list[dict[int, int]]) -> None:
+        """Rows of two and more moves go, longest first, to a random place where they fit; single moves fill the gaps."""
+        width, edges = len(self.alphabet) + 1, sum(map(len, rows))  # the last symbol is in no sample
+        rng, end = np.random.default_rng(7), width
+        self.base = np.full(len(rows), width, np.int32)
+        self.owner, self.to = np.full(4 * edges + 4 * width, -1, np.int32), np.zeros(4 * edges + 4 * width, np.int32)
+        sizes = np.array([len(r) for r in rows])
+        for state in np.argsort(-sizes, kind="stable")[: int((sizes > 1).sum())].tolist():
+            symbols = np.fromiter(rows[state], np.int64, len(rows[state]))
+            tries = np.sort(rng.integers(0, end, 128))
+            fits = (self.owner[tries[:, None] + symbols] < 0).all(axis=1)
+            at = int(tries[fits.argmax()]) if fits.any() else end
+            places = at + symbols
+            end = max(end, int(places.max()) + 1)
+            if end + 2 * width > len(self.owner):
+                self.owner = np.concatenate([self.owner, np.full(len(self.owner), -1, np.int32)])
+                self.to = np.concatenate([self.to, np.zeros(len(self.to), np.int32)])
+            self.base[state], self.owner[places], self.to[places] = at, state, list(rows[state].values())
+        singles = np.nonzero(sizes == 1)[0]
+        gaps = width + np.nonzero(self.owner[width:] < 0)[0][: len(singles)]
+        if len(gaps) < len(singles):
+            more = np.arange(len(self.owner), len(self.owner) + len(singles) - len(gaps))
+            gaps = np.concatenate([gaps, more])
+        end = max(end, int(gaps[-1]) + 1 if len(gaps) else 0) + width
+        grown = max(0, end - len(self.owner))
+        self.owner = np.concatenate([self.owner, np.full(grown, -1, np.int32)])[:end].copy()
+        self.to = np.concatenate([self.to, np.zeros(grown, np.int32)])[:end].copy()
+        only = [next(iter(rows[s].items())) for s in singles.tolist()]
+        self.base[singles] = gaps - np.array([c for c, _ in only], np.int64)
+        self.owner[gaps], self.to[gaps] = singles, [t for _, t in only]
+        self.first = np.zeros(width, np.int32)  # the root's moves; 0 where it has none
+        self.first[list(rows[0])] = list(rows[0].values())
 
     def coded(self, codes: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.alphabet, codes)
+        at = np.searchsorted(self.alphabet, codes).astype(np.int32)
         at[at == len(self.alphabet)] = 0
-        return np.where(self.alphabet[at] == codes, at, len(self.alphabet))
-
-    def phrases(self, blocks: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Phrases of each row of ``blocks`` (padded with -1; rows sorted by falling length)."""
-        count = np.zeros(len(blocks), np.int64)
-        state = np.zeros(len(blocks), np.int32)
-        coded = self.coded(blocks.ravel()).reshape(blocks.shape)
-        live = np.searchsorted(-lengths, -np.arange(blocks.shape[1]), side="left")
-        for j in range(blocks.shape[1]):
-            n = live[j]
-            if not n:
-                break
-            c = coded[:n, j]
-            after = self.table[state[:n], c]
-            fails = after < 0
-            count[:n] += fails | (state[:n] == 0)  # a phrase starts here; a symbol of no sample is one of its own
-            state[:n] = np.maximum(np.where(fails, self.table[0, c], after), 0)
-        return count
+        return np.where(self.alphabet[at] == codes, at, np.int32(len(self.alphabet))) if len(self.alphabet) else at
+
+    def step(self, state: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next states, and where a phrase starts; a symbol of no sample is one of its own."""
+        place = self.base[state] + c
+        goes = self.owner[place] == state
+        return np.where(goes, self.to[place], self.first[c]), ~goes | (state == 0)
+
+    def phrases(self, blocks: np.ndarray, lengths: np.ndarray, follows: np.ndarray, entry: int) -> tuple[np.ndarray, int]:
+        """Phrases that start in each row of ``blocks`` and the last row's state, as if rows that follow were one text.
+
+        All rows are parsed from the root side by side. A row that ``follows`` the one before it is then parsed again
+        from that one's last state, only until both parses start a phrase at one place: from there on they agree.
+        Where they never do, the row's last state changes and the row after it is parsed again.
+        """
+        order = np.argsort(-lengths, kind="stable")
+        sorted_codes = np.ascontiguousarray(self.coded(blocks[order].T.ravel()).reshape(blocks.shape[::-1]))
+        live = np.searchsorted(-lengths[order], -np.arange(blocks.shape[1]), side="left")
+        state, begun = np.zeros(len(blocks), np.int32), np.zeros(sorted_codes.shape, bool)
+        for j, n in enumerate(live.tolist()):
+            state[:n], begun[j, :n] = self.step(state[:n], sorted_codes[j, :n])
+        exits, back = np.empty_like(state), np.argsort(order, kind="stable")
+        exits[order] = state
+        coded, starts = sorted_codes[:, back], begun[:, back]
+        todo, used = np.nonzero(follows)[0], np.zeros(len(blocks), np.int32)
+        while len(todo):
+            given = np.where(todo > 0, exits[todo - 1], entry).astype(np.int32)
+            fresh = given != used[todo]
+            on, state, changed = todo[fresh], given[fresh], []
+            used[on] = state
+            for j in range(len(coded) + 1):
+                done = lengths[on] <= j
+                if done.any():
+                    changed.append(on[done][exits[on[done]] != state[done]])
+                    exits[on[done]] = state[done]
+                    on, state = on[~done], state[~done]
+                if not len(on):
+                    break
+                state, now = self.step(state, coded[j, on])
+                met = now & starts[j, on]
+                starts[j, on] = now
+                on, state = on[~met], state[~met]
+            after = np.concatenate([np.empty(0, np.int64), *changed]).astype(np.int64) + 1
+            after = after[after < len(blocks)]
+            todo = np.sort(after[follows[after]])
+        return starts.sum(axis=0), int(exits[-1])
 
 
 def entropies(texts: list[str], models: list[Automaton]) -> np.ndarray:
-    """Bits a letter for each text and model; texts without letters get infinity."""
-    parts, owner = [], []
-    sizes = np.zeros(len(texts), np.int64)
+    """Bits a letter for each text and model; texts without letters get infinity.
+
+    Blocks are gathered up to ``GROUP`` of them, whatever the texts' lengths; a text that goes on in the next group
+    takes its states with it.
+    """
+    sizes, total = np.zeros(len(texts), np.int64), np.zeros((len(texts), len(models)))
+    held: list[tuple[int, bool, np.ndarray]] = []  # text, whether it goes on from the block before, code points
+    states = [0] * len(models)
+
+    def parse() -> None:
+        if not held:
+            return
+        lengths = np.array([len(x) for _, _, x in held])
+        blocks = np.full((len(held), int(lengths.max())), -1, np.int32)
+        for row, (_, _, x) in enumerate(held):
+            blocks[row, : len(x)] = x
+        owner, follows = np.array([i for i, _, _ in held]), np.array([f for _, f, _ in held])
+        for m, model in enumerate(models):
+            count, states[m] = model.phrases(blocks, lengths, follows, states[m])
+            total[:, m] += np.bincount(owner, count, len(texts))
+        held.clear()
+
     for i, t in enumerate(texts):
-        codes = normalise(t)
-        sizes[i] = len(codes)
-        for at in range(0, len(codes), BLOCK):
-            parts.append(codes[at : at + BLOCK])
-            owner.append(i)
-    if not parts:
-        return np.full((len(texts), len(models)), np.inf)
-    lengths = np.array([len(p) for p in parts])
-    order = np.argsort(-lengths, kind="stable")
-    blocks = np.full((len(parts), int(lengths.max())), -1, np.int64)
-    for row, k in enumerate(order.tolist()):
-        blocks[row, : lengths[k]] = parts[k]
-    owner = np.array(owner)[order]
-    out = np.empty((len(texts), len(models)))
+        for codes in pieces(t):
+            for at in range(0, len(codes), BLOCK):
+                part = codes[at : at + BLOCK]
+                held.append((i, sizes[i] > 0, part))
+                sizes[i] += len(part)
+                if len(held) == GROUP:
+                    parse()
+    parse()
     with np.errstate(divide="ignore", invalid="ignore"):
-        for m, model in enumerate(models):
-            total = np.bincount(owner, model.phrases(blocks, lengths[order]), len(texts))
-            out[:, m] = np.where(sizes > 0, total * model.bits / sizes, np.inf)
-    return out
+        return np.where(sizes[:, None] > 0, total * np.array([m.bits for m in models]) / sizes[:, None], np.inf)
 
 
 def learn_samples(
@@ -141,14 +215,12 @@ def learn_samples(
     rows = labelled.where(lang.isNotNull() & text.isNotNull()).select(
         lang.alias("lang"), text.substr(place, F.lit(size)).alias("t"), h.alias("h")
     )
-    best = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min_by("t", "h").alias("any"))
-    names = [r["lang"] for r in best.orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).select("lang").collect()]
     # a partial top-k per task and language, then the same once more: no language's rows meet in one task
     some = Window.partitionBy("lang", "salt").orderBy("h")
-    once = rows.where(F.col("lang").isin(names)).withColumn("salt", F.pmod("h", F.lit(64)))
-    kept = once.withColumn("r", F.row_number().over(some)).where("r <= 200").drop("r", "salt")
+    once = rows.withColumn("salt", F.pmod("h", F.lit(64)))
+    kept = once.withColumn("r", F.row_number().over(some)).where(F.col("r") <= SAMPLE_DOCS).drop("r", "salt")
     last = Window.partitionBy("lang").orderBy("h", "t")
-    got = kept.withColumn("r", F.row_number().over(last)).where("r <= 200").select("lang", "r", "t").collect()
+    got = kept.withColumn("r", F.row_number().over(last)).where(F.col("r") <= SAMPLE_DOCS).select("lang", "r", "t").collect()
     samples: dict[str, list[str]] = {}
     for r in sorted(got, key=lambda r: (r["lang"], r["r"])):
         samples.setdefault(r["lang"], []).append(r["t"])
