@@ -227,9 +227,26 @@ def _similar(a: Column, b: Column, words: int, similarity: float) -> Column:
 
 
 def _slots_close(a: Column, b: Column, budget: int) -> Column:
-    """The whole ring's budget; the equal segment that made the pair is its chain's first link."""
-    whole = sum((a[i] != b[i]).cast("int") for i in range(1, SLOTS)) + (a[0] != b[0]).cast("int")
-    return whole <= budget
+    """Pigeonring: from some segment on, every chain of segments stays within its share of the budget; then the whole ring.
+
+    The segments' differences are counted once a pair; chains run over them twice round, as running sums.
+    """
+    ring = SLOTS // BAND
+    segment = lambda j: sum((a[j * BAND + i] != b[j * BAND + i]).cast("int") for i in range(1, BAND)) + (a[j * BAND] != b[j * BAND]).cast("int")
+    shares = F.array(*[F.lit(length * budget // ring) for length in range(1, ring + 1)])
+
+    def some_chain_holds(differ: Column) -> Column:
+        def chain(start: Column) -> Column:
+            pairs = F.zip_with(F.slice(F.concat(differ, differ), start, F.lit(ring)), shares, lambda d, most: F.struct(d.alias("d"), most.alias("most")))
+            begin = F.struct(F.lit(0).alias("sum"), F.lit(True).alias("ok"))
+            end = F.aggregate(pairs, begin, lambda s, x: F.struct((s["sum"] + x["d"]).alias("sum"), (s["ok"] & (s["sum"] + x["d"] <= x["most"])).alias("ok")))
+            return end["ok"]
+
+        return F.exists(F.sequence(F.lit(1), F.lit(ring)), chain)
+
+    total = lambda differ: F.aggregate(differ, F.lit(0), lambda s, d: s + d)
+    bound = F.array(F.array(*[segment(j) for j in range(ring)]))
+    return F.exists(bound, lambda differ: some_chain_holds(differ) & (total(differ) <= budget))
 
 
 def similar_components(
@@ -238,7 +255,8 @@ def similar_components(
     """``(id, text_hash, component)``: rows whose texts are connected by pairs at ``similarity`` or more.
 
     Equal slot fingerprints (exact copies, but for chance) form one class first. Classes that agree on one whole
-    segment of the ring are candidates; the others' chance of a pair at 0.8 is 2 in 10,000. Buckets of up to
+    segment of the ring are candidates; the others' chance of a pair at 0.8 is 2 in 10,000. Chains of segments prune
+    the candidates, and the whole ring after them. Buckets of up to
     ``crowded`` classes give all pairs. In a larger bucket every class is checked against the bucket's least class; then,
     exactly, each class that is still apart from it is paired with the whole bucket. All pairs are verified on the
     texts' exact shingle sets, so distinct texts below ``similarity`` never link.
