@@ -8,6 +8,7 @@ documents whose quality label stands for all their lines.
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from muster.runtime import arrow_batches
 
 FIT_DOCS = 3_000  # labelled documents that the field is trained on, least id hash first
-FIT_LINES = 100  # documents with more lines are not trained on
+FIT_LINES = 100  # consecutive lines of each that it is trained on; a longer document's run is placed by its text's checksum
 CONTENT_SHARE = 0.5  # of the words
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -171,7 +172,11 @@ SCHEMA = (
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> LineField:
-    """Train on at most ``fit_docs`` rows of ``labels(doc_id, quality)``, the bounded sample of a fitted model."""
+    """Train on at most ``fit_docs`` rows of ``labels(doc_id, quality)``, the bounded sample of a fitted model.
+
+    Null texts are empty ones; null ids and labels teach nothing; of rows that repeat an id one text is taken; without both
+    labels every line is content.
+    """
     arrow_batches(docs.sparkSession)
     picked = (
         labels.where("doc_id is not null and quality is not null")
@@ -182,10 +187,17 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> LineFie
     @F.pandas_udf("array<array<double>>")
     def features(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            found = [text_lines(t)[0] for t in texts]
-            yield pd.Series([f if len(f) <= FIT_LINES else [] for f in found])
-
-    sample = docs.join(F.broadcast(picked), "doc_id").select("y", "h", "doc_id", features(F.coalesce("text", F.lit(""))).alias("f"))
+            out = []
+            for t in texts:
+                found = text_lines(t)[0]
+                at = zlib.crc32(t.encode()) % max(1, len(found) - FIT_LINES + 1)
+                out.append(found[at : at + FIT_LINES])
+            yield pd.Series(out, dtype=object)
+
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("y", "h", "doc_id", F.coalesce("text", F.lit("")).alias("t"))
+    # rows that repeat an id count once, or the sample would have no bound
+    once = rows.groupBy("doc_id", "y", "h").agg(F.min_by("t", F.xxhash64("t")).alias("t"))
+    sample = once.select("y", "h", "doc_id", features("t").alias("f"))
     rows = sorted(sample.collect(), key=lambda r: (r["h"], r["doc_id"]))
     return train([([list(x) for x in r["f"]], r["y"]) for r in rows])
 
