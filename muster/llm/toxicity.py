@@ -155,6 +155,7 @@ def karlin_lambda(values: np.ndarray, weights: np.ndarray) -> float:
 def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> ToxicityModel:
     """Fit on ``docs(doc_id, text)`` and ``labels(doc_id, toxic)``, both already limited to rows that may be seen.
 
+    Null texts are empty ones; null ids and labels teach nothing; of rows that repeat an id one text is taken.
     At most ``fit_docs`` labelled rows are used (the bounded sample of a classifier): two thirds give the token
     tables, one third the extreme-value and the final calibration.
     """
@@ -166,12 +167,14 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> Toxicit
         .orderBy("h", "doc_id")
         .limit(fit_docs)
     )
-    sample = docs.join(F.broadcast(picked), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "toxic", "h")
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic", "h")
+    # rows that repeat an id count once, or the sample would have no bound
+    sample = rows.groupBy("doc_id", "toxic", "h").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     part = F.pmod(F.col("h"), F.lit(3))
     model = ToxicityModel(*_token_tables(sample.where(part < 2)))
     shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("n long, tops array<double>, low array<double>")
+    @F.pandas_udf("n long, top double, low array<double>")
     def measured(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = _Scores(shared.value)
         for texts in batches:
@@ -180,8 +183,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> Toxicit
                 _, segments, n = score_text(t, shared.value, own)
                 values = np.array([own[w] for w in WORD.findall(t.lower())])
                 cells = np.histogram(values, 40, (-8.0, 8.0))[0] if n else np.zeros(40)
-                rows.append((n, sorted((s for _, _, s in segments), reverse=True)[:64], cells.astype(float).tolist()))
-            yield pd.DataFrame(rows, columns=["n", "tops", "low"])
+                rows.append((n, max((s for _, _, s in segments), default=0.0), cells.astype(float).tolist()))
+            yield pd.DataFrame(rows, columns=["n", "top", "low"])
 
     held = sample.where(part == 2).select("toxic", measured("text").alias("m")).select("toxic", "m.*").collect()
     clean = [r for r in held if not r["toxic"] and r["n"]]
@@ -190,9 +193,17 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> Toxicit
     grid = (np.arange(40) + 0.5) * 0.4 - 8.0
     model.lam = karlin_lambda(grid, np.sum([r["low"] for r in clean], axis=0) + 1e-3)
     # K: the median of the clean maxima on the extreme-value scale
-    model.k = float(np.median([math.exp(min(50, model.lam * (max(r["tops"], default=0.0)))) / r["n"] for r in clean])) * math.log(2)
-    z = np.array([evidence([(0, 0, s) for s in r["tops"]], max(r["n"], 1), model.lam, model.k) for r in held])
-    model.offset, model.slope = _logistic(np.log1p(z), np.array([float(r["toxic"]) for r in held]))
+    model.k = float(np.median([math.exp(min(50, model.lam * r["top"])) / r["n"] for r in clean])) * math.log(2)
+    scaled = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def summed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own = _Scores(scaled.value)
+        for texts in batches:
+            yield pd.Series([score_text(t, scaled.value, own)[0] for t in texts], dtype="float64")
+
+    found = sample.where(part == 2).select("toxic", summed("text").alias("z")).collect()
+    model.offset, model.slope = _logistic(np.log1p([r["z"] for r in found]), np.array([float(r["toxic"]) for r in found]))
     return model
 
 
