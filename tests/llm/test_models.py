@@ -50,7 +50,44 @@ def test_phrases_are_greedy_longest_matches():
     texts = ["".join(rnd.choice("abcd ") for _ in range(rnd.randrange(1, 200))) for _ in range(40)]
     for t in texts:
         codes = np.frombuffer(t.encode("utf-32-le"), np.uint32).astype(np.int64)
-        assert model.phrases(codes[None, :], np.array([len(codes)]))[0] == plain_phrases(sample, t)
+        assert model.phrases(codes[None, :], np.array([len(codes)]), np.array([False]), 0)[0] == plain_phrases(sample, t)
+
+
+@pytest.mark.parametrize("block,group,piece", [(4, 3, 7), (16, 8, 64), (256, 4096, 1 << 18)])
+def test_a_text_is_parsed_as_one_whatever_the_blocks(monkeypatch, block, group, piece):
+    monkeypatch.setattr(langid, "BLOCK", block)
+    monkeypatch.setattr(langid, "GROUP", group)
+    monkeypatch.setattr(langid, "PIECE", piece)
+    rnd = random.Random(5)
+    sample = "".join(rnd.choice("aab ") for _ in range(400)) + "\u4e00\u4e01ab"
+    model = langid.Automaton(langid.normalise(sample))
+    texts = ["", "aaa", "a" * 5000, sample * 3] + ["".join(rnd.choice("aabd \u4e00!") for _ in range(rnd.randrange(1, 900))) for _ in range(30)]
+    bits = langid.entropies(texts, [model])[:, 0]
+    known = "".join(map(chr, langid.normalise(sample)))
+    for t, b in zip(texts, bits):
+        folded = "".join(map(chr, langid.normalise(t)))
+        if folded:
+            assert b == pytest.approx(plain_phrases(known, folded) * model.bits / len(folded))
+        else:
+            assert np.isinf(b)
+
+
+def test_memory_follows_the_sample_not_its_alphabet():
+    rnd = random.Random(6)
+    model = langid.Automaton(langid.normalise("".join(chr(0x4E00 + rnd.randrange(2500)) for _ in range(30_000))))
+    assert len(model.alphabet) > 2400
+    assert model.owner.nbytes + model.to.nbytes + model.base.nbytes < 4_000_000
+
+
+def test_languages_with_nulls_repeats_ties_and_clashing_names(spark):
+    rows = [("one and the other", "x"), ("one and the other", "y"), (None, "x"), ("und so weiter", None), ("", "x")] * 2
+    docs = spark.createDataFrame([(None, t, lang, 1.0) for t, lang in rows], "doc_id long, text string, lang string, score double")
+    samples = langid.learn_samples(docs)
+    assert set(samples) == {"x", "y"}
+    got = docs.select("text", langid.language_column(F.col("text"), samples, spark).alias("p")).collect()
+    assert len(got) == 10 and {r["p"]["lang_pred"] for r in got if r["text"]} == {"x"}  # a tie goes to the first name
+    none = langid.learn_samples(docs.limit(0))
+    assert none == {} and {r["p"]["lang_pred"] for r in docs.select(langid.language_column(F.col("text"), none, spark).alias("p")).collect()} == {"und"}
 
 
 def test_languages_held_out(spark):
@@ -133,3 +170,41 @@ def test_leaks_by_both_ways(spark):
     assert exact[0] and not exact[1]
     joined = decontam.leaks_by_join(docs.withColumnRenamed("doc_id", "id"), bench.withColumnRenamed("item_id", "id"))
     assert {(r["doc_id"], r["item_id"], r["matched"]) for r in joined.collect()} == got
+
+
+def test_quality_is_learned_for_rows_that_were_not_fitted(spark):
+    """Half of the labelled rows train, the other half is judged: both classes are told apart."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    fitted = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    model = quality_crf.fit(docs, labels.where(fitted))
+    rows = docs.join(labels.where(~fitted), "doc_id").select("quality", quality_crf.quality_column(F.col("text"), model, spark).alias("q")).collect()
+    for label in (0, 1):
+        own = [r["q"]["kept"] == bool(label) for r in rows if r["quality"] == label]
+        assert len(own) > 20 and sum(own) / len(own) > 0.9, (label, sum(own), len(own))
+
+
+def test_toxic_documents_that_were_not_fitted_are_caught(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    held = toxicity.held_out(F.col("doc_id"))
+    model = toxicity.fit(docs, labels.where(~held))
+    rows = docs.join(labels.where(held), "doc_id").select("toxic", toxicity.toxicity_column(F.col("text"), model, spark).alias("t")).collect()
+    caught = [r["t"]["predicted"] for r in rows if r["toxic"]]
+    clean = [r["t"]["predicted"] for r in rows if not r["toxic"]]
+    assert sum(caught) / len(caught) > 0.85 and sum(clean) / len(clean) < 0.05, (sum(caught), len(caught), sum(clean), len(clean))
+
+
+def test_models_on_odd_tables(spark):
+    """Nulls anywhere, repeated ids, one class, empty tables and clashing names."""
+    rows = [(None, "a b c"), (1, None), (1, "bad bad bad"), (1, "bad bad bad"), (2, ""), (3, "x " * 50_000)]
+    docs = spark.createDataFrame([(i, t, "q", 0.5) for i, t in rows], "doc_id long, text string, y string, h double")
+    labels = spark.createDataFrame([(1, 1, 0), (2, None, None), (None, 1, 1), (3, 0, 1)], "doc_id long, toxic int, quality int")
+    for some in (labels, labels.where("doc_id = 1"), labels.limit(0)):
+        t = toxicity.fit(docs, some)
+        out = docs.select(toxicity.toxicity_column(F.col("text"), t, spark).alias("t")).collect()
+        assert len(out) == 6 and all(0.0 <= r["t"]["score"] <= 1.0 for r in out)
+        q = quality_crf.fit(docs, some)
+        kept = docs.select(quality_crf.quality_column(F.col("text"), q, spark).alias("q")).collect()
+        assert len(kept) == 6 and all(r["q"]["base_failed"] and not r["q"]["kept"] for r in kept)
+    assert docs.limit(0).select(toxicity.toxicity_column(F.col("text"), toxicity.fit(docs.limit(0), labels), spark)).count() == 0
