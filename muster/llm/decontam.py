@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from muster.runtime import arrow_batches
 
-WINDOW = 8  # template tokens
+WINDOW = 8  # template tokens; an item with fewer is one window of its own
 LITERALS = 4  # that a window must have beside its placeholders
 RUN = 13  # consecutive aligned tokens that make a leak; an item with fewer must match whole
 BROADCAST_WINDOWS = 2_000_000  # 8 bytes each on every executor
@@ -99,17 +99,17 @@ class Lexer:
         return h[solid], kind[solid], ids[solid]
 
 
-def windows(h: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each window and whether it has enough literals."""
-    n = len(h) - WINDOW + 1
-    if n <= 0:
+def windows(h: np.ndarray, kind: np.ndarray, width: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each window and whether it has enough literals; windows of different widths don't meet."""
+    n = len(h) - width + 1
+    if n <= 0 or width < LITERALS:
         return np.empty(0, np.uint64), np.empty(0, bool)
     with np.errstate(over="ignore"):
-        out = np.zeros(n, np.uint64)
-        for j in range(WINDOW):
+        out = np.full(n, WINDOW - width, np.uint64)
+        for j in range(width):
             out = (out ^ (out >> np.uint64(29))) * STEP + h[j : j + n]
     total = np.concatenate(([0], np.cumsum(kind == 0)))
-    return out, (total[WINDOW:] - total[:-WINDOW]) >= LITERALS
+    return out, (total[width:] - total[:-width]) >= LITERALS
 
 
 @dataclass
@@ -123,14 +123,16 @@ class Index:
     """The benchmark's windows: hash -> places; built from items that passed the size check."""
 
     def __init__(self, items: list[tuple[object, str]]):
-        lexer, self.items, places = Lexer(), [], defaultdict(list)
+        lexer, self.items, places, widths = Lexer(), [], defaultdict(list), set()
         for item_id, text in items:
             h, kind, ids = lexer.tokens(text)
-            wh, good = windows(h, kind)
+            width = min(WINDOW, len(h))
+            wh, good = windows(h, kind, width)
             for at in np.nonzero(good)[0].tolist():
                 places[int(wh[at])].append((len(self.items), at))
+                widths.add(width)
             self.items.append(Item(item_id, kind.tolist(), [lexer.core[i] for i in ids]))
-        self.places = dict(places)
+        self.places, self.widths = dict(places), sorted(widths)
         self.sorted = np.sort(np.fromiter(self.places, np.uint64, len(self.places)))
 
 
@@ -141,7 +143,8 @@ def matched_run(starts: list[int], item: Item, doc: list[tuple[int, str]], offse
     ends where no window covers the next token. Where a slot's value contradicts an earlier one, the run goes on from
     just after the last place of that earlier value.
     """
-    covered = sorted({t for s in starts for t in range(s, s + WINDOW)})
+    width = min(WINDOW, len(item.kinds))
+    covered = sorted({t for s in starts for t in range(s, s + width)})
     best, begin, seen, last = (0, 0), None, {}, None
     for t in covered:
         value = (item.kinds[t], item.cores[t])
@@ -161,22 +164,21 @@ def matched_run(starts: list[int], item: Item, doc: list[tuple[int, str]], offse
 def leaks(text: str, index: Index, lexer: Lexer) -> list[tuple]:
     """``(item, item_words, matched, coverage, first_word, exact)`` of every benchmark item the text leaks."""
     h, kind, ids = lexer.tokens(text)
-    wh, good = windows(h, kind)
-    if not len(wh) or not len(index.sorted):
-        return []
-    at = np.searchsorted(index.sorted, wh)
-    at[at == len(index.sorted)] = 0
-    hits = np.nonzero(good & (index.sorted[at] == wh))[0].tolist()
     lines: dict[tuple[int, int], list[int]] = defaultdict(list)
-    for d in hits:
-        for item, b in index.places[int(wh[d])]:
-            lines[item, d - b].append(b)
+    for width in index.widths:
+        wh, good = windows(h, kind, width)
+        at = np.searchsorted(index.sorted, wh)
+        at[at == len(index.sorted)] = 0
+        for d in np.nonzero(good & (index.sorted[at] == wh))[0].tolist():
+            for item, b in index.places[int(wh[d])]:
+                lines[item, d - b].append(b)
     found: dict[int, tuple] = {}
     for (i, offset), starts in lines.items():
         item = index.items[i]
-        doc = {t + offset: (int(kind[t + offset]), lexer.core[ids[t + offset]]) for s in starts for t in range(s, s + WINDOW)}
-        start, length = matched_run(starts, item, doc, offset)
         size = len(item.cores)
+        reach = {t + offset for s in starts for t in range(s, s + min(WINDOW, size))}
+        doc = {t: (int(kind[t]), lexer.core[ids[t]]) for t in reach}
+        start, length = matched_run(starts, item, doc, offset)
         if length >= min(RUN, size):
             exact = all(doc[t + offset][1] == item.cores[t] for t in range(start, start + length))
             found[i] = max(found.get(i, (-1,)), (length, -(start + offset), exact))
@@ -216,10 +218,10 @@ def leak_column(text: Column, items: list[tuple[object, str]], spark) -> Column:
 FILTER_BITS = 27  # a filter of 16 MB at any benchmark size; it only spares windows that can't meet the benchmark
 
 
-def window_table(docs: DataFrame, name: str, words: np.ndarray | None = None) -> DataFrame:
+def window_table(docs: DataFrame, name: str, words: np.ndarray | None = None, widths: list[int] | None = None) -> DataFrame:
     """``(name_id, name_h, at, v, size, kinds, cores)``: windows of every text, for benchmarks too large to broadcast.
 
-    With a filter's ``words``, only windows that may be the benchmark's; repeated rows repeat their windows.
+    Without ``widths``, a text below ``WINDOW`` tokens is one window. With a filter's ``words``, only windows that may be the benchmark's; repeated rows repeat their windows.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
@@ -232,15 +234,17 @@ def window_table(docs: DataFrame, name: str, words: np.ndarray | None = None) ->
             out = []
             for t in texts:
                 h, kind, ids = lexer.tokens(t)
-                wh, good = windows(h, kind)
-                if bits is not None and len(wh):
-                    for bit in filter_places(wh):
-                        good &= (bits[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1) == 1
-                cores = [lexer.core[i] for i in ids]
-                out.append([
-                    {"at": a, "v": int(wh[a].view(np.int64)), "size": len(ids), "kinds": kind[a : a + WINDOW].tolist(), "cores": cores[a : a + WINDOW]}
-                    for a in np.nonzero(good)[0].tolist()
-                ])
+                cores, found = [lexer.core[i] for i in ids], []
+                for width in [min(WINDOW, len(h))] if widths is None else widths:
+                    wh, good = windows(h, kind, width)
+                    if bits is not None and len(wh):
+                        for bit in filter_places(wh):
+                            good &= (bits[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1) == 1
+                    found += [
+                        {"at": a, "v": int(wh[a].view(np.int64)), "size": len(ids), "kinds": kind[a : a + width].tolist(), "cores": cores[a : a + width]}
+                        for a in np.nonzero(good)[0].tolist()
+                    ]
+                out.append(found)
             yield pd.Series(out, dtype=object)
 
     rows = docs.select(F.col("id").alias(f"{name}_id"), F.xxhash64("text").alias(f"{name}_h"), F.coalesce("text", F.lit("")).alias("t"))
@@ -274,7 +278,8 @@ def leaks_by_join(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     items = benchmark.where(F.col("text").isNotNull()).groupBy("id", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), F.count("*").alias("n"))
     b = window_table(items, "item")
-    a = window_table(docs, "doc", window_filter(b)).drop("size")
+    widths = sorted(r[0] for r in b.select(F.size("kinds")).distinct().collect())  # WINDOW and shorter: a handful
+    a = window_table(docs, "doc", window_filter(b), widths).drop("size")
     a = a.withColumnsRenamed({"at": "d", "kinds": "dk", "cores": "dc"})
     b = b.withColumnsRenamed({"at": "b", "kinds": "bk", "cores": "bc"})
     pairs = a.join(b, "v").groupBy("doc_id", "doc_h", "item_id", "item_h", (F.col("d") - F.col("b")).alias("offset"), "size")
@@ -286,7 +291,7 @@ def leaks_by_join(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         for rows, at, n in zip(w, offset, size):
             cores, kinds, doc = {}, {}, {}
             for r in rows:
-                for j in range(WINDOW):
+                for j in range(len(r["bk"])):
                     t = r["b"] + j
                     cores[t], kinds[t], doc[t + at] = r["bc"][j], r["bk"][j], (r["dk"][j], r["dc"][j])
             start, length = matched_run([r["b"] for r in rows], Item(None, kinds, cores), doc, at)

@@ -69,3 +69,20 @@ def test_runs_are_those_of_a_brute_force():
         doc = {t + 5: (kinds[t], rnd.choice(("x", "x", "x", "y"))) for t in range(n)}
         starts = [s for s in range(n - decontam.WINDOW + 1) if rnd.random() < 0.6] or [0]
         assert decontam.matched_run(starts, item, doc, 5) == brute_run(starts, item, doc, 5)
+
+
+def test_an_item_below_the_window_matches_whole(spark, tmp_path, monkeypatch):
+    short, filled = "what does the red boat carry home", "pack 12 eggs in each box"
+    docs = [
+        (1, "so: " + short + "?"), (2, "what does the red boat carry away"), (3, "now pack 30 eggs in each box please"), (4, "pack some eggs in each box"),
+        (5, OTHER), (6, short), (7, "red boat"), (8, None), (9, ""),
+    ]
+    bench = [(1, short), (2, filled), (3, "red boat"), (4, "12 30 mm 7 Ann"), (5, OTHER), (6, ""), (7, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    small = decontam.op6_decontam(spark, str(tmp_path)).collect()
+    got = {(r["doc_id"], r["item_id"], r["matched"], r["first_word"], r["exact"]) for r in small}
+    size = len(OTHER.split())
+    assert got == {(1, 1, 7, 1, True), (6, 1, 7, 0, True), (3, 2, 6, 1, False), (5, 5, size, 0, True)}
+    monkeypatch.setattr(decontam, "BROADCAST_WINDOWS", 0)
+    assert rows(decontam.op6_decontam(spark, str(tmp_path))) == Counter(map(tuple, small))
