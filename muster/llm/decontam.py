@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from muster.runtime import arrow_batches
 
 WINDOW = 8  # template tokens; an item with fewer is one window of its own
-LITERALS = 4  # that a window must have beside its placeholders
+LITERALS = 4  # that a window must have beside its placeholders; an item without such a window is plain and must match verbatim
 RUN = 13  # consecutive aligned tokens that make a leak; an item with fewer must match whole
 BROADCAST_WINDOWS = 2_000_000  # 8 bytes each on every executor
 CACHE_ENTRIES = 300_000
@@ -99,19 +99,41 @@ class Lexer:
         return h[solid], kind[solid], ids[solid]
 
 
-def windows(h: np.ndarray, kind: np.ndarray, width: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each window and whether it has enough literals; windows of different widths don't meet."""
+def windows(h: np.ndarray, kind: np.ndarray, width: int = WINDOW, plain: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each window and whether it has enough literals; windows of different widths don't meet.
+
+    ``plain`` windows are cut from the words' own hashes, need no literals and meet only plain ones.
+    """
     n = len(h) - width + 1
-    if n <= 0 or width < LITERALS:
+    if n <= 0 or width < LITERALS and not plain:
         return np.empty(0, np.uint64), np.empty(0, bool)
     with np.errstate(over="ignore"):
-        out = np.full(n, WINDOW - width, np.uint64)
+        out = np.full(n, WINDOW - width + plain * 2 * WINDOW, np.uint64)
         for j in range(width):
             out = (out ^ (out >> np.uint64(29))) * STEP + h[j : j + n]
+    if plain:
+        return out, np.ones(n, bool)
     total = np.concatenate(([0], np.cumsum(kind == 0)))
     return out, (total[width:] - total[:-width]) >= LITERALS
 
 
+def item_windows(h: np.ndarray, kind: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple[int, bool]]:
+    """An item's windows, which of them count, and their ``(width, plain)``; ``own`` are the words' own hashes.
+
+    An item none of whose template windows has enough literals is plain: its windows hold the words themselves.
+    """
+    width = min(WINDOW, len(h))
+    wh, good = windows(h, kind, width)
+    if good.any() or not width:
+        return wh, good, (width, False)
+    return *windows(own, kind, width, plain=True), (width, True)
+
+
+def is_leak(length: int, size: int, words: int) -> bool:
+    """Whether a run of ``length`` makes a leak; an item below ``LITERALS`` tokens must be the text's only words."""
+    return length >= min(RUN, size) and (size >= LITERALS or words == size)
+
+
 @dataclass
 class Item:
     item_id: object
@@ -126,8 +148,7 @@ class Index:
         lexer, self.items, places, widths = Lexer(), [], defaultdict(list), set()
         for item_id, text in items:
             h, kind, ids = lexer.tokens(text)
-            width = min(WINDOW, len(h))
-            wh, good = windows(h, kind, width)
+            wh, good, width = item_windows(h, kind, lexer.hash[ids])
             for at in np.nonzero(good)[0].tolist():
                 places[int(wh[at])].append((len(self.items), at))
                 widths.add(width)
@@ -165,8 +186,8 @@ def leaks(text: str, index: Index, lexer: Lexer) -> list[tuple]:
     """``(item, item_words, matched, coverage, first_word, exact)`` of every benchmark item the text leaks."""
     h, kind, ids = lexer.tokens(text)
     lines: dict[tuple[int, int], list[int]] = defaultdict(list)
-    for width in index.widths:
-        wh, good = windows(h, kind, width)
+    for width, plain in index.widths:
+        wh, good = windows(lexer.hash[ids] if plain else h, kind, width, plain)
         at = np.searchsorted(index.sorted, wh)
         at[at == len(index.sorted)] = 0
         for d in np.nonzero(good & (index.sorted[at] == wh))[0].tolist():
@@ -179,7 +200,7 @@ def leaks(text: str, index: Index, lexer: Lexer) -> list[tuple]:
         reach = {t + offset for s in starts for t in range(s, s + min(WINDOW, size))}
         doc = {t: (int(kind[t]), lexer.core[ids[t]]) for t in reach}
         start, length = matched_run(starts, item, doc, offset)
-        if length >= min(RUN, size):
+        if is_leak(length, size, len(ids)):
             exact = all(doc[t + offset][1] == item.cores[t] for t in range(start, start + length))
             found[i] = max(found.get(i, (-1,)), (length, -(start + offset), exact))
     return [
@@ -218,16 +239,16 @@ def leak_column(text: Column, items: list[tuple[object, str]], spark) -> Column:
 FILTER_BITS = 27  # a filter of 16 MB at any benchmark size; it only spares windows that can't meet the benchmark
 
 
-def window_table(docs: DataFrame, name: str, words: np.ndarray | None = None, widths: list[int] | None = None) -> DataFrame:
-    """``(name_id, name_h, at, v, size, kinds, cores)``: windows of every text, for benchmarks too large to broadcast.
+def window_table(docs: DataFrame, name: str, words: np.ndarray | None = None, widths: list[tuple[int, bool]] | None = None) -> DataFrame:
+    """``(name_id, name_h, at, v, size, plain, kinds, cores)``: windows of every text, for benchmarks too large to broadcast.
 
-    Without ``widths``, a text below ``WINDOW`` tokens is one window. With a filter's ``words``, only windows that may be the benchmark's; repeated rows repeat their windows.
+    Without ``widths``, texts are items (see :func:`item_windows`). With a filter's ``words``, only windows that may be the benchmark's; repeated rows repeat their windows.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
     shared = spark.sparkContext.broadcast(words)
 
-    @F.pandas_udf("array<struct<at:int,v:long,size:int,kinds:array<int>,cores:array<string>>>")
+    @F.pandas_udf("array<struct<at:int,v:long,size:int,plain:boolean,kinds:array<int>,cores:array<string>>>")
     def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         lexer, bits = Lexer(), shared.value
         for texts in batches:
@@ -235,13 +256,17 @@ def window_table(docs: DataFrame, name: str, words: np.ndarray | None = None, wi
             for t in texts:
                 h, kind, ids = lexer.tokens(t)
                 cores, found = [lexer.core[i] for i in ids], []
-                for width in [min(WINDOW, len(h))] if widths is None else widths:
-                    wh, good = windows(h, kind, width)
+                own = lexer.hash[ids]
+                if widths is None:
+                    cuts = [item_windows(h, kind, own)]
+                else:
+                    cuts = [(*windows(own if plain else h, kind, width, plain), (width, plain)) for width, plain in widths]
+                for wh, good, (width, plain) in cuts:
                     if bits is not None and len(wh):
                         for bit in filter_places(wh):
                             good &= (bits[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1) == 1
                     found += [
-                        {"at": a, "v": int(wh[a].view(np.int64)), "size": len(ids), "kinds": kind[a : a + width].tolist(), "cores": cores[a : a + width]}
+                        {"at": a, "v": int(wh[a].view(np.int64)), "size": len(ids), "plain": plain, "kinds": kind[a : a + width].tolist(), "cores": cores[a : a + width]}
                         for a in np.nonzero(good)[0].tolist()
                     ]
                 out.append(found)
@@ -278,17 +303,17 @@ def leaks_by_join(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     items = benchmark.where(F.col("text").isNotNull()).groupBy("id", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), F.count("*").alias("n"))
     b = window_table(items, "item")
-    widths = sorted(r[0] for r in b.select(F.size("kinds")).distinct().collect())  # WINDOW and shorter: a handful
-    a = window_table(docs, "doc", window_filter(b), widths).drop("size")
-    a = a.withColumnsRenamed({"at": "d", "kinds": "dk", "cores": "dc"})
-    b = b.withColumnsRenamed({"at": "b", "kinds": "bk", "cores": "bc"})
-    pairs = a.join(b, "v").groupBy("doc_id", "doc_h", "item_id", "item_h", (F.col("d") - F.col("b")).alias("offset"), "size")
+    widths = sorted((r[0], r[1]) for r in b.select(F.size("kinds"), "plain").distinct().collect())  # WINDOW and shorter: a handful
+    a = window_table(docs, "doc", window_filter(b), widths).drop("plain")
+    a = a.withColumnsRenamed({"at": "d", "size": "words", "kinds": "dk", "cores": "dc"})
+    b = b.drop("plain").withColumnsRenamed({"at": "b", "kinds": "bk", "cores": "bc"})
+    pairs = a.join(b, "v").groupBy("doc_id", "doc_h", "item_id", "item_h", (F.col("d") - F.col("b")).alias("offset"), "size", "words")
     lines = pairs.agg(F.collect_set(F.struct("b", "bk", "bc", "dk", "dc")).alias("w"))
 
     @F.pandas_udf("struct<matched:int,start:int,exact:boolean>")
-    def verify(w: pd.Series, offset: pd.Series, size: pd.Series) -> pd.DataFrame:
+    def verify(w: pd.Series, offset: pd.Series, size: pd.Series, words: pd.Series) -> pd.DataFrame:
         out = []
-        for rows, at, n in zip(w, offset, size):
+        for rows, at, n, m in zip(w, offset, size, words):
             cores, kinds, doc = {}, {}, {}
             for r in rows:
                 for j in range(len(r["bk"])):
@@ -296,10 +321,10 @@ def leaks_by_join(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     cores[t], kinds[t], doc[t + at] = r["bc"][j], r["bk"][j], (r["dk"][j], r["dc"][j])
             start, length = matched_run([r["b"] for r in rows], Item(None, kinds, cores), doc, at)
             exact = all(doc[t + at][1] == cores[t] for t in range(start, start + length))
-            out.append((length, start, exact) if length >= min(RUN, n) else (0, 0, False))
+            out.append((length, start, exact) if is_leak(length, n, m) else (0, 0, False))
         return pd.DataFrame(out, columns=["matched", "start", "exact"])
 
-    found = lines.withColumn("r", verify("w", "offset", "size")).where("r.matched > 0")
+    found = lines.withColumn("r", verify("w", "offset", "size", "words")).where("r.matched > 0")
     best = F.max(F.struct("r.matched", (-(F.col("r.start") + F.col("offset"))).alias("back"), "r.exact")).alias("r")
     found = found.groupBy("doc_id", "doc_h", "item_id", "item_h", "size").agg(best)
     times = docs.groupBy(F.col("id").alias("x"), F.xxhash64("text").alias("doc_h")).agg(F.count("*").alias("n"))

@@ -83,6 +83,35 @@ def test_an_item_below_the_window_matches_whole(spark, tmp_path, monkeypatch):
     small = decontam.op6_decontam(spark, str(tmp_path)).collect()
     got = {(r["doc_id"], r["item_id"], r["matched"], r["first_word"], r["exact"]) for r in small}
     size = len(OTHER.split())
-    assert got == {(1, 1, 7, 1, True), (6, 1, 7, 0, True), (3, 2, 6, 1, False), (5, 5, size, 0, True)}
+    assert got == {(1, 1, 7, 1, True), (6, 1, 7, 0, True), (3, 2, 6, 1, False), (5, 5, size, 0, True), (7, 3, 2, 0, True)}
+    monkeypatch.setattr(decontam, "BROADCAST_WINDOWS", 0)
+    assert rows(decontam.op6_decontam(spark, str(tmp_path))) == Counter(map(tuple, small))
+
+
+def test_an_item_of_few_literals_matches_verbatim(spark, tmp_path, monkeypatch):
+    """By a plain comparison of word lists: numbers are the values themselves, and a tiny item must be the whole text."""
+    sums, code, tiny = "12 plus 30 minus 7 times 9 15", "3 1 4 1 5 9 2 6 5 3 5 8 9 7 9", "forty two"
+    docs = [
+        (1, "we know that " + sums + " or so"), (2, "we know that 12 plus 31 minus 7 times 9 15"), (3, "digits " + code), (4, code[:-2] + " 8"), (5, code[:13]),
+        (6, "Forty two!"), (7, "she is forty two now"), (8, ""), (9, None), (10, "1 2 1 2 1 2 1 2 1 2"),
+    ]
+    bench = [(1, sums), (2, code), (3, tiny), (4, "1 2 1 2 1 2"), (5, ""), (6, "?!"), (7, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    words = lambda t: [w for w in (x.strip("!?").lower() for x in (t or "").split()) if w]
+
+    def longest(a, b):
+        return max((k for i in range(len(a)) for j in range(len(b)) for k in range(1, len(a) - i + 1) if a[i : i + k] == b[j : j + k]), default=0)
+
+    want = set()
+    for d, text in docs:
+        for i, item in bench:
+            a, b = words(item), words(text)
+            n = longest(a, b)
+            if a and n >= min(decontam.RUN, len(a)) and (len(a) >= 4 or a == b):
+                want.add((d, i, n, True))
+    small = decontam.op6_decontam(spark, str(tmp_path)).collect()
+    assert {(r["doc_id"], r["item_id"], r["matched"], r["exact"]) for r in small} == want
+    assert want == {(1, 1, 8, True), (3, 2, 15, True), (4, 2, 14, True), (6, 3, 2, True), (10, 4, 6, True)}
     monkeypatch.setattr(decontam, "BROADCAST_WINDOWS", 0)
     assert rows(decontam.op6_decontam(spark, str(tmp_path))) == Counter(map(tuple, small))
