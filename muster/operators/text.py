@@ -20,7 +20,7 @@ from pyspark.sql.types import StringType
 from muster.config import DEFAULT, INCIDENT_TYPES, OTHER, RESPONSES, Config
 from muster.functions import scalars as S
 from muster.operators.aggregates import harmonic_confidence
-from muster.runtime import arrow_batches
+from muster.runtime import arrow_batches, materialize
 
 WORD = r"[\p{L}\p{N}']+"
 MAX_TERM_WORDS = 4
@@ -403,18 +403,64 @@ def embed(df: DataFrame, model: Callable[[list[str | None]], list] = hashed_vect
     return df.select(key, vectors(text).alias("embedding"))
 
 
-def enrich(df: DataFrame, lexicon: DataFrame, risk: DataFrame, responses: DataFrame, urgency: DataFrame, key: str = "report_id", text: str = "text", cfg: Config = DEFAULT) -> DataFrame:
-    """Lexicon-mode enrichment: type, people, signals, place, responses, urgency, overall confidence and status."""
-    kind = classify(df, keyword_scores(df, lexicon, key, text), key, cfg)
+def enrich(df: DataFrame, lexicon: DataFrame, risk: DataFrame, responses: DataFrame, urgency: DataFrame, key: str = "report_id", text: str = "text", cfg: Config = DEFAULT,
+           scores: DataFrame | None = None, entities: DataFrame | None = None) -> DataFrame:
+    """Enrichment of clean texts: type, people, signals, place, responses, urgency, overall confidence and status.
+
+    ``scores(key, class, score)`` default to the keywords'; with ``entities`` the place may fall back on one. Ids are unique and not null.
+    """
+    kind = classify(df, keyword_scores(df, lexicon, key, text) if scores is None else scores, key, cfg)
     people = people_at_risk(df, key, text)
     base = df.join(people, key)
     scored = score_urgency(base, urgency, key, text)
     scored = scored.withColumn("urgency_confidence", urgency_confidence(scored, text)).select(key, "urgency", "urgency_score", "urgency_confidence")
     out = (
-        base.join(kind, key).join(scored, key).join(extract_location(df, None, key, text), key)
+        base.join(kind, key).join(scored, key).join(extract_location(df, entities, key, text), key)
         .join(risk_signals(df, risk, key, text), key, "left").join(required_responses(df, responses, key, text), key, "left")
     )
     overall = harmonic_confidence([F.col("confidence"), F.col("urgency_confidence"), F.col("place_confidence"), F.col("people_confidence")], cfg)
     out = out.withColumn("overall_confidence", overall)
     status = resolve_status(F.col("overall_confidence"), F.lit(False), F.lit(False), F.col(text).isNull() | (F.trim(text) == ""), cfg)
     return out.withColumn("processing_status", status)
+
+
+def prototype_vectors(texts: DataFrame, model: Callable[[list[str | None]], list] = hashed_vectors) -> DataFrame:
+    """``(class, proto)`` of ``texts(class, text)`` by the model that also embeds the reports; null vectors are left out."""
+    return embed(texts, model, "class").where("embedding is not null").withColumnRenamed("embedding", "proto")
+
+
+def enrich_full(df: DataFrame, lexicon: DataFrame, risk: DataFrame, responses: DataFrame, urgency: DataFrame, gazetteer: DataFrame, protos: DataFrame,
+                model: Callable[[list[str | None]], list] = hashed_vectors, lightweight: bool = False, dim: int = 64,
+                key: str = "report_id", text: str = "text", cfg: Config = DEFAULT) -> DataFrame:
+    """The whole enrichment of raw reports, one row each: clean, vector, type, entities, place, people, responses, urgency, status.
+
+    ``protos(class, proto)`` come from :func:`prototype_vectors` with the same model. ``lightweight`` needs no vectors: keywords
+    alone give the type. A step that fails leaves nulls and a warning: without a vector the keywords decide and the status is
+    PARTIAL at best; a text that can't be cleaned is FAILED. A second hazard asks for review. Ids are unique and not null; other columns are not read.
+    """
+    cleaned = clean_reports(df.select(key, F.col(text).alias("text")))
+    base = materialize(cleaned.select(key, F.col("clean").alias("text"), "modified", "truncated", "clean_error"), "enrich-clean")
+    scores = keyword_scores(base, lexicon, key)
+    if lightweight:
+        vectors = base.select(key, F.lit(None).cast("array<float>").alias("embedding"))
+    else:
+        vectors = materialize(embed(base, model, key), "enrich-vectors")
+        seen = vectors.where("embedding is not null")
+        both = hybrid_scores(scores.join(seen.select(key), key, "left_semi"), semantic_scores(seen, protos, key, dim), key)
+        scores = both.unionByName(scores.join(seen.select(key), key, "left_anti"))
+    found = materialize(extract_entities(base, gazetteer, key), "enrich-entities")
+    out = enrich(base.select(key, "text"), lexicon, risk, responses, urgency, key, "text", cfg, scores, found)
+    out = out.join(base.drop("text"), key).join(vectors, key).join(found, key)
+    lost = F.lit(not lightweight) & F.col("embedding").isNull() & F.col("text").isNotNull()
+    named = F.transform("entities", lambda e: F.struct(e["text"].alias("text"), e["type"].alias("type")))
+    place = F.struct(F.col("place").alias("text"), F.lit("PLACE").alias("type"))
+    known = F.exists("entities", lambda e: e["text"] == F.col("place"))
+    warnings = F.array(
+        F.col("clean_error"), F.when(F.col("truncated"), "TRUNCATED"), F.col("people_warning"), F.when(F.col("secondary_hazard").isNotNull(), "SECONDARY_HAZARD"),
+        F.when(lost, "EMBEDDING_UNAVAILABLE"),
+    )
+    status = resolve_status(F.col("overall_confidence"), lost, F.col("secondary_hazard").isNotNull(), F.col("text").isNull(), cfg)
+    return out.withColumns({
+        "entities": F.when(F.col("place").isNotNull() & ~known, F.concat(named, F.array(place))).otherwise(named),
+        "warnings": F.array_distinct(F.array_compact(warnings)), "processing_status": status,
+    })

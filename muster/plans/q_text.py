@@ -197,3 +197,23 @@ def tables(spark):
 @query("enrich")
 def _(spark, d):
     return T.enrich(docs(spark, d), *tables(spark), key="doc_id").drop("text")
+
+
+def whole(spark, d, lightweight):
+    """The documents as raw reports; a class' prototype text is its words in the lexicon."""
+    from muster.sources.readers import load_lexicon
+
+    words = load_lexicon(spark)
+    texts = words.groupBy("class").agg(F.array_join(F.array_sort(F.collect_list("term")), " ").alias("text"))
+    gazetteer = lexicon(spark).select("term", c("tier").alias("entity_type"))
+    return T.enrich_full(docs(spark, d), *tables(spark), gazetteer, T.prototype_vectors(texts), lightweight=lightweight, key="doc_id").drop("text")
+
+
+@query("enrich_full")
+def _(spark, d):
+    return whole(spark, d, False)
+
+
+@query("enrich_light")
+def _(spark, d):
+    return whole(spark, d, True)

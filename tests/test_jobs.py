@@ -117,6 +117,38 @@ def test_enrich_and_clean(spark):
     assert out["c"]["processing_status"] == "FAILED" and set(out) == {"a", "b", "c"}
 
 
+def test_full_enrichment_and_its_lightweight_switch(spark):
+    from muster.plans.q_text import tables
+
+    raw = [
+        ("a", "<p>Fire &amp; thick smoke near Old Town , 3 people trapped</p>", 1), ("b", "  ", 2), ("c", None, 3), ("d", "Fire. " + "x" * 5000, 4),
+        ("e", "Fire. Old Town Bridge and NH-44", 5), ("f", "Fire. Old Town Bridge and NH-44", 5),
+    ]
+    df = spark.createDataFrame(raw, "report_id string, text string, place int")
+    gaz = spark.createDataFrame([("old town", "AREA")], "term string, entity_type string")
+    protos = T.prototype_vectors(spark.createDataFrame([("FIRE_WILDFIRE_EXPLOSION", "fire smoke"), ("FLOOD_FLASH_FLOOD", "water flood")], "class string, text string"))
+
+    def broken(texts):
+        raise ValueError("no model")
+
+    run = lambda **how: {r["report_id"]: r for r in T.enrich_full(df, *tables(spark), gaz, protos, **how).collect()}
+    light, full, lost = run(lightweight=True), run(), run(model=broken)
+    assert set(light) == set(full) == set(lost) == set("abcdef")
+    plain = {r["report_id"]: r for r in T.enrich(T.clean_reports(df).select("report_id", F.col("clean").alias("text")), *tables(spark)).collect()}
+    for k, r in light.items():
+        assert r["embedding"] is None and (r["incident_type"], r["confidence"], r["urgency"]) == (plain[k]["incident_type"], plain[k]["confidence"], plain[k]["urgency"])
+        assert (lost[k]["incident_type"], lost[k]["confidence"]) == (r["incident_type"], r["confidence"]) and lost[k]["embedding"] is None
+        assert ("EMBEDDING_UNAVAILABLE" in lost[k]["warnings"]) == (r["text"] is not None) and "EMBEDDING_UNAVAILABLE" not in r["warnings"]
+    assert full["a"]["confidence"] != light["a"]["confidence"] and full["b"]["confidence"] == light["b"]["confidence"]
+    assert full["a"]["text"] == "Fire & thick smoke near Old Town, 3 people trapped" and len(full["a"]["embedding"]) == 64
+    assert [(e["text"], e["type"]) for e in full["a"]["entities"]] == [("Old Town", "AREA")] and full["a"]["place"] == "Old Town"
+    assert full["b"]["warnings"] == full["c"]["warnings"] == ["EMPTY"] and full["c"]["processing_status"] == "FAILED"
+    assert full["d"]["truncated"] and "TRUNCATED" in full["d"]["warnings"]
+    assert {e["type"] for e in full["e"]["entities"]} == {"LANDMARK", "ROAD"} and full["e"][1:] == full["f"][1:]
+    assert all(r["processing_status"] not in ("SUCCESS",) for r in lost.values())
+    assert T.enrich_full(df.limit(0), *tables(spark), gaz, protos).count() == 0
+
+
 def test_feed_and_metadata(spark):
     df = spark.createDataFrame([("i", True, "ACTIVE", None), ("j", False, "VERIFIED", "ACTIVE")], "incident_id string, is_new boolean, status string, previous_status string").withColumn("at", F.lit("2024-01-01").cast("timestamp"))
     assert sorted(r["event"] for r in R.to_feed(df).collect()) == ["INCIDENT_CREATED", "INCIDENT_UPDATED", "STATUS_CHANGED"]
