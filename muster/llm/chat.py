@@ -117,7 +117,9 @@ def op5_chat(spark, sf_dir: str) -> DataFrame:
     )
     chats = format_chats(rows.unionByName(own))
     read = chats.select("conv_id", "formatted", "error", "segments", read_back(F.col("formatted")).alias("t"))
-    trained = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"])), "")
+    # the mask comes with the output, three segments a turn; the text under it is what reads back from the output
+    mask = F.filter("segments", lambda s, i: i % 3 == 1)
+    trained = F.array_join(F.zip_with("t", mask, lambda t, m: F.when(m["loss"], t["text"]).otherwise("")), "")
     whole = F.array_join(F.transform("t", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(
         "conv_id",
