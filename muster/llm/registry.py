@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from muster.llm import chat, decontam, langid, line_dedup, mixing, quality_crf, secrets, simhash, token_counts, toxicity
+from muster.llm import chat, decontam, langid, line_dedup, mixing, phrases, quality_crf, secrets, simhash, token_counts, toxicity, whitening
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -15,10 +15,13 @@ QUERIES = {
     "op5_chat": chat.op5_chat,
     "op7_mix": mixing.op7_mix,
     "op9_line_dedup": line_dedup.op9_line_dedup,
+    "op12_whitening": whitening.op12_whitening,
+    "op13_phrases": phrases.op13_phrases,
 }
 ORACLES: dict[str, str] = {
     "op2_secrets": secrets.OP2_SQL,
     "op5_chat": chat.OP5_SQL,
     "op7_mix": mixing.OP7_SQL,
     "op9_line_dedup": line_dedup.OP9_SQL,
+    "op13_phrases": phrases.OP13_SQL,
 }
