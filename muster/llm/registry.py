@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from muster.llm import chat, decontam, langid, line_dedup, mixing, phrases, quality_crf, secrets, simhash, token_counts, toxicity, whitening
+from muster.llm import chat, decontam, langid, line_dedup, lm_ctw, mixing, phrases, quality_crf, secrets, simhash, token_counts, toxicity, whitening
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -15,6 +15,7 @@ QUERIES = {
     "op5_chat": chat.op5_chat,
     "op7_mix": mixing.op7_mix,
     "op9_line_dedup": line_dedup.op9_line_dedup,
+    "op11_lm": lm_ctw.op11_lm,
     "op12_whitening": whitening.op12_whitening,
     "op13_phrases": phrases.op13_phrases,
 }
