@@ -29,9 +29,10 @@ HEAD_WORDS = 300_000  # most frequent words, numbered in every task
 HEAD_PHRASES = 1_000_000  # most frequent pairs, and as many triples, numbered in every task: 16 bytes each
 TILE_BITS = 9  # a tile is 512 x 512
 DENSE = 1 << (2 * TILE_BITS - 3)  # pairs in a buffer that make a tile dense
-BUFFER = 1 << 21  # positions counted at once
-COUNTER_WORDS = 300_000  # distinct words held by a task
-ROW_TOKENS = 1 << 14  # numbers stored in a row, and the rest of the text that passes them
+BUFFER = 1 << 19  # positions counted at once
+BATCH = 1 << 16  # counts sent on at once
+COUNTER_WORDS = 100_000  # distinct words held by a task
+ROW_TOKENS = 1 << 12  # numbers stored in a row, and the rest of the text that passes them
 BREAK = -1
 SALTS = 64
 
@@ -200,17 +201,18 @@ def count_phrases(encoded: DataFrame, size: int, tables: dict[int, Numbering], w
         def out():
             found, counts = phrase_counts(np.concatenate(held), size, shared.value, words_complete)
             held.clear()
-            cols = [pa.array(np.ascontiguousarray(found[:, k])) for k in range(size)]
-            return pa.RecordBatch.from_arrays([*cols, pa.array(counts.astype(np.int64))], [*names, "c"])
+            for at in range(0, len(found), BATCH):
+                cols = [pa.array(np.ascontiguousarray(found[at : at + BATCH, k])) for k in range(size)]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(counts[at : at + BATCH].astype(np.int64))], [*names, "c"])
 
         for b in batches:
             ids = b.column(0).flatten().to_numpy(zero_copy_only=False)
             if len(ids):
                 held.append(ids)
             if sum(map(len, held)) >= BUFFER:
-                yield out()
+                yield from out()
         if held:
-            yield out()
+            yield from out()
 
     parts = encoded.mapInArrow(count, ", ".join(f"{w} long" for w in [*names, "c"]))
     return parts.groupBy(*names).agg(F.sum("c").alias("c")).where(F.col("c") >= LEAST)
@@ -220,7 +222,7 @@ def number_phrases(phrases: DataFrame, size: int, tables: dict[int, Numbering],
     """The most frequent of ``phrases``, numbered by falling frequency."""
     names = [f"w{i}" for i in range(1, size + 1)]
     rows = ranked(phrases, [F.desc("c"), *map(F.col, names)], "number", "pairs")
-    head = rows.where(F.col("number") < HEAD_PHRASES).select("number", *names).toPandas().sort_values("number")
+    head = rows.where(F.col("number") < HEAD_PHRASES).select("number", *names).toArrow().to_pandas().sort_values("number")
     words = head[names].to_numpy(np.int64).reshape(-1, size)
     left = words[:, 0]
     for k in range(2, size):
