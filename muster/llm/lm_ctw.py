@@ -311,8 +311,9 @@ MEASURED = (
 )
 
 
-def score_texts(df: DataFrame, learn: Column, text: str = "text") -> DataFrame:
-    """``df`` with a struct ``__lm``: n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
+def score_texts(df: DataFrame, learn: Column, text: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
+    """The columns ``keep`` of ``df`` (all, if None) with a struct ``__lm``: n_tokens, n_known, train_tokens, base_score, score,
+    bits_per_byte.
 
     The model learns from the rows of ``df`` where ``learn`` holds (null: not). A null text is an empty one: one end.
     Repeated rows are learnt as often as they stand. Without anything to learn from every choice is even. ``score`` is the
@@ -370,7 +371,8 @@ def score_texts(df: DataFrame, learn: Column, text: str = "text") -> DataFrame:
                 out.append((len(tokens), hits, base, logp[i], [{"word": w.decode(), "n": k} for w, k in rest.items()], lacking[i]))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in MEASURED.split(", ")])
 
-    done = rows.withColumn("__m", measured("__text"))
+    kept = [F.col(f"`{c}`") for c in (df.columns if keep is None else keep)]
+    done = rows.select(*kept, F.octet_length("__text").alias("__size"), measured("__text").alias("__m"))
     hits, base, logp = F.col("__m.n_known"), F.col("__m.base"), F.col("__m.logp")
     if not (all_strings and all_words):
         done = materialize(done.withColumn("__id", F.monotonically_increasing_id()), "measured")
@@ -384,12 +386,12 @@ def score_texts(df: DataFrame, learn: Column, text: str = "text") -> DataFrame:
         done = done.join(more, "__id", "left").join(far, "__id", "left")
         hits, base = hits + F.coalesce("__hits", F.lit(0)), base + F.coalesce("__base", F.lit(0.0))
         logp = logp + F.coalesce("__logp", F.lit(0.0))
-    bits = -logp / math.log(2) / (F.octet_length("__text") + 1)
+    bits = -logp / math.log(2) / (F.col("__size") + 1)
     result = F.struct(
         F.col("__m.n_tokens").alias("n_tokens"), hits.alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"),
         (logp / math.log(10)).alias("score"), bits.alias("bits_per_byte"),
     )
-    return done.select(*[F.col(f"`{c}`") for c in df.columns], result.alias("__lm"))
+    return done.select(*kept, result.alias("__lm"))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -398,4 +400,4 @@ def held_out(doc_id: Column) -> Column:
 
 def op11_lm(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return score_texts(docs, ~held_out(F.col("doc_id"))).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "__lm.*")
+    return score_texts(docs, ~held_out(F.col("doc_id")), keep=("doc_id",)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "__lm.*")
