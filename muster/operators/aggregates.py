@@ -53,25 +53,55 @@ def rank_in(col: Column, order: tuple[str, ...]) -> Column:
 
 
 def fuse_fields(fused: DataFrame) -> DataFrame:
-    """Fields of an incident from its reports in fusion order (``seq``): the worst urgency, most people, first type,
-    the first place of the best precision, all responses in canonical order."""
-    urgent, precise = rank_in(F.col("urgency"), URGENCIES), rank_in(F.col("location_precision"), PRECISIONS)
+    """Fields of an incident from its reports in fusion order (``seq``): the worst urgency, most people, first type, the
+    place, all responses in canonical order.
+
+    The place follows the fold of ``fusion.fuse_pair``: the first report gives it; after it only reports with both
+    coordinates count, first the earliest of them, then the earliest of each better precision, so the earliest of the best
+    stays. If the first report has coordinates, a later one must beat its precision. The text is that of the last report
+    in this chain that had one, else the first report's.
+    """
+    urgent, precise = rank_in(F.col("urgency"), URGENCIES), F.greatest(F.lit(1), rank_in(F.upper("location_precision"), PRECISIONS))
     typed = F.when(F.col("incident_type").isNotNull(), F.col("seq"))
-    out = fused.groupBy("incident_id").agg(
+    placed = F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
+    spot = F.struct("seq", "latitude", "longitude", "location_precision", "location_text")
+    steps = [F.min(F.when(placed & (precise == k), spot)).alias(f"s{k}") for k in (1, 2, 3)]  # the earliest located report of each precision
+    whole = fused.groupBy("incident_id").agg(
         F.max(urgent).alias("u"),
         F.max("people_count").alias("people_at_risk_count"),
         F.min_by("incident_type", typed).alias("incident_type"),
         (F.count_distinct("incident_type") > 1).alias("type_conflict"),
-        F.max_by("location_text", precise * 1_000_000 - F.col("seq")).alias("location_text"),
-        F.array_distinct(F.flatten(F.collect_list("responses"))).alias("r"),
+        F.min(spot).alias("first"), *steps,
     )
+    # responses are few distinct values: they meet as such, not as one list a report
+    responses = fused.select("incident_id", F.explode("responses").alias("r")).groupBy("incident_id").agg(F.collect_set("r").alias("r"))
+    # a precision's earliest report takes part if no earlier or equal one was as precise: its place in the chain
+    chain = F.array_compact(F.array(
+        F.when(_earlier("s1", "s2", "s3"), F.col("s1")), F.when(_earlier("s2", "s3"), F.col("s2")), F.col("s3"),
+    ))
+    out = whole.join(responses, "incident_id", "left").withColumn("chain", chain)
+    last = F.element_at(F.col("chain"), F.lit(-1))
+    texts = F.filter(F.transform("chain", lambda x: x["location_text"]), lambda t: t.isNotNull())
     urgency = F.when(F.col("u") > 0, F.element_at(F.array(*map(F.lit, URGENCIES)), F.greatest("u", F.lit(1))))
+    spots = F.size("chain") > 0
     return out.select(
-        "incident_id", urgency.alias("urgency"), "people_at_risk_count", "incident_type", "type_conflict", "location_text",
-        canonical_responses(F.col("r")).alias("responses"),
+        "incident_id", urgency.alias("urgency"), "people_at_risk_count", "incident_type", "type_conflict",
+        F.coalesce(F.get(texts, F.size(texts) - 1), F.col("first.location_text")).alias("location_text"),
+        F.when(spots, last["latitude"]).otherwise(F.col("first.latitude")).alias("latitude"),
+        F.when(spots, last["longitude"]).otherwise(F.col("first.longitude")).alias("longitude"),
+        F.when(spots, last["location_precision"]).otherwise(F.col("first.location_precision")).alias("location_precision"),
+        canonical_responses(F.coalesce("r", F.array().cast("array<string>"))).alias("responses"),
     )
 
 
+def _earlier(own: str, *better: str) -> Column:
+    """``own`` is there and comes before all of ``better`` that are."""
+    here = F.col(own).isNotNull()
+    for b in better:
+        here = here & F.coalesce(F.col(f"{own}.seq") < F.col(f"{b}.seq"), F.lit(True))
+    return here
+
+
 def canonical_responses(responses: Column) -> Column:
     known = F.filter(F.array(*map(F.lit, RESPONSES)), lambda r: F.array_contains(responses, r))
     rest = F.array_sort(F.filter(responses, lambda r: ~r.isin(*RESPONSES)))

@@ -1,20 +1,15 @@
-"""Fusion of reports to incidents: order-free components, exact replay within blocks, and the rules on one row."""
+"""Fusion of reports to incidents: order-free components and the rules on one row; the replay one by one is in ``replay``."""
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-from dataclasses import dataclass, field
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from muster.config import DEFAULT, UNKNOWN_PLACES, Config
+from muster.config import DEFAULT, Config
 from muster.functions import scalars as S
 from muster.graph import connected_components
 from muster.operators.aggregates import canonical_responses, rank_in
-from muster.runtime import arrow_batches
+from muster.operators.replay import LINK_SCHEMA, Fuser, fuse_replay, region_block, replay_blocks, session_blocks  # noqa: F401
 
 
 def fuse_components(pairs: DataFrame, reports: DataFrame) -> DataFrame:
@@ -25,146 +20,6 @@ def fuse_components(pairs: DataFrame, reports: DataFrame) -> DataFrame:
     return out.select("report_id", F.coalesce("component", "report_id").alias("component"))
 
 
-# -- one-by-one semantics ----------------------------------------------------------------------------------------
-
-
-def _place(text: str | None) -> str | None:
-    low = (text or "").strip().lower()
-    return low if low and low not in UNKNOWN_PLACES else None
-
-
-@dataclass
-class Incident:
-    """What fusion must remember of an open incident."""
-
-    incident_id: str
-    last: float  # hours
-    lat: float | None
-    lon: float | None
-    place: str | None
-    texts: set = field(default_factory=set)
-    sources: set = field(default_factory=set)
-    reports: int = 1
-    independent: int = 1
-
-
-class Fuser:
-    """Greedy fusion in arrival order: the best matching open incident takes the report, or a new one opens."""
-
-    def __init__(self, cfg: Config = DEFAULT):
-        self.cfg, self.open = cfg, []
-
-    def _space(self, r: dict, i: Incident) -> tuple[str, float]:
-        if None not in (r["lat"], r["lon"], i.lat, i.lon):
-            p, q = math.radians(r["lat"]), math.radians(i.lat)
-            h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(i.lon - r["lon"]) / 2) ** 2
-            km = self.cfg.earth_km * 2 * math.atan2(math.sqrt(h), math.sqrt(max(0.0, 1 - h)))
-            return "COORDINATES", round(max(0.0, 1 - km / self.cfg.radius_km), 4)
-        a, b = r["place"], i.place
-        if a is None or b is None:
-            return ("BOTH_UNKNOWN" if a is b else "ONE_UNKNOWN"), 0.5
-        if a == b:
-            return "EXACT_TEXT", 0.9
-        shared = any(len(t) >= 3 for t in set(a.split()) & set(b.split()))
-        if (len(a) >= 3 and a in b) or (len(b) >= 3 and b in a) or shared:
-            return "SUBSTRING_TEXT", 0.6
-        return "CONFLICTING_TEXT", 0.0
-
-    def add(self, r: dict) -> dict:
-        """``r``: report_id, hours, lat, lon, place, text, source -> the link row."""
-        cfg, best = self.cfg, None
-        self.open = [i for i in self.open if r["hours"] - i.last <= cfg.horizon_hours]
-        wt, ws = round(cfg.w_temporal / (cfg.w_temporal + cfg.w_spatial), 4), round(cfg.w_spatial / (cfg.w_temporal + cfg.w_spatial), 4)
-        for i in sorted(self.open, key=lambda i: (-i.last, i.incident_id)):
-            kind, space = self._space(r, i)
-            if kind == "CONFLICTING_TEXT":
-                continue
-            score = round(min(1.0, wt * round(math.exp(-(r["hours"] - i.last) / cfg.tau_hours), 4) + ws * space), 4)
-            if score >= cfg.threshold and (best is None or score > best[0]):
-                best = (score, i)
-        if best is None:
-            self.open.append(Incident("inc-" + r["report_id"], r["hours"], r["lat"], r["lon"], r["place"], {r["text"]}, {r["source"]} - {None}))
-            return {"incident_id": "inc-" + r["report_id"], "report_id": r["report_id"], "relationship_type": "INITIAL", "similarity_score": None}
-        score, i = best
-        if r["text"] in i.texts or (r["source"] is not None and r["source"] in i.sources) or (score >= cfg.duplicate_at and r["source"] is None):
-            relation = "DUPLICATE"
-        else:
-            relation = "CORROBORATING"
-            i.independent += 1
-        i.reports += 1
-        i.last = max(i.last, r["hours"])
-        i.texts.add(r["text"])
-        if r["source"] is not None:
-            i.sources.add(r["source"])
-        if i.lat is None and r["lat"] is not None:  # a better precision replaces the place
-            i.lat, i.lon = r["lat"], r["lon"]
-            i.place = r["place"] or i.place
-        elif i.place is None:
-            i.place = r["place"]
-        return {"incident_id": i.incident_id, "report_id": r["report_id"], "relationship_type": relation, "similarity_score": score}
-
-
-LINK_SCHEMA = "incident_id string, report_id string, relationship_type string, similarity_score double"
-
-
-def session_blocks(reports: DataFrame, hours: float = 6.0, keys: tuple[str, ...] = ("is_synthetic",)) -> DataFrame:
-    """Reports with the start of their block: a gap of more than ``hours`` within the ``keys`` closes a block.
-
-    Two reports of one stretch of ``hours`` have no such gap between them, so the window goes over stretches that
-    have reports, not over reports.
-    """
-    from pyspark.sql import Window
-
-    hour = F.floor(F.unix_micros("reported_at") / F.lit(hours * 3_600_000_000.0)).cast("long")
-    per = reports.groupBy(*keys, hour.alias("_h")).agg(F.min("reported_at").alias("_lo"), F.max("reported_at").alias("_hi"))
-    w = Window.partitionBy(*keys).orderBy("_h")
-    gap = F.unix_micros("_lo") - F.unix_micros(F.lag("_hi").over(w))
-    starts = per.withColumn("_s", F.when(gap.isNull() | (gap > int(hours * 3_600_000_000)), F.col("_lo")))
-    block = F.last("_s", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    blocks = starts.select(*keys, "_h", block.alias("block"))
-    return reports.withColumn("_h", hour).join(blocks, [*keys, "_h"]).drop("_h")
-
-
-def region_block(reports: DataFrame) -> Column:
-    """A coarse grid cell, else the first word of the place, else ``unlocated``."""
-    cell = F.concat_ws(":", F.floor(F.col("latitude") / 0.25), F.floor(F.col("longitude") / 0.25))
-    word = F.split(S.norm_place(F.col("location_text")), r"\s+")[0]
-    return F.coalesce(F.when(F.col("latitude").isNotNull() & F.col("longitude").isNotNull(), cell), word, F.lit("unlocated"))
-
-
-def fuse_replay(reports: DataFrame, mode: str = "region", cfg: Config = DEFAULT) -> DataFrame:
-    """Exact greedy fusion in the order of (reported_at, report_id) within each block.
-
-    ``region`` scales and never compares across regions. Its blocks are also cut where more than the horizon passes
-    without a report of the region, as nothing can match across such a gap. ``exact`` has only the gaps of a kind: the
-    one-by-one semantics, for small data and tests. A block is serial in either mode; its sorted rows come in Arrow
-    batches, so that a task holds one batch and the open incidents, never a block.
-    """
-    arrow_batches(reports.sparkSession, 10_000)
-    r = reports.withColumn("region", region_block(reports) if mode == "region" else F.lit("all"))
-    key = ("is_synthetic", "region")
-    r = session_blocks(r, cfg.horizon_hours, key)
-    narrow = r.select(
-        "report_id", "region", "is_synthetic", "block", (F.unix_micros("reported_at") / F.lit(3_600_000_000.0)).alias("hours"),
-        F.col("latitude").alias("lat"), F.col("longitude").alias("lon"), S.norm_place(F.col("location_text")).alias("place"),
-        F.xxhash64(S.norm_place(F.col("text"))).alias("text"), F.nullif(F.trim("caller_id"), F.lit("")).alias("source"),
-    )
-
-    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ("report_id", "hours", "lat", "lon", "place", "text", "source")
-        block, fuser = None, Fuser(cfg)
-        for rows in batches:
-            out = []
-            for *at, row in zip(rows["is_synthetic"].tolist(), rows["region"].tolist(), rows["block"].tolist(), zip(*[rows[n].tolist() for n in names])):
-                if at != block:
-                    block, fuser = at, Fuser(cfg)
-                out.append(fuser.add({k: None if v is None or v != v else v for k, v in zip(names, row)}))
-            yield pd.DataFrame(out, columns=["incident_id", "report_id", "relationship_type", "similarity_score"])
-
-    dealt = narrow.repartition(*key, "block").sortWithinPartitions(*key, "block", "hours", "report_id")
-    return dealt.mapInPandas(replay, LINK_SCHEMA)
-
-
 # -- rules on one row --------------------------------------------------------------------------------------------
 
 
@@ -205,20 +60,29 @@ def recover_failed(preds: DataFrame) -> DataFrame:
     )
 
 
-def fuse_pair(df: DataFrame) -> DataFrame:
-    """Fields of an incident (``i_``) and a report (``r_``) fused on one row."""
+def fuse_pair(df: DataFrame, conflict: str | None = None) -> DataFrame:
+    """Fields of an incident (``i_``) and a report (``r_``) fused on one row.
+
+    The place is refined only by a report with both coordinates: an incident without coordinates takes them, another one
+    if the report is more precise. A report's missing place text leaves the incident's. ``conflict`` names a boolean column:
+    where it holds, the incident keeps its place.
+    """
     from muster.config import PRECISIONS, URGENCIES
 
     urgent = lambda c: rank_in(F.col(c), URGENCIES)
-    precise = lambda c: rank_in(F.col(c), PRECISIONS)
-    better = precise("r_location_precision") > precise("i_location_precision")
+    precise = lambda c: F.greatest(F.lit(1), rank_in(F.upper(c), PRECISIONS))
+    placed = lambda s: F.col(f"{s}_latitude").isNotNull() & F.col(f"{s}_longitude").isNotNull()
+    better = placed("r") & (~placed("i") | (precise("r_location_precision") > precise("i_location_precision")))
+    if conflict is not None:
+        better = better & ~F.coalesce(F.col(conflict), F.lit(False))
     pick = lambda f: F.when(better, F.col(f"r_{f}")).otherwise(F.col(f"i_{f}")).alias(f)
+    text = F.when(better, F.coalesce("r_location_text", "i_location_text")).otherwise(F.col("i_location_text")).alias("location_text")
     return df.withColumns({
         "urgency": F.when(urgent("r_urgency") > urgent("i_urgency"), F.col("r_urgency")).otherwise(F.coalesce("i_urgency", "r_urgency")),
         "people_count": F.greatest("i_people_count", "r_people_count"),
         "incident_type": F.coalesce("i_incident_type", "r_incident_type"),
         "type_conflict": F.coalesce(F.col("i_incident_type") != F.col("r_incident_type"), F.lit(False)),
-    }).select("*", pick("location_text"), pick("location_precision"))
+    }).select("*", text, pick("latitude"), pick("longitude"), pick("location_precision"))
 
 
 def fuse_responses(a: Column, b: Column) -> Column:

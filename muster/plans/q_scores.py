@@ -254,18 +254,25 @@ def _(spark, d):
     return fallback_prediction(view(spark, d, "report")).select("report_id", "processing_status", "warnings", c("location.text").alias("place"))
 
 
-@query("fuse_pair", """SELECT a.report_id, CASE WHEN coalesce(array_position(['LOW','MEDIUM','HIGH','CRITICAL'], b.urgency), 0) > coalesce(array_position(['LOW','MEDIUM','HIGH','CRITICAL'], a.urgency), 0) THEN b.urgency ELSE coalesce(a.urgency, b.urgency) END AS urgency,
- greatest(a.people_count, b.people_count) AS people_count, CASE WHEN b.latitude IS NOT NULL AND a.latitude IS NULL OR (b.location_text IS NOT NULL AND a.location_text IS NULL AND a.latitude IS NULL) THEN b.location_text ELSE a.location_text END AS location_text
- FROM report a JOIN report b ON b.event_id = a.event_id + 1""")
+PRECISE = "CASE WHEN {0}event_id % 7 = 0 THEN 'EXACT' WHEN {0}event_id % 7 < 4 THEN 'APPROXIMATE' ELSE 'UNKNOWN' END"
+RANKED = "CASE WHEN {0}event_id % 7 = 0 THEN 3 WHEN {0}event_id % 7 < 4 THEN 2 ELSE 1 END"
+
+
+@query("fuse_pair", f"""WITH p AS (SELECT a.report_id, CASE WHEN coalesce(array_position(['LOW','MEDIUM','HIGH','CRITICAL'], b.urgency), 0) > coalesce(array_position(['LOW','MEDIUM','HIGH','CRITICAL'], a.urgency), 0) THEN b.urgency ELSE coalesce(a.urgency, b.urgency) END AS urgency,
+ greatest(a.people_count, b.people_count) AS people_count, b.latitude IS NOT NULL AND b.event_id % 10 <> 0 AND (a.latitude IS NULL OR {RANKED.format('b.')} > {RANKED.format('a.')}) AS better,
+ a.location_text AS t1, b.location_text AS t2, a.latitude AS alat, b.latitude AS blat, a.longitude AS alon, b.longitude AS blon, {PRECISE.format('a.')} AS ap, {PRECISE.format('b.')} AS bp
+ FROM report a JOIN report b ON b.event_id = a.event_id + 1)
+SELECT report_id, urgency, people_count, CASE WHEN better THEN coalesce(t2, t1) ELSE t1 END AS location_text, CASE WHEN better THEN blat ELSE alat END AS latitude,
+ CASE WHEN better THEN blon ELSE alon END AS longitude, CASE WHEN better THEN bp ELSE ap END AS location_precision FROM p""")
 def _(spark, d):
     r = view(spark, d, "report").select(
-        "event_id", "report_id", "urgency", "people_count", "location_text",
-        F.when(c("latitude").isNotNull(), "EXACT").when(c("location_text").isNotNull(), "APPROXIMATE").otherwise("UNKNOWN").alias("location_precision"),
-        F.lit("OTHER_GENERAL_INCIDENT").alias("incident_type"),
+        "event_id", "report_id", "urgency", "people_count", "location_text", "latitude", "longitude", F.expr(PRECISE.format("")).alias("location_precision"),
+        F.lit("OTHER_GENERAL_INCIDENT").alias("incident_type"), (c("event_id") % 10 == 0).alias("conflict"),
     )
     i = r.select(*[c(x).alias(f"i_{x}") for x in r.columns])
     j = r.select((c("event_id") - 1).alias("i_event_id"), *[c(x).alias(f"r_{x}") for x in r.columns])
-    return U.fuse_pair(i.join(j, "i_event_id")).select(c("i_report_id").alias("report_id"), "urgency", "people_count", "location_text")
+    both = U.fuse_pair(i.join(j, "i_event_id"), "r_conflict")
+    return both.select(c("i_report_id").alias("report_id"), "urgency", "people_count", "location_text", "latitude", "longitude", "location_precision")
 
 
 # -- assembly ------------------------------------------------------------------------------------------------------
@@ -403,6 +410,11 @@ def _(spark, d):
     return U.fuse_replay(view(spark, d, "report"), "region")
 
 
+@query("fuse_replay_semantic")
+def _(spark, d):
+    return U.fuse_replay(view(spark, d, "report"), "region", semantic=True)
+
+
 @query("fusion_outputs")
 def _(spark, d):
     r = view(spark, d, "report")

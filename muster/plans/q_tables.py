@@ -213,17 +213,16 @@ def _(spark, d):
     return view(spark, d, "pred").select("report_id", A.harmonic_confidence(parts).alias("confidence"))
 
 
-FUSED = """fused AS (SELECT l.incident_id, l.link_id, r.urgency, r.people_count, r.location_text,
- CASE WHEN r.latitude IS NOT NULL THEN 'EXACT' WHEN r.location_text IS NOT NULL THEN 'APPROXIMATE' ELSE 'UNKNOWN' END AS location_precision,
+FUSED = """fused AS (SELECT l.incident_id, l.link_id, r.urgency, r.people_count, r.location_text, r.latitude, r.longitude,
+ CASE WHEN r.event_id % 7 = 0 THEN 'EXACT' WHEN r.event_id % 7 < 4 THEN 'APPROXIMATE' ELSE 'UNKNOWN' END AS location_precision,
  CASE r.event_id % 5 WHEN 0 THEN 'FLOOD_FLASH_FLOOD' WHEN 1 THEN 'MEDICAL_EMERGENCY' WHEN 2 THEN 'FIRE_WILDFIRE_EXPLOSION' END AS incident_type,
  r.event_id, row_number() OVER (PARTITION BY l.incident_id ORDER BY l.fused_at, l.link_id) AS seq
  FROM link l JOIN report r ON r.report_id = l.report_id)"""
 
 
 def fused(spark, d):
-    view(spark, d, "link").createOrReplaceTempView("link")
-    view(spark, d, "report").createOrReplaceTempView("report")
-    df = spark.sql(f"WITH {FUSED} SELECT * FROM fused")
+    named = FUSED.replace("FROM link l", "FROM {link} l").replace("JOIN report r", "JOIN {report} r")
+    df = spark.sql(f"WITH {named} SELECT * FROM fused", link=view(spark, d, "link"), report=view(spark, d, "report"))
     responses = F.array_compact(F.array(
         F.when(F.col("event_id") % 2 == 0, "MEDICAL_EMS"), F.when(F.col("event_id") % 3 == 0, "ANIMAL_CARE"),
         F.when(F.col("event_id") % 7 == 0, "SEARCH_AND_RESCUE"),
@@ -234,8 +233,13 @@ def fused(spark, d):
 @query("fuse_fields", f"""WITH {FUSED}, r AS (SELECT incident_id, bool_or(event_id % 7 = 0) AS s, bool_or(event_id % 2 = 0) AS m, bool_or(event_id % 3 = 0) AS a,
  max(CASE urgency WHEN 'CRITICAL' THEN 4 WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 WHEN 'LOW' THEN 1 ELSE 0 END) AS u, max(people_count) AS people_at_risk_count,
  arg_min(incident_type, seq) FILTER (WHERE incident_type IS NOT NULL) AS incident_type, count(DISTINCT incident_type) > 1 AS type_conflict,
- arg_max({{'t': location_text}}, CASE location_precision WHEN 'EXACT' THEN 3 WHEN 'APPROXIMATE' THEN 2 ELSE 1 END * 1000000 - seq).t AS location_text FROM fused GROUP BY 1)
-SELECT incident_id, CASE WHEN u > 0 THEN ['LOW','MEDIUM','HIGH','CRITICAL'][u] END AS urgency, people_at_risk_count, incident_type, type_conflict, location_text,
- list_filter([CASE WHEN s THEN 'SEARCH_AND_RESCUE' END, CASE WHEN m THEN 'MEDICAL_EMS' END, CASE WHEN a THEN 'ANIMAL_CARE' END], lambda x: x IS NOT NULL) AS responses FROM r""")
+ arg_min({{'t': location_text, 'p': location_precision}}, seq) AS f FROM fused GROUP BY 1),
+loc AS (SELECT *, CASE location_precision WHEN 'EXACT' THEN 3 WHEN 'APPROXIMATE' THEN 2 ELSE 1 END AS p FROM fused WHERE latitude IS NOT NULL AND longitude IS NOT NULL),
+rec AS (SELECT * FROM loc QUALIFY p > coalesce(max(p) OVER (PARTITION BY incident_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)),
+z AS (SELECT incident_id, arg_max(latitude, seq) AS latitude, arg_max(longitude, seq) AS longitude, arg_max(location_precision, seq) AS location_precision,
+ arg_max(location_text, seq) FILTER (WHERE location_text IS NOT NULL) AS location_text FROM rec GROUP BY 1)
+SELECT incident_id, CASE WHEN u > 0 THEN ['LOW','MEDIUM','HIGH','CRITICAL'][u] END AS urgency, people_at_risk_count, incident_type, type_conflict,
+ coalesce(z.location_text, f.t) AS location_text, latitude, longitude, coalesce(z.location_precision, f.p) AS location_precision,
+ list_filter([CASE WHEN s THEN 'SEARCH_AND_RESCUE' END, CASE WHEN m THEN 'MEDICAL_EMS' END, CASE WHEN a THEN 'ANIMAL_CARE' END], lambda x: x IS NOT NULL) AS responses FROM r LEFT JOIN z USING (incident_id)""")
 def _(spark, d):
     return A.fuse_fields(fused(spark, d))

@@ -56,22 +56,6 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_replay_is_the_one_by_one_loop(spark):
-    r = reports(spark, 120, 7, 60)
-    got = {(x["report_id"], x["incident_id"], x["relationship_type"]) for x in U.fuse_replay(r, "exact").collect()}
-    want = set()
-    for kind in (True, False):
-        fuser = U.Fuser()
-        rows = r.where(F.col("is_synthetic") == kind).select(
-            "report_id", (F.unix_micros("reported_at") / 3.6e9).alias("hours"), F.col("latitude").alias("lat"), F.col("longitude").alias("lon"),
-            F.col("location_text").alias("place"), F.xxhash64("text").alias("text"), F.col("caller_id").alias("source"),
-        ).collect()
-        for row in sorted(rows, key=lambda x: (x["hours"], x["report_id"])):
-            link = fuser.add(row.asDict())
-            want.add((link["report_id"], link["incident_id"], link["relationship_type"]))
-    assert got == want
-
-
 def test_pair_metrics_golden(spark):
     df = spark.createDataFrame([("A", "X"), ("A", "X"), ("B", "X"), ("B", "Y")], "t string, p string")
     got = M.pair_metrics(df, "t", "p").first()

@@ -43,26 +43,3 @@ def test_clean_text_of_every_language(spark, tmp_path):
     spark.createDataFrame(rows + odd, "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = dict(map(tuple, registry.QUERIES["clean_text_all"](spark, str(tmp_path)).collect()))
     assert got == {i: None if t is None else hashlib.md5(tidy(t).encode()).hexdigest() for i, _, t in rows + odd}
-
-
-def test_replay_in_batches_of_region_blocks(spark):
-    r = reports(spark, n=400, hours=200).withColumn("region", U.region_block(reports(spark)))
-    names = ("report_id", "hours", "lat", "lon", "place", "text", "source")
-    narrow = r.selectExpr(
-        "is_synthetic", "region", "report_id", "unix_micros(reported_at) / 3600000000.0D AS hours", "latitude AS lat", "longitude AS lon",
-        "nullif(lower(location_text), '') AS place", "xxhash64(lower(text)) AS text", "caller_id AS source",
-    )
-    fusers, want = {}, []
-    for x in sorted(narrow.collect(), key=lambda x: (x["hours"], x["report_id"])):
-        fuser = fusers.setdefault((x["is_synthetic"], x["region"]), U.Fuser())
-        want.append(tuple(fuser.add({n: x[n] for n in names}).values()))
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "7")  # blocks run over many batches
-    try:
-        got = [tuple(x) for x in U.fuse_replay(r.drop("region")).collect()]
-    finally:
-        spark.conf.set(key, before)
-    assert sorted(got, key=str) == sorted(want, key=str)
-    cut = U.session_blocks(r, 6.0, ("is_synthetic", "region"))
-    assert cut.count() == 400 and cut.select("is_synthetic", "region", "block").distinct().count() > U.session_blocks(r).select("is_synthetic", "region", "block").distinct().count()
