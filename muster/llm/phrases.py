@@ -120,11 +120,10 @@ def encode(texts: DataFrame, head: dict[str, dict[bytes, int]], salt: int | None
 
 @dataclass
 class Numbering:
-    """Numbered phrases of one length: sorted codes (left number, word), their numbers, and the words of each number."""
+    """Numbered phrases of one length: sorted codes (left number, word) and their numbers."""
 
     codes: np.ndarray
     numbers: np.ndarray
-    words: np.ndarray
     complete: bool  # every frequent phrase of this length is numbered
 
     def find(self, left: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -164,11 +163,13 @@ def tile_counts(left: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.concatenate(lefts), np.concatenate(lasts), np.concatenate(counts)
 
 
-def phrase_counts(ids: np.ndarray, size: int, tables: dict[int, Numbering], words_complete: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Words (a row each) and counts of the phrases of ``size`` words in ``ids``; some that are surely infrequent are left out."""
+def phrase_counts(ids: np.ndarray, size: int, tables: dict[int, Numbering], words_complete: bool) -> tuple[np.ndarray, ...]:
+    """Codes and counts of the phrases of ``size`` words in ``ids`` that have a code, words and counts of the others; some that
+    are surely infrequent are left out."""
     n = len(ids) - size + 1
+    none = np.zeros(0, np.int64)
     if n <= 0:
-        return np.zeros((0, size), np.int64), np.zeros(0, np.int64)
+        return none, none, np.zeros((0, size), np.int64), none
     one = np.where(ids >= 0, ids, -1)
     number = {1: one}
     for k in range(2, size):
@@ -178,20 +179,21 @@ def phrase_counts(ids: np.ndarray, size: int, tables: dict[int, Numbering], word
     direct = (left >= 0) & (last >= 0)
     if size > 2 and complete:
         direct &= right >= 0  # its last words are no frequent phrase, so it is none
-    a, b, c = tile_counts(left[direct], last[direct])
-    stem = a[:, None] if size == 2 else tables[size - 1].words[a]
-    found, counts = np.concatenate([stem, b[:, None]], axis=1), c
+    a, b, counts = tile_counts(left[direct], last[direct])
+    rest, more = np.zeros((0, size), np.int64), none
     if not complete:
         whole = np.all(np.stack([ids[k : k + n] != BREAK for k in range(size)]), axis=0) & ~direct
         rest = np.stack([ids[k : k + n][whole] for k in range(size)], axis=1)
         if len(rest):
             rest, more = np.unique(rest, axis=0, return_counts=True)
-            found, counts = np.concatenate([found, rest]), np.concatenate([counts, more])
-    return found, counts
+    return a * HEAD_LIMIT + b, counts, rest, more
 
 
-def count_phrases(encoded: DataFrame, size: int, tables: dict[int, Numbering], words_complete: bool) -> DataFrame:
-    """``(w1 .. wn, c)`` of the phrases of ``size`` words with ``LEAST`` occurrences or more."""
+def count_phrases(encoded: DataFrame, size: int, tables: dict[int, Numbering], words_complete: bool, stems: DataFrame | None) -> DataFrame:
+    """``(w1 .. wn, c)`` of the phrases of ``size`` words with ``LEAST`` occurrences or more.
+
+    ``stems(number, w1 ..)`` has the numbered phrases that are one word shorter; those of one word are their own numbers.
+    """
     shared = encoded.sparkSession.sparkContext.broadcast(tables)
     names = [f"w{i}" for i in range(1, size + 1)]
 
@@ -199,11 +201,16 @@ def count_phrases(encoded: DataFrame, size: int, tables: dict[int, Numbering], w
         held: list[np.ndarray] = []
 
         def out():
-            found, counts = phrase_counts(np.concatenate(held), size, shared.value, words_complete)
+            codes, counts, rest, more = phrase_counts(np.concatenate(held), size, shared.value, words_complete)
             held.clear()
-            for at in range(0, len(found), BATCH):
-                cols = [pa.array(np.ascontiguousarray(found[at : at + BATCH, k])) for k in range(size)]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(counts[at : at + BATCH].astype(np.int64))], [*names, "c"])
+            for at in range(0, len(codes), BATCH):
+                here = slice(at, at + BATCH)
+                blank = pa.nulls(len(codes[here]), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(codes[here]), blank, pa.array(counts[here].astype(np.int64))], ["code", "words", "c"])
+            for at in range(0, len(rest), BATCH):
+                part = np.ascontiguousarray(rest[at : at + BATCH])
+                words = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * size), pa.array(part.ravel()))
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(part), pa.int64()), words, pa.array(more[at : at + BATCH].astype(np.int64))], ["code", "words", "c"])
 
         for b in batches:
             ids = b.column(0).flatten().to_numpy(zero_copy_only=False)
@@ -214,15 +221,21 @@ def count_phrases(encoded: DataFrame, size: int, tables: dict[int, Numbering], w
         if held:
             yield from out()
 
-    parts = encoded.mapInArrow(count, ", ".join(f"{w} long" for w in [*names, "c"]))
-    return parts.groupBy(*names).agg(F.sum("c").alias("c")).where(F.col("c") >= LEAST)
+    parts = encoded.mapInArrow(count, "code long, words array<long>, c long").groupBy("code", "words").agg(F.sum("c").alias("c"))
+    parts = materialize(parts.where(F.col("c") >= LEAST), "counted")
+    named = parts.where("words is not null").select(*[F.get("words", F.lit(i)).alias(w) for i, w in enumerate(names)], "c")
+    limit = F.lit(int(HEAD_LIMIT))
+    coded = parts.where("code is not null").select(F.shiftright("code", 24).alias("number"), F.col("code").bitwiseAND(limit - 1).alias(names[-1]), "c")
+    coded = coded.withColumnRenamed("number", "w1") if stems is None else coded.join(stems, "number")
+    return named.unionByName(coded.select(*names, "c"))
 
 
-def number_phrases(phrases: DataFrame, size: int, tables: dict[int, Numbering], words_complete: bool) -> Numbering:
-    """The most frequent of ``phrases``, numbered by falling frequency."""
+def number_phrases(phrases: DataFrame, size: int, tables: dict[int, Numbering], words_complete: bool) -> tuple[Numbering, DataFrame]:
+    """The most frequent of ``phrases``, numbered by falling frequency; the table has them as ``(number, w1 ..)``."""
     names = [f"w{i}" for i in range(1, size + 1)]
     rows = ranked(phrases, [F.desc("c"), *map(F.col, names)], "number", "pairs")
-    head = rows.where(F.col("number") < HEAD_PHRASES).select("number", *names).toArrow().to_pandas().sort_values("number")
+    numbered = rows.where(F.col("number") < HEAD_PHRASES).select("number", *names)
+    head = numbered.toArrow().to_pandas().sort_values("number")
     words = head[names].to_numpy(np.int64).reshape(-1, size)
     left = words[:, 0]
     for k in range(2, size):
@@ -232,7 +245,7 @@ def number_phrases(phrases: DataFrame, size: int, tables: dict[int, Numbering],
     order = np.argsort(codes)
     complete = words_complete and bool(whole.all()) and phrases.limit(HEAD_PHRASES + 1).count() <= HEAD_PHRASES
     complete = complete and all(tables[k].complete for k in range(2, size))
-    return Numbering(codes[order], np.nonzero(whole)[0][order], words, complete)
+    return Numbering(codes[order], np.nonzero(whole)[0][order], complete), numbered
 
 
 @dataclass
@@ -263,11 +276,12 @@ def count_all(texts: DataFrame) -> Counts:
         key = word_key(F.col("lang"), F.col("word"), salt)
         words = words.withColumn("number", F.when(F.col("number") < HEAD_WORDS, F.col("number")).otherwise(key))
     encoded = encode(texts, head, salt)
+    stems: DataFrame | None = None
     found, tables = Counts(words, {}, every.groupBy("lang").agg(F.sum("c").alias("n"))), {}
     for size in range(2, LONGEST + 1):
-        found.phrases[size] = materialize(count_phrases(encoded, size, tables, complete), f"phrases-{size}")
+        found.phrases[size] = materialize(count_phrases(encoded, size, tables, complete, stems), f"phrases-{size}")
         if size < LONGEST:
-            tables[size] = number_phrases(found.phrases[size], size, tables, complete)
+            tables[size], stems = number_phrases(found.phrases[size], size, tables, complete)
     return found
 
 
