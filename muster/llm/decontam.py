@@ -25,6 +25,7 @@ LITERALS = 4  # that a window must have beside its placeholders; an item without
 RUN = 13  # consecutive aligned tokens that make a leak; an item with fewer must match whole
 BROADCAST_WINDOWS = 2_000_000  # 8 bytes each on every executor
 CACHE_ENTRIES = 300_000
+MARK_BITS = 20  # of a table that tells most windows from the benchmark's
 TRIM = ".,;:!?\"'()[]{}<>*#%&$|"
 NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*(?:st|nd|rd|th|%)?")
 NUMBER_WORDS = frozenset(
@@ -35,13 +36,17 @@ UNITS = frozenset(
     "meters metres kilometers kilometres miles feet inches grams kilograms pounds liters litres seconds minutes hours days "
     "weeks months years percent degrees".split()
 )
+GLUED = re.compile(r"([+-]?[$€£]?\d[\d.,:/]*)([A-Za-z]+)")  # a number and its unit in one word
 KINDS = ("num", "unit", "name")
 PLACE = {k: np.uint64(xxhash.xxh64_intdigest(f"<{k}>", 7)) for k in KINDS}
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Lexer:
-    """Words -> template hashes, placeholder kinds and values; facts about a word form are cached, within a bound."""
+    """Words -> hashes, kinds and values; facts about a word form are cached, within a bound.
+
+    Kinds: 0 literal, 1 number, 2 unit, 3 capitalised, 4 capitalised at the start of a sentence or line.
+    """
 
     def __init__(self) -> None:
         self.clear()
@@ -50,31 +55,48 @@ class Lexer:
         self.known: dict[str, int] = {}
         self.core: list[str] = []
         self.hash = np.empty(1 << 12, np.uint64)
-        self.kind = np.empty(1 << 12, np.int8)  # 0 literal, 1 num, 2 unit, 3 capitalised
+        self.kind = np.empty(1 << 12, np.int8)
         self.stop = np.empty(1 << 12, bool)  # ends a sentence
+        self.worded = np.empty(1 << 12, bool)  # a number in words, which goes on with the number before it
+        self.tail = np.empty(1 << 12, np.int64)  # the unit that is glued to this number, or -1
+        self.solid = np.empty(1 << 12, bool)
 
     def learn(self, word: str) -> int:
+        bare = word.strip(TRIM)
+        low, glued = bare.lower(), GLUED.fullmatch(bare)
+        tail, kind = -1, 3 if bare[:1].isupper() and not bare.isupper() else 0
+        worded = low in NUMBER_WORDS or ("-" in low and all(w in NUMBER_WORDS for w in low.split("-")))
+        if NUMBER.fullmatch(bare) or worded:
+            kind = 1
+        elif bare in UNITS or low in UNITS and len(low) > 2:
+            kind = 2
+        elif glued and (glued[2] in UNITS or glued[2].lower() in UNITS and len(glued[2]) > 2):
+            kind, low = 1, glued[1].rstrip(".,:/")
+            tail = self.store(glued[2].lower(), 2, word)
+        self.known[word] = self.store(low, kind, word, worded, tail)
+        return self.known[word]
+
+    def store(self, core: str, kind: int, word: str, worded: bool = False, tail: int = -1) -> int:
         i = len(self.core)
         if i == len(self.hash):
-            for name in ("hash", "kind", "stop"):
+            for name in ("hash", "kind", "stop", "worded", "tail", "solid"):
                 old = getattr(self, name)
                 setattr(self, name, np.concatenate([old, np.empty_like(old)]))
-        bare = word.strip(TRIM)
-        low = bare.lower()
-        self.core.append(low)
-        self.hash[i] = xxhash.xxh64_intdigest(low, 7)
-        if NUMBER.fullmatch(bare) or low in NUMBER_WORDS:
-            self.kind[i] = 1
-        elif bare in UNITS or low in UNITS and len(low) > 2:
-            self.kind[i] = 2
-        else:
-            self.kind[i] = 3 if bare[:1].isupper() and not bare.isupper() else 0
+        self.core.append(core)
+        self.hash[i], self.kind[i], self.worded[i], self.tail[i] = xxhash.xxh64_intdigest(core, 7), kind, worded, tail
         self.stop[i] = word.rstrip("\"')]}!?.:;|*#%&$") != word
-        self.known[word] = i
+        self.solid[i] = bool(core)
         return i
 
+    def joined(self, words: list[int]) -> int:
+        """The form of a number of several words."""
+        core = " ".join(self.core[i] for i in words)
+        if core not in self.known:
+            self.known[core] = self.store(core, 1, core)
+        return self.known[core]
+
     def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Template hash, kind (0 literal, 1 number, 2 unit, 3 name) and word form of every word with a core."""
+        """Own hash, kind and form of every token."""
         if len(self.core) > CACHE_ENTRIES:
             self.clear()
         words, starts = [], []
@@ -90,16 +112,40 @@ class Lexer:
         first = np.zeros(len(ids), bool)
         first[1:] = self.stop[ids[:-1]]
         first[starts] = True
+        solid = self.solid[ids]
+        ids, first = ids[solid], first[solid]
+        glued = np.nonzero(self.tail[ids] >= 0)[0]
+        if len(glued):
+            ids, first = np.insert(ids, glued + 1, self.tail[ids[glued]]), np.insert(first, glued + 1, False)
+        more = self.worded[ids[1:]] & (self.kind[ids[:-1]] == 1) & ~first[1:]
+        if more.any():
+            keep = np.concatenate(([True], ~more))
+            heads = np.nonzero(keep)[0]
+            ends = np.append(heads[1:], len(ids))
+            ids = ids.copy()
+            for a, b in zip(heads.tolist(), ends.tolist()):
+                if b - a > 1:
+                    ids[a] = self.joined(ids[a:b].tolist())
+            ids, first = ids[keep], first[keep]
         kind = self.kind[ids]
-        kind = np.where((kind == 3) & first, 0, kind)
-        h = self.hash[ids]
-        for k, name in enumerate(KINDS, 1):
-            h = np.where(kind == k, PLACE[name], h)
-        solid = np.fromiter((bool(self.core[i]) for i in ids), bool, len(ids))
-        return h[solid], kind[solid], ids[solid]
+        return self.hash[ids], np.where((kind == 3) & first, np.int8(4), kind), ids
+
+
+def readings(own: np.ndarray, kind: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """``(hashes, whether literal)`` of the tokens with capitals as names inside sentences, everywhere, and nowhere."""
+    fixed = own
+    for k in (1, 2):
+        fixed = np.where(kind == k, PLACE[KINDS[k - 1]], fixed)
+    plain, inside, start = (kind == 0) | (kind > 2), kind == 3, kind == 4
+    out = [(np.where(inside, PLACE["name"], fixed), plain & ~inside)]
+    if start.any():
+        out.append((np.where(inside | start, PLACE["name"], fixed), kind == 0))
+    if inside.any():
+        out.append((fixed, plain))
+    return out
 
 
-def windows(h: np.ndarray, kind: np.ndarray, width: int = WINDOW, plain: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def windows(h: np.ndarray, literal: np.ndarray, width: int = WINDOW, plain: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each window and whether it has enough literals; windows of different widths don't meet.
 
     ``plain`` windows are cut from the words' own hashes, need no literals and meet only plain ones.
@@ -113,20 +159,28 @@ def windows(h: np.ndarray, kind: np.ndarray, width: int = WINDOW, plain: bool =
             out = (out ^ (out >> np.uint64(29))) * STEP + h[j : j + n]
     if plain:
         return out, np.ones(n, bool)
-    total = np.concatenate(([0], np.cumsum(kind == 0)))
+    total = np.concatenate(([0], np.cumsum(literal)))
     return out, (total[width:] - total[:-width]) >= LITERALS
 
 
-def item_windows(h: np.ndarray, kind: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple[int, bool]]:
-    """An item's windows, which of them count, and their ``(width, plain)``; ``own`` are the words' own hashes.
+def all_windows(own: np.ndarray, kind: np.ndarray, width: int, plain: bool) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The windows of every reading, or the plain ones."""
+    if plain:
+        return [windows(own, kind == 0, width, plain=True)]
+    return [windows(h, literal, width) for h, literal in readings(own, kind)]
+
+
+def item_windows(own: np.ndarray, kind: np.ndarray) -> tuple[list[tuple[int, int]], tuple[int, bool]]:
+    """An item's ``(place, hash)`` of the windows that count, and their ``(width, plain)``.
 
     An item none of whose template windows has enough literals is plain: its windows hold the words themselves.
     """
-    width = min(WINDOW, len(h))
-    wh, good = windows(h, kind, width)
-    if good.any() or not width:
-        return wh, good, (width, False)
-    return *windows(own, kind, width, plain=True), (width, True)
+    width = min(WINDOW, len(own))
+    for plain in (False, True):
+        found = {(a, int(wh[a])) for wh, good in all_windows(own, kind, width, plain) for a in np.nonzero(good)[0].tolist()}
+        if found or not width:
+            break
+    return sorted(found), (width, plain)
 
 
 def is_leak(length: int, size: int, words: int) -> bool:
@@ -147,31 +201,52 @@ class Index:
     def __init__(self, items: list[tuple[object, str]]):
         lexer, self.items, places, widths = Lexer(), [], defaultdict(list), set()
         for item_id, text in items:
-            h, kind, ids = lexer.tokens(text)
-            wh, good, width = item_windows(h, kind, lexer.hash[ids])
-            for at in np.nonzero(good)[0].tolist():
-                places[int(wh[at])].append((len(self.items), at))
+            own, kind, ids = lexer.tokens(text)
+            found, width = item_windows(own, kind)
+            for at, h in found:
+                places[h].append((len(self.items), at))
                 widths.add(width)
             self.items.append(Item(item_id, kind.tolist(), [lexer.core[i] for i in ids]))
         self.places, self.widths = dict(places), sorted(widths)
         self.sorted = np.sort(np.fromiter(self.places, np.uint64, len(self.places)))
+        self.marks = np.zeros(1 << MARK_BITS, bool)  # spares most windows the search
+        self.marks[self.sorted >> np.uint64(64 - MARK_BITS)] = True
+
+    def hits(self, wh: np.ndarray, good: np.ndarray) -> list[int]:
+        """Places of the windows that the benchmark has."""
+        maybe = np.nonzero(good & self.marks[wh >> np.uint64(64 - MARK_BITS)])[0]
+        at = np.searchsorted(self.sorted, wh[maybe])
+        at[at == len(self.sorted)] = 0
+        return maybe[self.sorted[at] == wh[maybe]].tolist() if len(maybe) else []
 
 
-def matched_run(starts: list[int], item: Item, doc: list[tuple[int, str]], offset: int) -> tuple[int, int]:
+def agree(a: tuple[int, str], b: tuple[int, str] | None) -> bool:
+    """Whether two tokens ``(kind, core)`` can stand at the same place of a template."""
+    return b is not None and (a[1] == b[1] or (a[0] > 2 and b[0] > 2) or (a[0] in (1, 2) and a[0] == b[0]))
+
+
+def matched_run(starts: set[int], width: int, item: dict[int, tuple[int, str]], doc: dict[int, tuple[int, str]], offset: int) -> tuple[int, int]:
     """Longest run of aligned tokens ``(start, length)`` on one alignment whose slots are consistent.
 
-    ``starts`` are the item's matched window places; ``doc`` has kinds and values of the document's tokens. A run
-    ends where no window covers the next token. Where a slot's value contradicts an earlier one, the run goes on from
-    just after the last place of that earlier value.
+    ``starts`` are the item's matched window places; ``item`` and ``doc`` have kinds and values by place. A matched window
+    covers its tokens and, on either side, up to ``WINDOW`` more as far as they agree: windows of too few literals have no
+    hash. Where a slot's value contradicts an earlier one, the run goes on from just after the last place of that
+    earlier value.
     """
-    width = min(WINDOW, len(item.kinds))
-    covered = sorted({t for s in starts for t in range(s, s + width)})
+    covered = {t for s in starts for t in range(s, s + width)}
+    for s in starts:
+        for side in (range(s - 1, s - 1 - WINDOW, -1), range(s + width, s + width + WINDOW)):
+            for t in side:
+                if t not in item or not agree(item[t], doc.get(t + offset)):
+                    break
+                covered.add(t)
     best, begin, seen, last = (0, 0), None, {}, None
-    for t in covered:
-        value = (item.kinds[t], item.cores[t])
+    for t in sorted(covered):
+        kind, core = item[t]
+        value = (min(kind, 3), core)
         if begin is None or t != last + 1:
             begin, seen = t, {}
-        if value[0]:
+        if kind:
             other = doc[t + offset][1]
             was, at = seen.get(value, (other, t))
             if was != other:
@@ -182,24 +257,28 @@ def matched_run(starts: list[int], item: Item, doc: list[tuple[int, str]], offse
     return -best[1], best[0]
 
 
+def near(starts: set[int], width: int) -> set[int]:
+    """The places that :func:`matched_run` may look at."""
+    return {t for s in starts for t in range(s - WINDOW, s + width + WINDOW)}
+
+
 def leaks(text: str, index: Index, lexer: Lexer) -> list[tuple]:
     """``(item, item_words, matched, coverage, first_word, exact)`` of every benchmark item the text leaks."""
-    h, kind, ids = lexer.tokens(text)
-    lines: dict[tuple[int, int], list[int]] = defaultdict(list)
+    own, kind, ids = lexer.tokens(text)
+    lines: dict[tuple[int, int], set[int]] = defaultdict(set)
     for width, plain in index.widths:
-        wh, good = windows(lexer.hash[ids] if plain else h, kind, width, plain)
-        at = np.searchsorted(index.sorted, wh)
-        at[at == len(index.sorted)] = 0
-        for d in np.nonzero(good & (index.sorted[at] == wh))[0].tolist():
-            for item, b in index.places[int(wh[d])]:
-                lines[item, d - b].append(b)
+        for wh, good in all_windows(own, kind, width, plain):
+            for d in index.hits(wh, good) if len(wh) else []:
+                for item, b in index.places[int(wh[d])]:
+                    lines[item, d - b].add(b)
     found: dict[int, tuple] = {}
     for (i, offset), starts in lines.items():
         item = index.items[i]
-        size = len(item.cores)
-        reach = {t + offset for s in starts for t in range(s, s + min(WINDOW, size))}
-        doc = {t: (int(kind[t]), lexer.core[ids[t]]) for t in reach}
-        start, length = matched_run(starts, item, doc, offset)
+        size, width = len(item.cores), min(WINDOW, len(item.cores))
+        reach = near(starts, width)
+        here = {t: (item.kinds[t], item.cores[t]) for t in reach if 0 <= t < size}
+        doc = {t + offset: (int(kind[t + offset]), lexer.core[ids[t + offset]]) for t in here if 0 <= t + offset < len(ids)}
+        start, length = matched_run(starts, width, here, doc, offset)
         if is_leak(length, size, len(ids)):
             exact = all(doc[t + offset][1] == item.cores[t] for t in range(start, start + length))
             found[i] = max(found.get(i, (-1,)), (length, -(start + offset), exact))
@@ -240,7 +319,8 @@ FILTER_BITS = 27  # a filter of 16 MB at any benchmark size; it only spares wind
 
 
 def window_table(docs: DataFrame, name: str, words: np.ndarray | None = None, widths: list[tuple[int, bool]] | None = None) -> DataFrame:
-    """``(name_id, name_h, at, v, size, plain, kinds, cores)``: windows of every text, for benchmarks too large to broadcast.
+    """``(name_id, name_h, at, v, size, width, plain, lo, kinds, cores)``: windows of every text, for benchmarks too large to
+    broadcast; ``kinds`` and ``cores`` hold the window and up to ``WINDOW`` tokens on either side, from place ``lo`` on.
 
     Without ``widths``, texts are items (see :func:`item_windows`). With a filter's ``words``, only windows that may be the benchmark's; repeated rows repeat their windows.
     """
@@ -248,28 +328,30 @@ def window_table(docs: DataFrame, name: str, words: np.ndarray | None = None, wi
     arrow_batches(spark)
     shared = spark.sparkContext.broadcast(words)
 
-    @F.pandas_udf("array<struct<at:int,v:long,size:int,plain:boolean,kinds:array<int>,cores:array<string>>>")
+    @F.pandas_udf("array<struct<at:int,v:long,size:int,width:int,plain:boolean,lo:int,kinds:array<int>,cores:array<string>>>")
     def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         lexer, bits = Lexer(), shared.value
         for texts in batches:
             out = []
             for t in texts:
-                h, kind, ids = lexer.tokens(t)
-                cores, found = [lexer.core[i] for i in ids], []
-                own = lexer.hash[ids]
+                own, kind, ids = lexer.tokens(t)
+                cores, found = [lexer.core[i] for i in ids], set()
                 if widths is None:
-                    cuts = [item_windows(h, kind, own)]
+                    places, (width, plain) = item_windows(own, kind)
+                    found = {(a, h, width, plain) for a, h in places}
                 else:
-                    cuts = [(*windows(own if plain else h, kind, width, plain), (width, plain)) for width, plain in widths]
-                for wh, good, (width, plain) in cuts:
-                    if bits is not None and len(wh):
-                        for bit in filter_places(wh):
-                            good &= (bits[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1) == 1
-                    found += [
-                        {"at": a, "v": int(wh[a].view(np.int64)), "size": len(ids), "plain": plain, "kinds": kind[a : a + width].tolist(), "cores": cores[a : a + width]}
-                        for a in np.nonzero(good)[0].tolist()
-                    ]
-                out.append(found)
+                    for width, plain in widths:
+                        for wh, good in all_windows(own, kind, width, plain):
+                            if bits is not None and len(wh):
+                                for bit in filter_places(wh):
+                                    good &= (bits[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1) == 1
+                            found |= {(a, int(wh[a]), width, plain) for a in np.nonzero(good)[0].tolist()}
+                rows = []
+                for a, h, width, plain in sorted(found):
+                    lo, hi = max(0, a - WINDOW), min(len(ids), a + width + WINDOW)
+                    v = h - (1 << 64) if h >= 1 << 63 else h
+                    rows.append({"at": a, "v": v, "size": len(ids), "width": width, "plain": plain, "lo": lo, "kinds": kind[lo:hi].tolist(), "cores": cores[lo:hi]})
+                out.append(rows)
             yield pd.Series(out, dtype=object)
 
     rows = docs.select(F.col("id").alias(f"{name}_id"), F.xxhash64("text").alias(f"{name}_h"), F.coalesce("text", F.lit("")).alias("t"))
@@ -303,28 +385,27 @@ def leaks_by_join(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     items = benchmark.where(F.col("text").isNotNull()).groupBy("id", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), F.count("*").alias("n"))
     b = window_table(items, "item")
-    widths = sorted((r[0], r[1]) for r in b.select(F.size("kinds"), "plain").distinct().collect())  # WINDOW and shorter: a handful
-    a = window_table(docs, "doc", window_filter(b), widths).drop("plain")
-    a = a.withColumnsRenamed({"at": "d", "size": "words", "kinds": "dk", "cores": "dc"})
-    b = b.drop("plain").withColumnsRenamed({"at": "b", "kinds": "bk", "cores": "bc"})
-    pairs = a.join(b, "v").groupBy("doc_id", "doc_h", "item_id", "item_h", (F.col("d") - F.col("b")).alias("offset"), "size", "words")
-    lines = pairs.agg(F.collect_set(F.struct("b", "bk", "bc", "dk", "dc")).alias("w"))
+    widths = sorted((r[0], r[1]) for r in b.select("width", "plain").distinct().collect())  # WINDOW and shorter: a handful
+    a = window_table(docs, "doc", window_filter(b), widths).drop("plain", "width")
+    a = a.withColumnsRenamed({"at": "d", "size": "words", "lo": "dl", "kinds": "dk", "cores": "dc"})
+    b = b.drop("plain").withColumnsRenamed({"at": "b", "lo": "bl", "kinds": "bk", "cores": "bc"})
+    pairs = a.join(b, "v").groupBy("doc_id", "doc_h", "item_id", "item_h", (F.col("d") - F.col("b")).alias("offset"), "size", "width", "words")
+    lines = pairs.agg(F.collect_set(F.struct("b", "bl", "bk", "bc", "dl", "dk", "dc")).alias("w"))
 
     @F.pandas_udf("struct<matched:int,start:int,exact:boolean>")
-    def verify(w: pd.Series, offset: pd.Series, size: pd.Series, words: pd.Series) -> pd.DataFrame:
+    def verify(w: pd.Series, offset: pd.Series, size: pd.Series, width: pd.Series, words: pd.Series) -> pd.DataFrame:
         out = []
-        for rows, at, n, m in zip(w, offset, size, words):
-            cores, kinds, doc = {}, {}, {}
+        for rows, at, n, wide, m in zip(w, offset, size, width, words):
+            item, doc = {}, {}
             for r in rows:
-                for j in range(len(r["bk"])):
-                    t = r["b"] + j
-                    cores[t], kinds[t], doc[t + at] = r["bc"][j], r["bk"][j], (r["dk"][j], r["dc"][j])
-            start, length = matched_run([r["b"] for r in rows], Item(None, kinds, cores), doc, at)
-            exact = all(doc[t + at][1] == cores[t] for t in range(start, start + length))
+                item.update({r["bl"] + j: (k, c) for j, (k, c) in enumerate(zip(r["bk"], r["bc"]))})
+                doc.update({r["dl"] + j: (k, c) for j, (k, c) in enumerate(zip(r["dk"], r["dc"]))})
+            start, length = matched_run({r["b"] for r in rows}, wide, item, doc, at)
+            exact = all(doc[t + at][1] == item[t][1] for t in range(start, start + length))
             out.append((length, start, exact) if is_leak(length, n, m) else (0, 0, False))
         return pd.DataFrame(out, columns=["matched", "start", "exact"])
 
-    found = lines.withColumn("r", verify("w", "offset", "size", "words")).where("r.matched > 0")
+    found = lines.withColumn("r", verify("w", "offset", "size", "width", "words")).where("r.matched > 0")
     best = F.max(F.struct("r.matched", (-(F.col("r.start") + F.col("offset"))).alias("back"), "r.exact")).alias("r")
     found = found.groupBy("doc_id", "doc_h", "item_id", "item_h", "size").agg(best)
     times = docs.groupBy(F.col("id").alias("x"), F.xxhash64("text").alias("doc_h")).agg(F.count("*").alias("n"))

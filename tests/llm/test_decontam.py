@@ -40,12 +40,18 @@ def test_the_filter_keeps_every_benchmark_window(spark):
 
 
 def brute_run(starts, item, doc, offset):
-    covered = {t for s in starts for t in range(s, s + decontam.WINDOW)}
+    """All runs of all covered places; a place beside a window is covered if all between agree and it is near enough."""
+    width = decontam.WINDOW
+    same = lambda t: (t + offset) in doc and (item[t][1] == doc[t + offset][1] or (item[t][0] > 0 and {3: 3, 4: 3}.get(item[t][0], item[t][0]) == {3: 3, 4: 3}.get(doc[t + offset][0], doc[t + offset][0])))
+    covered = {
+        t for t in item for s in starts
+        if s <= t < s + width or (0 < s - t <= width and all(same(u) for u in range(t, s))) or (0 <= t - s - width < width and all(same(u) for u in range(s + width, t + 1)))
+    }
     best = (0, 0)
     for i in sorted(covered):
         seen = {}
         for t in range(i, max(covered) + 1):
-            value = (item.kinds[t], item.cores[t]) if t in covered else None
+            value = (min(item[t][0], 3), item[t][1]) if t in covered else None
             if value is None or value[0] and seen.setdefault(value, doc[t + offset][1]) != doc[t + offset][1]:
                 break
             best = max(best, (t - i + 1, -i))
@@ -63,12 +69,66 @@ def test_a_contradicted_slot_does_not_hide_the_longest_run():
 def test_runs_are_those_of_a_brute_force():
     rnd = random.Random(3)
     for _ in range(500):
-        n = rnd.randrange(decontam.WINDOW, 30)
-        kinds = [rnd.choice((0, 0, 1, 2, 3)) for _ in range(n)]
-        item = decontam.Item(1, kinds, [rnd.choice("ab") for _ in range(n)])
-        doc = {t + 5: (kinds[t], rnd.choice(("x", "x", "x", "y"))) for t in range(n)}
-        starts = [s for s in range(n - decontam.WINDOW + 1) if rnd.random() < 0.6] or [0]
-        assert decontam.matched_run(starts, item, doc, 5) == brute_run(starts, item, doc, 5)
+        n = rnd.randrange(decontam.WINDOW, 40)
+        item = {t: (rnd.choice((0, 0, 1, 2, 3, 4)), rnd.choice("ab")) for t in range(n)}
+        doc = {t + 5: (item[t][0] if rnd.random() < 0.8 else 0, rnd.choice("aab")) for t in range(n)}
+        starts = {s for s in range(n - decontam.WINDOW + 1) if rnd.random() < 0.2} or {0}
+        assert decontam.matched_run(starts, decontam.WINDOW, item, doc, 5) == brute_run(starts, item, doc, 5)
+
+
+NAMES, UNITS = ("Tom", "Sam", "Ada", "Ines", "Otto"), ("km", "miles", "kg", "minutes")
+FORMS = (
+    "{n0} has {v0} apples and buys {v1} more apples today.",
+    "{n0} walks {v0} {u0} to school and {n1} walks {v1} {u0} home. How far do {n0} and {n1} walk in all?",
+    "A train with {v0} coaches left the old town. {n0} counted {v1} seats in every coach of it. How many seats were there?",
+    "It took {n0} {v0} minutes to paint the long wall, and {n1} {v1} minutes. Who of them was faster and by how much?",
+)
+
+
+def filled(rnd, form, words):
+    """A form with values; numbers in digits, in words, or glued to a unit."""
+    def number(k):
+        n = rnd.randrange(21, 99)
+        tens, ones = divmod(n, 10)
+        text = ("twenty thirty forty fifty sixty seventy eighty ninety".split()[tens - 2] + " " + " one two three four five six seven eight nine".split(" ")[ones]).strip()
+        return text if words and tens < 6 and rnd.random() < 0.4 else str(n)
+
+    slots = {f"n{i}": n for i, n in enumerate(rnd.sample(NAMES, 2))} | {"v0": number(0), "v1": number(1), "u0": rnd.choice(UNITS)}
+    text = form.format(**slots)
+    if words and rnd.random() < 0.5:
+        for u in UNITS:
+            text = text.replace(f"9 {u}", f"9{u}").replace(f"5 {u}", f"5{u}").replace(f"2 {u}", f"2{u}")
+    return text
+
+
+def test_refilled_questions_are_found(spark, tmp_path, monkeypatch):
+    """The forms say which text refills which item, so no part of the operator decides what has to be found."""
+    rnd = random.Random(11)
+    bench = [(k, filled(rnd, f, False)) for k, f in enumerate(FORMS)]
+    clean = "the {0} river runs past the mill where nobody has asked for {1} apples or any train and the old wall is long".format
+    docs, want = [], set()
+    for k in range(200):
+        form = rnd.randrange(len(FORMS))
+        before = rnd.choice(["", "Question: ", "we read that ", "Some text before. "])
+        docs.append((k, before + filled(rnd, FORMS[form], True) + rnd.choice(["", " And more of it."])))
+        want.add((k, form))
+    docs += [(1000 + k, clean(rnd.choice(NAMES), rnd.randrange(9))) for k in range(50)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    small = rows(decontam.op6_decontam(spark, str(tmp_path)))
+    got = {(r[0], r[1]) for r in small}
+    assert len(got & want) >= 0.9 * len(want), sorted(want - got)[:5]
+    assert not got - want
+    monkeypatch.setattr(decontam, "BROADCAST_WINDOWS", 0)
+    assert rows(decontam.op6_decontam(spark, str(tmp_path))) == small
+
+
+def test_tokens_of_numbers_and_units():
+    lexer = decontam.Lexer()
+    own, kind, ids = lexer.tokens("Tom ran 60km over twenty five minutes, and three hundred more. Two boats")
+    assert [(int(k), lexer.core[i]) for k, i in zip(kind, ids)] == [
+        (4, "tom"), (0, "ran"), (1, "60"), (2, "km"), (0, "over"), (1, "twenty five"), (2, "minutes"), (0, "and"), (1, "three hundred"), (0, "more"), (1, "two"), (0, "boats"),
+    ]
 
 
 def test_an_item_below_the_window_matches_whole(spark, tmp_path, monkeypatch):
@@ -90,10 +150,10 @@ def test_an_item_below_the_window_matches_whole(spark, tmp_path, monkeypatch):
 
 def test_an_item_of_few_literals_matches_verbatim(spark, tmp_path, monkeypatch):
     """By a plain comparison of word lists: numbers are the values themselves, and a tiny item must be the whole text."""
-    sums, code, tiny = "12 plus 30 minus 7 times 9 15", "3 1 4 1 5 9 2 6 5 3 5 8 9 7 9", "forty two"
+    sums, code, tiny = "12 plus 30 minus 7 times 9 15", "3 1 4 1 5 9 2 6 5 3 5 8 9 7 9", "forty"
     docs = [
         (1, "we know that " + sums + " or so"), (2, "we know that 12 plus 31 minus 7 times 9 15"), (3, "digits " + code), (4, code[:-2] + " 8"), (5, code[:13]),
-        (6, "Forty two!"), (7, "she is forty two now"), (8, ""), (9, None), (10, "1 2 1 2 1 2 1 2 1 2"),
+        (6, "Forty!"), (7, "she is forty now"), (8, ""), (9, None), (10, "1 2 1 2 1 2 1 2 1 2"),
     ]
     bench = [(1, sums), (2, code), (3, tiny), (4, "1 2 1 2 1 2"), (5, ""), (6, "?!"), (7, None)]
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
