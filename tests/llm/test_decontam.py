@@ -172,6 +172,6 @@ def test_an_item_of_few_literals_matches_verbatim(spark, tmp_path, monkeypatch):
                 want.add((d, i, n, True))
     small = decontam.op6_decontam(spark, str(tmp_path)).collect()
     assert {(r["doc_id"], r["item_id"], r["matched"], r["exact"]) for r in small} == want
-    assert want == {(1, 1, 8, True), (3, 2, 15, True), (4, 2, 14, True), (6, 3, 2, True), (10, 4, 6, True)}
+    assert want == {(1, 1, 8, True), (3, 2, 15, True), (4, 2, 14, True), (6, 3, 1, True), (10, 4, 6, True)}
     monkeypatch.setattr(decontam, "BROADCAST_WINDOWS", 0)
     assert rows(decontam.op6_decontam(spark, str(tmp_path))) == Counter(map(tuple, small))
