@@ -201,8 +201,13 @@ def count_phrases(encoded: DataFrame, size: int, tables: dict[int, Numbering], w
         held: list[np.ndarray] = []
 
         def out():
-            codes, counts, rest, more = phrase_counts(np.concatenate(held), size, shared.value, words_complete)
+            ids = np.concatenate(held)
             held.clear()
+            for start in range(0, len(ids), BUFFER):  # a part has the starts of BUFFER phrases
+                yield from counted(ids[start : start + BUFFER + size - 1])
+
+        def counted(ids: np.ndarray):
+            codes, counts, rest, more = phrase_counts(ids, size, shared.value, words_complete)
             for at in range(0, len(codes), BATCH):
                 here = slice(at, at + BATCH)
                 blank = pa.nulls(len(codes[here]), pa.list_(pa.int64()))
