@@ -20,7 +20,9 @@ from pyspark.sql.types import StringType
 from muster.config import DEFAULT, INCIDENT_TYPES, OTHER, RESPONSES, Config
 from muster.functions import scalars as S
 from muster.operators.aggregates import harmonic_confidence
-from muster.runtime import arrow_batches, materialize
+from muster.operators.hooks import isolated
+from muster.operators.lexscan import entity_spans
+from muster.runtime import arrow_batches, broadcast_if_small, materialize
 
 WORD = r"[\p{L}\p{N}']+"
 MAX_TERM_WORDS = 4
@@ -84,7 +86,7 @@ def word_runs(text: Column, longest: int = MAX_TERM_WORDS) -> Column:
 def lexicon_hits(df: DataFrame, lexicon: DataFrame, key: str = "report_id", text: str = "text", longest: int = MAX_TERM_WORDS) -> DataFrame:
     """``(key, <lexicon columns>)``: every term that a report contains, once. ``lexicon.term`` is in lower case."""
     runs = df.select(key, F.explode(word_runs(F.col(text), longest)).alias("term"))
-    return runs.join(F.broadcast(lexicon), "term")
+    return runs.join(broadcast_if_small(lexicon, 200_000), "term")
 
 
 def keyword_scores(df: DataFrame, lexicon: DataFrame, key: str = "report_id", text: str = "text", longest: int = MAX_TERM_WORDS) -> DataFrame:
@@ -96,7 +98,7 @@ def keyword_scores(df: DataFrame, lexicon: DataFrame, key: str = "report_id", te
 
 def prototype_scores(df: DataFrame, protos: DataFrame, key: str = "report_id", dim: int = 64) -> DataFrame:
     """Largest cosine of each report with each class' prototypes ``(class, proto)``; prototypes are few and broadcast."""
-    pairs = df.select(key, "embedding").crossJoin(F.broadcast(protos))
+    pairs = df.select(key, "embedding").crossJoin(broadcast_if_small(protos))
     return pairs.select(key, "class", S.cosine(F.col("embedding"), F.col("proto"), dim).alias("cos")).groupBy(key, "class").agg(F.max("cos").alias("cos"))
 
 
@@ -112,31 +114,46 @@ PRECEDENCE = (
 )
 
 
+def classify_map(scores: Column, cfg: Config = DEFAULT) -> Column:
+    """``(incident_type, confidence, type_status, secondary_hazard)`` from a map of class scores; absent classes score 0.
+
+    Each step is bound once, as a lambda's argument, so that no expression repeats the one before.
+    """
+    bind = lambda x, f: F.transform(F.array(x), f)[0]
+    order = F.array(*map(F.lit, PRECEDENCE))
+
+    def ranked(m: Column) -> Column:
+        of = lambda k: F.coalesce(m[k], F.lit(0.0))
+        every = F.array(*[F.struct((-of(k)).alias("neg"), F.lit(i).alias("i"), F.lit(k).alias("class")) for i, k in enumerate(INCIDENT_TYPES)])
+        return F.slice(F.array_sort(every), 1, 2)
+
+    def chosen(r: Column) -> Column:
+        top, sec = r[0], r[1]
+        t, s = -top["neg"], -sec["neg"]
+        swap = (F.abs(t - s) < 0.03) & (t > 0.10) & (F.array_position(order, sec["class"]) < F.array_position(order, top["class"]))
+        conflict = (s >= 0.35) & (s >= 0.70 * t) & (top["class"] != OTHER) & (sec["class"] != OTHER)
+        return F.struct(
+            F.when(swap, sec["class"]).otherwise(top["class"]).alias("l"), F.when(swap, s).otherwise(t).alias("t"), F.when(swap, t).otherwise(s).alias("s"),
+            F.when(conflict, sec["class"]).alias("h"),
+        )
+
+    def judged(x: Column) -> Column:
+        weak = x["t"] < 0.35
+        conf = (
+            F.when(weak, F.greatest(F.lit(0.20), F.least(F.lit(0.48), x["t"]))).when(x["l"] == OTHER, F.least(F.lit(0.70), x["t"]))
+            .otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.10), x["t"] + 0.05 * (x["t"] - x["s"]))))
+        )
+        conf = F.round(conf, 2)
+        status = F.when(weak | (conf < cfg.review_confidence), "NEEDS_REVIEW").otherwise("SUCCESS")
+        return F.struct(F.when(weak, OTHER).otherwise(x["l"]).alias("incident_type"), conf.alias("confidence"), status.alias("type_status"), x["h"].alias("secondary_hazard"))
+
+    return bind(bind(bind(F.coalesce(scores, F.create_map().cast("map<string,double>")), ranked), chosen), judged)
+
+
 def classify(df: DataFrame, scores: DataFrame, key: str = "report_id", cfg: Config = DEFAULT) -> DataFrame:
     """Label, confidence, status and secondary hazard from ``scores(key, class, score)``; absent classes score 0."""
-    place = F.array_position(F.array(*map(F.lit, INCIDENT_TYPES)), F.col("class"))
     found = scores.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("class", "score"))).alias("m"))
-    row = df.select(key).join(found, key, "left")
-    score_of = lambda k: F.coalesce(F.col("m")[k], F.lit(0.0))
-    ranked = F.array(*[F.struct((-score_of(k)).alias("neg"), F.lit(i).alias("i"), F.lit(k).alias("class")) for i, k in enumerate(INCIDENT_TYPES)])
-    row = row.withColumn("r", F.slice(F.array_sort(ranked), 1, 2))
-    top, sec = F.col("r")[0], F.col("r")[1]
-    t, s = -top["neg"], -sec["neg"]
-    order = F.array(*map(F.lit, PRECEDENCE))
-    swap = (F.abs(t - s) < 0.03) & (t > 0.10) & (F.array_position(order, sec["class"]) < F.array_position(order, top["class"]))
-    conflict = (s >= 0.35) & (s >= 0.70 * t) & (top["class"] != OTHER) & (sec["class"] != OTHER)
-    row = row.select(
-        key, F.when(swap, sec["class"]).otherwise(top["class"]).alias("l"), F.when(swap, s).otherwise(t).alias("t"), F.when(swap, t).otherwise(s).alias("s"),
-        F.when(conflict, sec["class"]).alias("secondary_hazard"),
-    )
-    weak = F.col("t") < 0.35
-    conf = (
-        F.when(weak, F.greatest(F.lit(0.20), F.least(F.lit(0.48), F.col("t")))).when(F.col("l") == OTHER, F.least(F.lit(0.70), F.col("t")))
-        .otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.10), F.col("t") + 0.05 * (F.col("t") - F.col("s")))))
-    )
-    out = row.withColumn("confidence", F.round(conf, 2)).withColumn("incident_type", F.when(weak, OTHER).otherwise(F.col("l")))
-    status = F.when(weak | (F.col("confidence") < cfg.review_confidence), "NEEDS_REVIEW").otherwise("SUCCESS")
-    return out.select(key, "incident_type", "confidence", status.alias("type_status"), "secondary_hazard")
+    return df.select(key).join(found, key, "left").select(key, classify_map(F.col("m"), cfg).alias("c")).select(key, "c.*")
 
 
 def hybrid_scores(keyword: DataFrame, semantic: DataFrame, key: str = "report_id") -> DataFrame:
@@ -216,37 +233,15 @@ _COMPOUND = re.compile(r"\b((?:[A-Z][\w']+\s+){1,3}(?:Street|Road|Avenue|Bridge|
 _ROAD = re.compile(r"\b((?:NH|SH|US|I|A|M|E|B)-?\d{1,4})\b")
 
 
-def extract_entities(df: DataFrame, gazetteer: DataFrame, key: str = "report_id", text: str = "text") -> DataFrame:
-    """Compound names, road codes and vocabulary terms; longest first, none overlapping. The gazetteer's bound is checked."""
-    arrow_batches(df.sparkSession)
-    rows = gazetteer.limit(50_001).collect()
-    if len(rows) > 50_000:
-        raise ValueError("the span extractor takes at most 50,000 terms; use vocab_entities")
-    known = {r["term"].lower(): r["entity_type"] for r in rows}
-    shared = df.sparkSession.sparkContext.broadcast(known)
-
-    @F.pandas_udf("array<struct<text:string,type:string,start:int,end:int>>")
-    def spans(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        words = re.compile(r"[\w']+")
-        for texts in batches:
-            out = []
-            for t in texts:
-                t = t or ""
-                found = [(m.start(1), m.end(1), "LANDMARK") for m in _COMPOUND.finditer(t)] + [(m.start(1), m.end(1), "ROAD") for m in _ROAD.finditer(t)]
-                at = [m.span() for m in words.finditer(t)]
-                for n in range(1, MAX_TERM_WORDS + 1):
-                    for i in range(len(at) - n + 1):
-                        kind = shared.value.get(" ".join(t[a:b].lower() for a, b in at[i : i + n]))
-                        if kind:
-                            found.append((at[i][0], at[i + n - 1][1], kind))
-                kept = []
-                for a, b, kind in sorted(found, key=lambda x: (x[0] - x[1], x[0], x[2])):
-                    if all(b <= x or a >= y for x, y, _ in kept):
-                        kept.append((a, b, kind))
-                out.append([{"text": t[a:b], "type": k, "start": a, "end": b} for a, b, k in sorted(kept)])
-            yield pd.Series(out, dtype=object)
-
-    return df.select(key, spans(text).alias("entities"))
+def rule_spans(t: str) -> list[tuple[int, int, str]]:
+    """Compound names and road codes."""
+    return [(m.start(1), m.end(1), "LANDMARK") for m in _COMPOUND.finditer(t)] + [(m.start(1), m.end(1), "ROAD") for m in _ROAD.finditer(t)]
+
+
+def extract_entities(df: DataFrame, gazetteer: DataFrame, key: str = "report_id", text: str = "text", ner: Callable[[list[str]], list] | None = None) -> DataFrame:
+    """``(key, entities)``: compound names, road codes, terms of a gazetteer of any size, and what ``ner`` finds; longest first,
+    none overlapping."""
+    return entity_spans(df, gazetteer.select(F.lower("term").alias("term"), "entity_type"), rule_spans, ner, key, text).select(key, "entities")
 
 
 NAME = r"((?:[A-Z][\w']+)(?:\s+[A-Z][\w']+){0,3})"
@@ -260,15 +255,20 @@ PLACE_RULES = (
 )
 
 
-def extract_location(df: DataFrame, entities: DataFrame | None = None, key: str = "report_id", text: str = "text") -> DataFrame:
-    """The first rule's place with precision and confidence, else the first entity; never coordinates."""
+def place_of(text: Column) -> Column:
+    """The first rule's place with precision and confidence, else null; never coordinates."""
     hit = F.lit(None).cast("struct<text:string,precision:string,confidence:double>")
     for pattern, precision, sure in PLACE_RULES:
         whole = F.regexp_extract(text, pattern, 0)
         groups = [F.regexp_extract(text, pattern, g) for g in range(1, pattern.count(NAME) + 1)]
         place = F.struct(F.array_join(F.array(*groups), " and ").alias("text"), F.lit(precision).alias("precision"), F.lit(sure).alias("confidence"))
         hit = F.coalesce(hit, F.when(whole != "", place))
-    out = df.select(key, hit.alias("p"))
+    return hit
+
+
+def extract_location(df: DataFrame, entities: DataFrame | None = None, key: str = "report_id", text: str = "text") -> DataFrame:
+    """The first rule's place with precision and confidence, else the first entity; never coordinates."""
+    out = df.select(key, place_of(F.col(text)).alias("p"))
     if entities is not None:
         first = F.struct(F.col("entities")[0]["text"].alias("text"), F.lit("APPROXIMATE").alias("precision"), F.lit(0.6).cast("double").alias("confidence"))
         joined = out.join(entities, key, "left")
@@ -388,17 +388,13 @@ def hashed_vectors(texts: list[str | None], dim: int = 64) -> list[list[float] |
 
 
 def embed(df: DataFrame, model: Callable[[list[str | None]], list] = hashed_vectors, key: str = "report_id", text: str = "text") -> DataFrame:
-    """One vector a text by a pluggable batch model; a batch that fails gives nulls, not a failed job."""
+    """One vector a text by a pluggable batch model; a text that it fails on has none, the others of its batch have theirs."""
     arrow_batches(df.sparkSession)
 
     @F.pandas_udf("array<float>")
     def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            try:
-                out = model(list(texts))
-            except Exception:  # noqa: BLE001  a model's failure is data here
-                out = [None] * len(texts)
-            yield pd.Series(out, dtype=object)
+            yield pd.Series([v for v, _ in isolated(model, list(texts))], dtype=object)
 
     return df.select(key, vectors(text).alias("embedding"))
 

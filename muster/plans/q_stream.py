@@ -57,6 +57,13 @@ def drained(spark, df, mode: str = "append"):
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stream_of(spark, df):
+    """``df`` as files in the shared folder, read back as a stream of a file a trigger."""
+    path = f"{shared_dir(spark)}/muster-in-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 @query("stream_source", "SELECT report_id, reported_at FROM report")
 def _(spark, d):
     return drained(spark, streamed(spark, d).select("report_id", "reported_at"))

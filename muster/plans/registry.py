@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None) -> Callable:
 
 
 def load() -> None:
-    from muster.plans import q_metrics, q_quality, q_scores, q_stream, q_tables, q_text  # noqa: F401
+    from muster.plans import q_metrics, q_quality, q_scan, q_scores, q_stream, q_tables, q_text  # noqa: F401
 
 
 load()
