@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+# Enumerations, and below the weights, thresholds, points and levels of the rules.
 INCIDENT_TYPES = (
     "FLOOD_FLASH_FLOOD", "FIRE_WILDFIRE_EXPLOSION", "STRUCTURAL_COLLAPSE", "EARTHQUAKE_LANDSLIDE",
     "SEVERE_WEATHER_STORM", "MEDICAL_EMERGENCY", "CIVIL_UNREST_ACTIVE_THREAT",

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from muster.config import URGENCIES
 from muster.functions import scalars as S
 from muster.operators.aggregates import rank_in
 from muster.operators.queue import avg_rank
+from muster.runtime import running_sums
 
 LEVEL = {u: i + 1 for i, u in enumerate(URGENCIES)}
 
@@ -103,6 +104,28 @@ def multilabel(df: DataFrame, true: str, pred: str) -> DataFrame:
     )
 
 
+def multilabel_macro(df: DataFrame, true: str, pred: str) -> DataFrame:
+    """Means over the labels that occur of each label's precision, recall and F1; an empty denominator counts as 0."""
+    sides = F.array_union(F.array_distinct(true), F.array_distinct(pred))
+    rows = df.select(true, pred, F.explode(sides).alias("label"))
+    t, p = F.array_contains(true, F.col("label")), F.array_contains(pred, F.col("label"))
+    per = rows.groupBy("label").agg(F.count_if(t & p).alias("tp"), F.count_if(~t & p).alias("fp"), F.count_if(t & ~p).alias("fn"))
+    per = per.select(
+        (F.col("tp") / F.nullif(F.col("tp") + F.col("fp"), F.lit(0))).alias("p"), (F.col("tp") / F.nullif(F.col("tp") + F.col("fn"), F.lit(0))).alias("r"),
+        (2 * F.col("tp") / (2 * F.col("tp") + F.col("fp") + F.col("fn"))).alias("f"),
+    )
+    mean = lambda c: F.round(F.avg(F.coalesce(c, F.lit(0.0))), 4)
+    return per.agg(mean("p").alias("macro_precision"), mean("r").alias("macro_recall"), mean("f").alias("macro_f1"), F.count("*").alias("labels"))
+
+
+def missed_critical(df: DataFrame, group: str, key: str) -> DataFrame:
+    """``(grain, id)`` of every critical report, and every incident with one, that no critical prediction found."""
+    t, p = F.col("true_urgency") == "CRITICAL", F.coalesce(F.col("pred_urgency") == "CRITICAL", F.lit(False))
+    reports = df.where(t & ~p).select(F.lit("report").alias("grain"), F.col(key).cast("string").alias("id"))
+    groups = df.where(t).groupBy(group).agg(F.max(p).alias("hit")).where(~F.col("hit"))
+    return reports.unionByName(groups.select(F.lit("incident").alias("grain"), F.col(group).cast("string").alias("id")))
+
+
 def location_metrics(df: DataFrame) -> DataFrame:
     """Presence, text match, coordinate hallucination and mean distance of predicted against expected places."""
     t, p = F.col("true_text"), F.col("pred_text")
@@ -134,10 +157,9 @@ def coverage(df: DataFrame, key: str, reasons: str, keep: int = 20) -> DataFrame
 
 
 def score_steps(df: DataFrame, true: str, score: str) -> DataFrame:
-    """Positives and negatives at each distinct score, and how many lie at it or above; the window sees distinct scores."""
+    """Positives and negatives at each distinct score, and how many lie at it or above, summed up along ranges of scores."""
     per = df.groupBy(score).agg(F.count_if(F.col(true) == 1).alias("pos"), F.count_if(F.col(true) == 0).alias("neg"))
-    down = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    return per.withColumn("tp", F.sum("pos").over(down)).withColumn("fp", F.sum("neg").over(down))
+    return running_sums(per, [F.desc(score)], ["pos", "neg"]).withColumnsRenamed({"upto_pos": "tp", "upto_neg": "fp"})
 
 
 def roc_auc(df: DataFrame, true: str, score: str) -> DataFrame:

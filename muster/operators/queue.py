@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from muster.config import DEFAULT, Config
 from muster.functions import scalars as S
+from muster.runtime import running_sums
 
 
 def latest_per(df: DataFrame, key: str, ts: str, tie: str) -> DataFrame:
@@ -60,10 +61,9 @@ def priority_delta(ledger: DataFrame) -> DataFrame:
 
 
 def avg_rank(df: DataFrame, col: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """Average ranks with ties, NaN last: ranks come from counts per value, so the window sees distinct values only."""
+    """Average ranks with ties, NaN last: from counts per value, summed up along ranges of values."""
     counts = df.groupBy(*by, col).agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(*by).orderBy(F.col(col).asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    ranks = counts.withColumn("_upto", F.sum("_n").over(w)).withColumn("avg_rank", F.col("_upto") - (F.col("_n") - 1) / 2.0)
+    ranks = running_sums(counts, [F.col(col).asc_nulls_last()], ["_n"], by).withColumn("avg_rank", F.col("upto__n") - (F.col("_n") - 1) / 2.0)
     renamed = ranks.select(*[F.col(c).alias(f"_k_{c}") for c in (*by, col)], "avg_rank")
     same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in (*by, col)]
     return df.join(renamed, same).drop(*[f"_k_{c}" for c in (*by, col)])

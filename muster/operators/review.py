@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from muster.config import DEFAULT, INCIDENT_TYPES, STATUSES, TRANSITIONS, URGENCIES, Config
+from muster.config import DEFAULT, INCIDENT_TYPES, PRECISIONS, RESPONSES, STATUSES, TRANSITIONS, URGENCIES, Config
 from muster.functions import scalars as S
+from muster.operators.aggregates import canonical_responses
 from muster.operators.queue import scored
 
 
@@ -38,23 +39,19 @@ def explain_priority(incidents: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """Score, level, factors as an array of structs, and the sentence that names them."""
     s = scored(incidents, cfg)
     n = F.col("independent_source_count")
-    people = F.when(F.col("people_at_risk_count") > 0, F.concat("people_at_risk_count", F.when(F.col("people_at_risk_count") == 1, " trapped person").otherwise(" trapped persons"))).otherwise("No indication of people at risk")
+    count = F.col("people_at_risk_count")
     rows = (
-        ("Operational Urgency", F.coalesce("urgency", F.lit("UNKNOWN")), cfg.w_urgency, S.urgency_points(F.col("urgency"), cfg)),
-        ("People at Risk", people, cfg.w_people, S.people_points(F.col("people_at_risk_count"))),
-        ("Corroboration", F.concat(n, F.when(n == 1, " independent report").otherwise(" independent reports")), cfg.w_corroboration, S.corroboration_points(n, cfg)),
-        ("Hazard Severity", F.coalesce("incident_type", F.lit("UNKNOWN")), cfg.w_hazard, S.hazard_points(F.col("incident_type"), cfg)),
+        ("urgency", F.coalesce("urgency", F.lit("not known")), cfg.w_urgency, S.urgency_points(F.col("urgency"), cfg)),
+        ("people", F.when(count > 0, count.cast("string")).otherwise("none named"), cfg.w_people, S.people_points(count)),
+        ("sources", n.cast("string"), cfg.w_corroboration, S.corroboration_points(n, cfg)),
+        ("hazard", F.coalesce("incident_type", F.lit("not known")), cfg.w_hazard, S.hazard_points(F.col("incident_type"), cfg)),
     )
     factors = F.array(*[
         F.struct(F.lit(name).alias("factor"), value.alias("value"), F.lit(w).alias("weight"), F.round(p * w, 2).alias("contribution")) for name, value, w, p in rows
     ])
-    said = F.array_join(F.transform(F.col("factors"), lambda f: F.concat(f["factor"], F.lit(": "), f["value"], F.lit(" (+"), F.format_number(f["contribution"], 2), F.lit(")"))), ", ")
-    head = (
-        F.when(F.col("priority_level") == "CRITICAL", "Elevated to CRITICAL priority").when(F.col("priority_level") == "HIGH", "Classified as HIGH priority")
-        .when(F.col("priority_level") == "MEDIUM", "Classified as MEDIUM priority").otherwise("Assigned LOW priority")
-    )
-    text = F.when(F.col("status") == "RESOLVED", "Incident marked RESOLVED: priority forced to 0.00 (LOW) and cleared from active dispatch.").otherwise(
-        F.concat(head, F.lit(" ("), F.format_number("priority_score", 2), F.lit(") driven by "), said, F.lit("."))
+    said = F.array_join(F.transform(F.col("factors"), lambda f: F.format_string("%s %s adds %.2f", f["factor"], f["value"], f["contribution"])), "; ")
+    text = F.when(F.col("status") == "RESOLVED", "closed, so it ranks last with 0").otherwise(
+        F.concat(F.col("priority_level"), F.lit(" at "), F.format_string("%.2f", "priority_score"), F.lit(": "), said)
     )
     return s.withColumn("factors", factors).withColumn("explanation", text).select("incident_id", "priority_score", "priority_level", "factors", "explanation")
 
@@ -106,38 +103,81 @@ def apply_reviews(state: DataFrame, actions: DataFrame) -> DataFrame:
     return walked.select("incident_id", F.explode("d").alias("r")).select("incident_id", "r.*")
 
 
-OVERRIDABLE = ("incident_type", "urgency", "people_at_risk_count", "location_text", "required_response", "priority_score")
+# The fields that an operator may override.
+OVERRIDABLE = ("incident_type", "urgency", "people_at_risk_count", "location", "required_response", "priority_score")
+CLEARABLE = ("incident_type", "people_at_risk_count")  # null is a value for them
+LOCATION = "text string, latitude double, longitude double, precision string"
 
 
-def override_verdict(field: Column, value: Column, reason: Column) -> Column:
-    number = F.expr("try_cast(new_value as double)")
-    bad = (
-        ((field == "urgency") & ~value.isin(*URGENCIES)) | ((field == "incident_type") & ~value.isin(*INCIDENT_TYPES))
-        | ((field == "people_at_risk_count") & ~F.coalesce(F.expr("try_cast(new_value as int)") >= 0, F.lit(False)))
-        | ((field == "priority_score") & ~F.coalesce(number.between(0, 100), F.lit(False)))
-    )
+def override_value(field: Column, value: Column) -> Column:
+    """The value as it is applied, as text or JSON; null if it is not valid, or is null itself."""
+    upper, place, listed = F.upper(F.trim(value)), F.from_json(value, LOCATION), F.from_json(value, "array<string>")
+    precision = F.upper(F.coalesce(place["precision"], F.lit("UNKNOWN")))
+    known = precision.isin(*PRECISIONS) & F.coalesce(place["latitude"].between(-90, 90), F.lit(True)) & F.coalesce(place["longitude"].between(-180, 180), F.lit(True))
+    object_ = F.startswith(F.trim(value), F.lit("{")) & F.try_parse_json(value).isNotNull()
+    where = F.to_json(F.struct(place["text"].alias("text"), place["latitude"].alias("latitude"), place["longitude"].alias("longitude"), precision.alias("precision")))
+    names = F.transform(listed, lambda r: F.upper(F.trim(r)))
+    whole = F.startswith(F.trim(value), F.lit("[")) & F.forall(names, lambda r: F.coalesce(r.isin(*RESPONSES), F.lit(False)))
+    count, score = F.expr("try_cast(new_value as int)"), F.expr("try_cast(new_value as double)")
     return (
-        F.when(F.length(F.trim(F.coalesce(reason, F.lit("")))) < 5, "REASON_TOO_SHORT")
-        .when(~field.isin(*OVERRIDABLE), "FIELD_NOT_ALLOWED").when(bad, "VALUE_NOT_VALID")
+        F.when((field == "urgency") & upper.isin(*URGENCIES), upper).when((field == "incident_type") & upper.isin(*INCIDENT_TYPES), upper)
+        .when((field == "people_at_risk_count") & (count >= 0), count.cast("string")).when((field == "location") & object_ & known, where)
+        .when((field == "required_response") & whole, F.to_json(canonical_responses(F.array_distinct(names))))
+        .when((field == "priority_score") & score.between(0, 100), F.round(score, 2).cast("string"))
+    )
+
+
+def override_ledger(state: DataFrame, actions: DataFrame) -> DataFrame:
+    """Every override ``actions(incident_id, field, new_value, reason, at, override_id)`` with what it did, in order of (at,
+    override_id): ``previous_value`` as the accepted ones before left it, ``applied_value``, and ``rejected`` (null: accepted).
+
+    A field's overrides depend on each other only, so they are a window by incident and field. Overrides of unknown
+    incidents are rejected. A state without some field's columns has null there.
+    """
+    has = lambda c, kind: F.col(c).cast(kind) if c in state.columns else F.lit(None).cast(kind)
+    place = F.to_json(F.struct(has("location_text", "string").alias("text"), has("latitude", "double").alias("latitude"), has("longitude", "double").alias("longitude"), has("location_precision", "string").alias("precision")))
+    now = F.create_map(
+        F.lit("incident_type"), has("incident_type", "string"), F.lit("urgency"), has("urgency", "string"), F.lit("people_at_risk_count"), has("people_at_risk_count", "int").cast("string"),
+        F.lit("location"), place, F.lit("required_response"), F.to_json(has("required_response", "array<string>")), F.lit("priority_score"), has("priority_score", "double").cast("string"),
+    )
+    j = actions.join(state.select("incident_id", now.alias("now")), "incident_id", "left")
+    value = override_value(F.col("field"), F.col("new_value"))
+    cleared = F.col("field").isin(*CLEARABLE) & F.col("new_value").isNull()
+    rejected = (
+        F.when(F.col("now").isNull(), "UNKNOWN_INCIDENT").when(F.length(F.trim(F.coalesce("reason", F.lit("")))) < 5, "REASON_TOO_SHORT")
+        .when(~F.coalesce(F.col("field").isin(*OVERRIDABLE), F.lit(False)), "FIELD_NOT_ALLOWED").when(value.isNull() & ~cleared, "VALUE_NOT_VALID")
     )
+    j = j.withColumn("rejected", rejected).withColumn("applied_value", F.when(F.col("rejected").isNull(), value))
+    before = Window.partitionBy("incident_id", "field").orderBy("at", "override_id").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.when(F.col("rejected").isNull(), F.struct("applied_value")), ignorenulls=True).over(before)
+    previous = F.when(last.isNotNull(), last["applied_value"]).otherwise(F.try_element_at("now", "field"))
+    return j.select("incident_id", "override_id", "field", previous.alias("previous_value"), "applied_value", "rejected", "reason", "at")
 
 
 def apply_overrides(state: DataFrame, actions: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """Field overrides ``actions(incident_id, field, new_value, reason, at, override_id)``: the last valid value of each
-    field wins, the score is recomputed without a confidence, and a manual score stands as given."""
-    good = actions.withColumn("rejected", override_verdict(F.col("field"), F.col("new_value"), F.col("reason"))).where("rejected is null")
+    """The state after all accepted overrides: the last one of each field wins, the score is recomputed without a confidence, and a
+    manual score stands as given. Location and responses change the columns that the state has for them."""
+    good = override_ledger(state, actions).where("rejected is null")
     last = good.groupBy("incident_id").agg(*[
-        F.max_by("new_value", F.when(F.col("field") == f, F.struct("at", "override_id"))).alias(f"o_{f}") for f in OVERRIDABLE
+        F.max_by(F.struct("applied_value"), F.when(F.col("field") == f, F.struct("at", "override_id"))).alias(f"o_{f}") for f in OVERRIDABLE
     ])
     j = state.join(last, "incident_id", "left")
-    j = j.withColumns({
-        "urgency": F.coalesce("o_urgency", "urgency"), "incident_type": F.coalesce("o_incident_type", "incident_type"),
-        "people_at_risk_count": F.coalesce(F.expr("try_cast(o_people_at_risk_count as int)"), F.col("people_at_risk_count")),
-        "confidence": F.lit(None).cast("double"),
-    })
-    manual = F.expr("try_cast(o_priority_score as double)")
-    out = scored(j, cfg).withColumn("priority_score", F.coalesce(F.round(manual, 2), "priority_score"))
-    touched = F.coalesce(*[F.col(f"o_{f}") for f in OVERRIDABLE]).isNotNull()
+    new = {f: F.col(f"o_{f}.applied_value") for f in OVERRIDABLE}
+    pick = lambda f, column, value: F.when(F.col(f"o_{f}").isNotNull(), value).otherwise(F.col(column))
+    place = F.from_json(new["location"], LOCATION)
+    changed = {
+        "urgency": pick("urgency", "urgency", new["urgency"]), "incident_type": pick("incident_type", "incident_type", new["incident_type"]),
+        "people_at_risk_count": pick("people_at_risk_count", "people_at_risk_count", new["people_at_risk_count"].cast("int")), "confidence": F.lit(None).cast("double"),
+    }
+    for column, part in (("location_text", "text"), ("latitude", "latitude"), ("longitude", "longitude"), ("location_precision", "precision")):
+        if column in state.columns:
+            changed[column] = pick("location", column, place[part])
+    if "required_response" in state.columns:
+        changed["required_response"] = pick("required_response", "required_response", F.from_json(new["required_response"], "array<string>"))
+    touched = F.coalesce(*[F.col(f"o_{f}").isNotNull() for f in OVERRIDABLE])
+    for f in OVERRIDABLE[1:]:
+        touched = touched | F.col(f"o_{f}").isNotNull()
+    out = scored(j.withColumns(changed), cfg).withColumn("priority_score", F.coalesce(F.round(new["priority_score"].cast("double"), 2), "priority_score"))
     return out.withColumn("priority_level", S.priority_level(F.col("priority_score"), cfg)).withColumn("overridden", touched).select(
         *[c for c in out.columns if c not in {*(f"o_{f}" for f in OVERRIDABLE), "overridden", "priority_level"}], "priority_level", "overridden"
     )

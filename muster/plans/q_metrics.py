@@ -65,6 +65,21 @@ def _(spark, d):
     return M.multilabel(v, "t", "p")
 
 
+@query("multilabel_macro", f"""WITH e AS (SELECT l, list_contains(t, l) AS a, list_contains(p, l) AS b FROM (SELECT t, p, unnest(['A', 'B', 'C']) AS l FROM {MULTI})),
+g AS (SELECT l, {CI('a AND b')} AS tp, {CI('NOT a AND b')} AS fp, {CI('a AND NOT b')} AS fn FROM e GROUP BY 1 HAVING count(*) FILTER (WHERE a OR b) > 0)
+SELECT round(avg(coalesce(tp / nullif(tp + fp, 0), 0)), 4) AS macro_precision, round(avg(coalesce(tp / nullif(tp + fn, 0), 0)), 4) AS macro_recall, round(avg(2 * tp / (2 * tp + fp + fn)), 4) AS macro_f1, count(*) AS labels FROM g""")
+def _(spark, d):
+    some = lambda *p: F.array_compact(F.array(*[F.when(c("doc_id") % m == 0, k) for m, k in p]))
+    v = view(spark, d, "label").select(some((2, "A"), (3, "B")).alias("t"), some((4, "A"), (3, "B"), (7, "C")).alias("p"))
+    return M.multilabel_macro(v, "t", "p")
+
+
+@query("critical_missed", """SELECT 'report' AS grain, doc_id::VARCHAR AS id FROM label WHERE true_urgency = 'CRITICAL' AND pred_urgency IS DISTINCT FROM 'CRITICAL'
+UNION ALL SELECT 'incident', true_group::VARCHAR FROM label WHERE true_urgency = 'CRITICAL' GROUP BY true_group HAVING NOT bool_or(coalesce(pred_urgency = 'CRITICAL', false))""")
+def _(spark, d):
+    return M.missed_critical(view(spark, d, "label"), "true_group", "doc_id")
+
+
 @query("location_metrics", f"""WITH z AS (SELECT location_text AS t, CASE WHEN event_id % 7 <> 0 THEN location_text END AS p, latitude AS tl, CASE WHEN event_id % 4 = 0 THEN 20.25::DOUBLE WHEN event_id % 5 = 0 THEN NULL ELSE latitude END AS pl FROM report)
 SELECT {R(CI('t IS NOT NULL AND p IS NOT NULL'), CI('t IS NOT NULL'))} AS presence, {R(CI('t = p'), CI('t IS NOT NULL'))} AS text_match, {R(CI('pl IS NOT NULL AND tl IS NULL'), 'count(*)')} AS hallucination,
  {R(CI('tl IS NOT NULL AND pl IS NOT NULL'), CI('tl IS NOT NULL'))} AS recall, round(avg(6371.0 * radians(abs(tl - pl))), 4) AS mean_km FROM z""")

@@ -41,8 +41,8 @@ pairs AS (SELECT *, CASE WHEN semantic >= 0.7 AND (kind = 'CONFLICTING_TEXT' OR
  WHEN verbatim OR same THEN 'DUPLICATE' WHEN score >= 0.85 AND src IS NULL THEN 'DUPLICATE' ELSE 'CORROBORATING' END AS relation FROM p3)"""
 
 
-def matched(spark, d, semantic):
-    return C.correlate(C.candidate_pairs(view(spark, d, "report"), semantic), semantic)
+def matched(spark, d, semantic, matching=False):
+    return C.correlate(C.candidate_pairs(view(spark, d, "report"), semantic, matching=matching), semantic)
 
 
 @query("pair_join", f"WITH {pair_sql(False)} SELECT a_report_id, b_report_id, kind FROM pairs WHERE relation <> 'INITIAL'")
@@ -52,7 +52,7 @@ def _(spark, d):
 
 @query("correlate", f"WITH {pair_sql(True)} SELECT a_report_id, b_report_id, semantic, temporal, spatial, score, kind, relation FROM pairs WHERE relation <> 'INITIAL'")
 def _(spark, d):
-    return matched(spark, d, True).where("matched").select("a_report_id", "b_report_id", "semantic", "temporal", "spatial", "score", "kind", "relation")
+    return matched(spark, d, True, matching=True).where("matched").select("a_report_id", "b_report_id", "semantic", "temporal", "spatial", "score", "kind", "relation")
 
 
 @query("relationship", f"WITH {pair_sql(True)} SELECT relation, kind, count(*) AS n FROM pairs GROUP BY ALL")
@@ -75,7 +75,7 @@ def _(spark, d):
 reach AS (SELECT x, y FROM e UNION SELECT reach.x, e.y FROM reach JOIN e ON reach.y = e.x)
 SELECT r.report_id, coalesce(least(r.report_id, m.lo), r.report_id) AS component FROM report r LEFT JOIN (SELECT x, min(y) AS lo FROM reach GROUP BY x) m ON m.x = r.report_id""")
 def _(spark, d):
-    return U.fuse_components(matched(spark, d, True), view(spark, d, "report"))
+    return U.fuse_components(matched(spark, d, True, matching=True), view(spark, d, "report"))
 
 
 # One incident a caller, day and kind: its last report gives time and place.
@@ -161,8 +161,8 @@ def _(spark, d):
     return view(spark, d, "link").select("link_id", F.when(k == "INITIAL", 1).otherwise(2).alias("report_count"), F.when(k == "CORROBORATING", 2).otherwise(1).alias("sources"))
 
 
-@query("corroboration_text", """SELECT incident_id, CASE WHEN n = 1 THEN 'Single eyewitness source (' || k || ' total ' || CASE WHEN k = 1 THEN 'report' ELSE 'reports' END || ').'
- ELSE 'Corroborated by ' || n || ' distinct field reports (score=' || printf('%.2f', round(1 - exp(-0.45 * n), 2)) || ').' END AS sentence FROM (SELECT incident_id, count(*) AS k, 1 + count(*) FILTER (WHERE relationship_type = 'CORROBORATING') AS n FROM link GROUP BY 1)""")
+@query("corroboration_text", """SELECT incident_id, CASE WHEN n = 1 THEN 'one source, ' || k || ' report(s)' ELSE n || ' sources agree, weight ' || printf('%.2f', round(1 - exp(-0.45 * n), 2)) END AS sentence
+ FROM (SELECT incident_id, count(*) AS k, 1 + count(*) FILTER (WHERE relationship_type = 'CORROBORATING') AS n FROM link GROUP BY 1)""")
 def _(spark, d):
     from muster.operators.aggregates import rollup
 

@@ -182,3 +182,47 @@ def _(spark, d):
 @query("apply_overrides")
 def _(spark, d):
     return W.apply_overrides(view(spark, d, "incident"), overrides(spark, d))
+
+
+# By order key: field, first value and how it is applied, second value and why it is rejected (None: it is applied, as a null).
+TWICE = (
+    ("incident_type", "flood_flash_flood ", "FLOOD_FLASH_FLOOD", None, None), ("urgency", "critical", "CRITICAL", "urgent", "VALUE_NOT_VALID"), ("people_at_risk_count", "7", "7", "-1", "VALUE_NOT_VALID"),
+    ("location", '{"text":"mill","latitude":1.5,"longitude":2.5,"precision":"exact"}', '{"text":"mill","latitude":1.5,"longitude":2.5,"precision":"EXACT"}', '{"latitude":99.0}', "VALUE_NOT_VALID"),
+    ("required_response", '["police_security","medical_ems"]', '["MEDICAL_EMS","POLICE_SECURITY"]', '["ANIMALS"]', "VALUE_NOT_VALID"), ("priority_score", "61.234", "61.23", "12", "REASON_TOO_SHORT"),
+)
+
+
+def twice(spark, d):
+    k = c("o_orderkey")
+    of = lambda i: F.get(F.array(*[F.lit(x[i]) for x in TWICE]), (k % 6).cast("int"))
+    v = view(spark, d, "incident")
+    first = v.select("incident_id", of(0).alias("field"), of(1).alias("new_value"), F.lit("seen on site").alias("reason"), c("created_at").alias("at"), F.concat(F.lit("a-"), k).alias("override_id"))
+    reason = F.when(k % 6 == 5, "no").otherwise("seen again")
+    return first.unionByName(v.select("incident_id", of(0).alias("field"), of(3).alias("new_value"), reason.alias("reason"), c("created_at").alias("at"), F.concat(F.lit("b-"), k).alias("override_id")))
+
+
+def _sql(v) -> str:
+    return "NULL" if v is None else "'" + v + "'"
+
+
+@query("override_ledger", f"""WITH t(i, field, v1, a1, v2, why) AS (VALUES {', '.join(f"({i}, {', '.join(map(_sql, x))})" for i, x in enumerate(TWICE))}),
+j AS (SELECT n.*, t.* FROM incident n JOIN t ON t.i = n.o_orderkey % 6)
+SELECT incident_id, 'a-' || o_orderkey AS override_id, field, CASE field WHEN 'incident_type' THEN incident_type WHEN 'urgency' THEN urgency WHEN 'people_at_risk_count' THEN people_at_risk_count::VARCHAR END AS previous_value,
+ CASE WHEN field = 'location' THEN latitude END AS previous_latitude, a1 AS applied_value, NULL AS rejected FROM j
+UNION ALL SELECT incident_id, 'b-' || o_orderkey, field, CASE WHEN field <> 'location' THEN a1 END, CASE WHEN field = 'location' THEN 1.5 END, NULL, why FROM j""")
+def _(spark, d):
+    out = W.override_ledger(view(spark, d, "incident"), twice(spark, d))
+    here = c("field") == "location"
+    return out.select(
+        "incident_id", "override_id", "field", F.when(~here, c("previous_value")).alias("previous_value"),
+        F.when(here, F.get_json_object("previous_value", "$.latitude").cast("double")).alias("previous_latitude"), "applied_value", "rejected",
+    )
+
+
+@query("overridden_fields", """SELECT incident_id, CASE WHEN o_orderkey % 6 <> 0 THEN incident_type END AS incident_type, CASE WHEN o_orderkey % 6 = 1 THEN 'CRITICAL' ELSE urgency END AS urgency,
+ CASE WHEN o_orderkey % 6 = 2 THEN 7 ELSE people_at_risk_count END AS people_at_risk_count, CASE WHEN o_orderkey % 6 = 3 THEN 'mill' ELSE 'here' END AS location_text, CASE WHEN o_orderkey % 6 = 3 THEN 1.5 ELSE latitude END AS latitude,
+ CASE WHEN o_orderkey % 6 = 4 THEN 'MEDICAL_EMS,POLICE_SECURITY' ELSE 'FIRE_HAZMAT' END AS responses FROM incident""")
+def _(spark, d):
+    state = view(spark, d, "incident").withColumns({"location_text": F.lit("here"), "required_response": F.array(F.lit("FIRE_HAZMAT"))})
+    out = W.apply_overrides(state, twice(spark, d))
+    return out.select("incident_id", "incident_type", "urgency", "people_at_risk_count", "location_text", "latitude", F.array_join("required_response", ",").alias("responses"))

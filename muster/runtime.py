@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
@@ -89,3 +89,32 @@ def ranked(df: DataFrame, order: list[Column], name: str, tag: str = "ranked") -
     joined = done.withColumn("__part", part.cast("long")).join(F.broadcast(offsets), "__part")
     place = F.col(f"{name}_start") + F.col(at).bitwiseAND(F.lit((1 << 33) - 1))
     return joined.withColumn(name, place).drop(at, "__part", f"{name}_start")
+
+
+def running_sums(df: DataFrame, order: list[Column], values: list[str], by: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with ``upto_<value>``: sums over the rows up to and with its own in ``order``, within ``by``.
+
+    Rows are dealt to ranges of the order; a window sees one range, and a range's sum goes to those after it, one small row
+    a range. Rows equal in ``order`` have sums in any order among themselves.
+    """
+    ranged = df.repartitionByRange(*[F.col(b) for b in by], *order).withColumn("__range", F.spark_partition_id())
+    done = materialize(ranged, "ranges")
+    per = done.groupBy(*by, "__range").agg(*[F.sum(v).alias(f"__{v}") for v in values])
+    if by:
+        before = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = per.select(*[F.col(b).alias(f"__by_{b}") for b in by], F.col("__range").alias("__r"), *[F.coalesce(F.sum(f"__{v}").over(before), F.lit(0)).alias(f"__{v}") for v in values])
+    else:
+        rows, total = [], [0] * len(values)
+        for r in sorted(per.collect(), key=lambda r: r["__range"]):
+            rows.append((r["__range"], *total))
+            total = [t + (r[f"__{v}"] or 0) for t, v in zip(total, values)]
+        kinds = dict(per.dtypes)
+        schema = ", ".join(["__r int", *[f"__{v} {kinds[f'__{v}']}" for v in values]])
+        offsets = F.broadcast(df.sparkSession.createDataFrame(rows, schema))  # a row a range
+    inside = Window.partitionBy(*by, "__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = done.withColumns({f"upto_{v}": F.sum(v).over(inside) for v in values})
+    met = F.col("__range") == F.col("__r")
+    for b in by:
+        met = met & F.col(b).eqNullSafe(F.col(f"__by_{b}"))
+    out = out.join(offsets, met)
+    return out.withColumns({f"upto_{v}": F.col(f"upto_{v}") + F.col(f"__{v}") for v in values}).select(*df.columns, *[f"upto_{v}" for v in values])
