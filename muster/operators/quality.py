@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import re
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -165,3 +170,55 @@ def rebase_ts(df: DataFrame, ts: str, origin: str) -> DataFrame:
     """Shift all times so that the first is ``origin``; gaps stay."""
     first = df.agg(F.min(ts).alias("_first"))
     return df.crossJoin(F.broadcast(first)).withColumn(ts, F.timestamp_micros(F.unix_micros(F.lit(origin).cast("timestamp")) + F.unix_micros(ts) - F.unix_micros("_first"))).drop("_first")
+
+
+# Names of labels that a public report must not carry, as keys or as values.
+TRUTH_KEYS = (
+    "ground_truth", "incident_group", "relation_type", "expected_incident_type", "expected_urgency", "expected_people_at_risk", "expected_people_count", "expected_direction",
+    "expected_needs_review", "expected_location_text", "expected_latitude", "expected_longitude", "expected_required_response", "expected_actionable", "notes",
+    "true_urgency", "true_hazard", "true_group",
+)
+
+
+def plain_name(text: str) -> str:
+    """Letters and digits of the compatibility form, in lower case."""
+    return "".join(c for c in unicodedata.normalize("NFKD", text.lower()) if c.isalnum())
+
+
+_TRUTH = frozenset(map(plain_name, TRUTH_KEYS))
+_PREFIX = re.compile(r"\s*expected[_:.=-]", re.I)
+
+
+def truth_leaks(value: object, path: str = "") -> list[tuple[str, str]]:
+    """``(path, KEY or VALUE)`` of every leak in a nested value. The key ``notes`` is one, the word is none."""
+    if isinstance(value, dict):
+        out = []
+        for k, v in value.items():
+            at = f"{path}.{k}" if path else str(k)
+            name = plain_name(str(k))
+            if name in _TRUTH or name.startswith("expected"):
+                out.append((at, "KEY"))
+            out += truth_leaks(v, at)
+        return out
+    if isinstance(value, list):
+        return [x for i, v in enumerate(value) for x in truth_leaks(v, f"{path}[{i}]")]
+    if isinstance(value, str) and (plain_name(value) in _TRUTH - {"notes"} or _PREFIX.match(unicodedata.normalize("NFKD", value))):
+        return [(path, "VALUE")]
+    return []
+
+
+def audit_nested(df: DataFrame, key: str, metadata: str) -> DataFrame:
+    """``(row_id, name, leak)`` of JSON metadata of any depth; text that is no JSON is one value. Nulls leak nothing."""
+
+    @F.pandas_udf("array<struct<name:string,leak:string>>")
+    def walked(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            try:
+                value = None if t is None else json.loads(t)
+            except ValueError:
+                value = t
+            out.append([{"name": p, "leak": k} for p, k in truth_leaks(value)])
+        return pd.Series(out, dtype=object)
+
+    return df.select(F.col(key).alias("row_id"), F.explode(walked(metadata)).alias("x")).select("row_id", "x.*")

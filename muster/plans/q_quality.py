@@ -14,10 +14,10 @@ from muster.sources import readers as R
 c = F.col
 
 
-@query("corpus_union", "SELECT 'a' AS corpus, doc_id, text FROM documents WHERE lang = 'en' UNION ALL SELECT 'b', doc_id, text FROM documents WHERE lang <> 'en'")
+@query("corpus_union", "SELECT 'a' AS corpus, doc_id, text FROM documents WHERE lang = 'en' UNION ALL SELECT 'b', doc_id, text FROM documents WHERE lang IS DISTINCT FROM 'en'")
 def _(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text", "lang")
-    return R.union_corpora(a=docs.where("lang = 'en'"), b=docs.where("lang <> 'en'")).select("corpus", "doc_id", "text")
+    return R.union_corpora(a=docs.where("lang = 'en'"), b=docs.where("lang is distinct from 'en'")).select("corpus", "doc_id", "text")
 
 
 @query("lexicon_extend", "SELECT term, CASE WHEN a > 0 THEN 'AREA' ELSE 'NATION' END AS entity_type FROM (SELECT lower(n) AS term, sum(k) AS a FROM (SELECT r_name AS n, 1 AS k FROM region UNION ALL SELECT n_name, 0 FROM nation UNION ALL SELECT r_name, 0 FROM region) GROUP BY 1)")
@@ -174,6 +174,13 @@ def _(spark, d):
     return V.audit_leakage(with_metadata(spark, d), "report_id", "metadata")
 
 
+@query("leakage_nested", """SELECT report_id AS row_id, name, leak FROM report, (VALUES (0, 'a.Expected Label', 'KEY'), (1, 'list[1].Gro\u00fcnd', NULL), (2, 'list[0]', 'VALUE'), (3, 'a.b', 'VALUE'), (4, 'Ground-Truth', 'KEY')) v(k, name, leak) WHERE k = event_id % 7 AND leak IS NOT NULL""")
+def _(spark, d):
+    texts = ('{"a": {"Expected Label": 1}}', '{"list": [1, {"gro\u00fcnd": "north"}]}', '{"list": ["True Urgency"]}', '{"a": {"b": "Expected: high"}}', '{"Ground-Truth": null}', "not json", None)
+    raw = F.get(F.array(*[F.lit(t) for t in texts]), (c("event_id") % 7).cast("int"))
+    return V.audit_nested(view(spark, d, "report").select("report_id", raw.alias("meta")), "report_id", "meta")
+
+
 @query("validate_feed", "SELECT event_id, CASE WHEN event_id % 9 = 0 THEN 'MALFORMED_NON_JSON' WHEN event_id % 7 = 0 THEN 'MALFORMED' ELSE 'OK' END AS verdict FROM events")
 def _(spark, d):
     e = c("event_id")

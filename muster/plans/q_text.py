@@ -67,9 +67,10 @@ def protos(spark, d):
     return table(spark, d, "embeddings").where("vec_id < 27").select(kind.alias("class"), c("embedding").alias("proto"))
 
 
-@query("prototype_scores", f"WITH {COS} SELECT vec_id, class, cos FROM cs WHERE abs(cos) > 0.01")
+@query("prototype_scores", f"WITH {COS} SELECT vec_id, class, cos + 0.0 AS cos FROM cs")
 def _(spark, d):
-    return T.prototype_scores(table(spark, d, "embeddings"), protos(spark, d), "vec_id").where("abs(cos) > 0.01")
+    # a rounded -0.0 becomes 0.0
+    return T.prototype_scores(table(spark, d, "embeddings"), protos(spark, d), "vec_id").withColumn("cos", c("cos") + 0.0)
 
 
 @query("semantic_scores", f"WITH {COS} SELECT vec_id, class, round(greatest(0, least(1, (cos - 0.2) / 0.5)), 4) AS score FROM cs")
