@@ -42,6 +42,17 @@ PLACE = {k: np.uint64(xxhash.xxh64_intdigest(f"<{k}>", 7)) for k in KINDS}
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
+class _Forms(dict):
+    """Words -> forms; a new word is learnt."""
+
+    def __init__(self, learn):
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, word: str) -> int:
+        return self.learn(word)
+
+
 class Lexer:
     """Words -> hashes, kinds and values; facts about a word form are cached, within a bound.
 
@@ -52,7 +63,7 @@ class Lexer:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = _Forms(self.learn)
         self.core: list[str] = []
         self.hash = np.empty(1 << 12, np.uint64)
         self.kind = np.empty(1 << 12, np.int8)
@@ -105,8 +116,7 @@ class Lexer:
             if own:
                 starts.append(len(words))
                 words += own
-        known, learn = self.known, self.learn
-        ids = np.fromiter((known[w] if w in known else learn(w) for w in words), np.int64, len(words))
+        ids = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
         if not len(ids):
             return np.empty(0, np.uint64), np.empty(0, np.int8), ids
         first = np.zeros(len(ids), bool)
@@ -145,29 +155,37 @@ def readings(own: np.ndarray, kind: np.ndarray) -> list[tuple[np.ndarray, np.nda
     return out
 
 
-def windows(h: np.ndarray, literal: np.ndarray, width: int = WINDOW, plain: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each window and whether it has enough literals; windows of different widths don't meet.
+def _powers(base: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(CHUNK + 2 * WINDOW, np.uint64(base)))))
 
-    ``plain`` windows are cut from the words' own hashes, need no literals and meet only plain ones.
-    """
+
+CHUNK = 1 << 16  # tokens whose windows are hashed at once
+POWERS, INVERSES = _powers(int(STEP)), _powers(pow(int(STEP), -1, 1 << 64))  # of an odd number, modulo 2^64
+
+
+def windows(h: np.ndarray, width: int = WINDOW, plain: bool = False) -> np.ndarray:
+    """Hash of each window, a polynomial from prefix sums; windows of different widths don't meet, nor plain and others."""
     n = len(h) - width + 1
     if n <= 0 or width < LITERALS and not plain:
-        return np.empty(0, np.uint64), np.empty(0, bool)
+        return np.empty(0, np.uint64)
+    if n > CHUNK:
+        return np.concatenate([windows(h[i : i + CHUNK + width - 1], width, plain) for i in range(0, n, CHUNK)])
     with np.errstate(over="ignore"):
-        out = np.full(n, WINDOW - width + plain * 2 * WINDOW, np.uint64)
-        for j in range(width):
-            out = (out ^ (out >> np.uint64(29))) * STEP + h[j : j + n]
-    if plain:
-        return out, np.ones(n, bool)
-    total = np.concatenate(([0], np.cumsum(literal)))
-    return out, (total[width:] - total[:-width]) >= LITERALS
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * POWERS[: len(h)])))
+        return (sums[width:] - sums[:-width]) * INVERSES[:n] + np.uint64((WINDOW - width + plain * 2 * WINDOW) * 0x632BE59BD9B4E019 % (1 << 64))
+
+
+def enough(literal: np.ndarray, places: np.ndarray, width: int) -> np.ndarray:
+    """Which of the windows at ``places`` have enough literals."""
+    return literal[places[:, None] + np.arange(width)].sum(1) >= LITERALS
 
 
-def all_windows(own: np.ndarray, kind: np.ndarray, width: int, plain: bool) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The windows of every reading, or the plain ones."""
+def all_windows(own: np.ndarray, kind: np.ndarray, width: int, plain: bool) -> list[tuple[np.ndarray, np.ndarray | None]]:
+    """The windows of every reading with its literals, or the plain ones, which need none."""
     if plain:
-        return [windows(own, kind == 0, width, plain=True)]
-    return [windows(h, literal, width) for h, literal in readings(own, kind)]
+        return [(windows(own, width, plain=True), None)]
+    return [(windows(h, width), literal) for h, literal in readings(own, kind)]
 
 
 def item_windows(own: np.ndarray, kind: np.ndarray) -> tuple[list[tuple[int, int]], tuple[int, bool]]:
@@ -177,7 +195,11 @@ def item_windows(own: np.ndarray, kind: np.ndarray) -> tuple[list[tuple[int, int
     """
     width = min(WINDOW, len(own))
     for plain in (False, True):
-        found = {(a, int(wh[a])) for wh, good in all_windows(own, kind, width, plain) for a in np.nonzero(good)[0].tolist()}
+        found = set()
+        for wh, literal in all_windows(own, kind, width, plain):
+            places = np.arange(len(wh))
+            places = places if literal is None or not len(wh) else places[enough(literal, places, width)]
+            found |= {(a, int(wh[a])) for a in places.tolist()}
         if found or not width:
             break
     return sorted(found), (width, plain)
@@ -212,12 +234,15 @@ class Index:
         self.marks = np.zeros(1 << MARK_BITS, bool)  # spares most windows the search
         self.marks[self.sorted >> np.uint64(64 - MARK_BITS)] = True
 
-    def hits(self, wh: np.ndarray, good: np.ndarray) -> list[int]:
-        """Places of the windows that the benchmark has."""
-        maybe = np.nonzero(good & self.marks[wh >> np.uint64(64 - MARK_BITS)])[0]
+    def hits(self, wh: np.ndarray, literal: np.ndarray | None, width: int) -> list[int]:
+        """Places of the windows that count and that the benchmark has."""
+        maybe = np.nonzero(self.marks[wh >> np.uint64(64 - MARK_BITS)])[0]
+        if not len(maybe):
+            return []
         at = np.searchsorted(self.sorted, wh[maybe])
         at[at == len(self.sorted)] = 0
-        return maybe[self.sorted[at] == wh[maybe]].tolist() if len(maybe) else []
+        maybe = maybe[self.sorted[at] == wh[maybe]]
+        return (maybe if literal is None else maybe[enough(literal, maybe, width)]).tolist()
 
 
 def agree(a: tuple[int, str], b: tuple[int, str] | None) -> bool:
@@ -267,8 +292,8 @@ def leaks(text: str, index: Index, lexer: Lexer) -> list[tuple]:
     own, kind, ids = lexer.tokens(text)
     lines: dict[tuple[int, int], set[int]] = defaultdict(set)
     for width, plain in index.widths:
-        for wh, good in all_windows(own, kind, width, plain):
-            for d in index.hits(wh, good) if len(wh) else []:
+        for wh, literal in all_windows(own, kind, width, plain):
+            for d in index.hits(wh, literal, width) if len(wh) else []:
                 for item, b in index.places[int(wh[d])]:
                     lines[item, d - b].add(b)
     found: dict[int, tuple] = {}
@@ -341,11 +366,15 @@ def window_table(docs: DataFrame, name: str, words: np.ndarray | None = None, wi
                     found = {(a, h, width, plain) for a, h in places}
                 else:
                     for width, plain in widths:
-                        for wh, good in all_windows(own, kind, width, plain):
+                        for wh, literal in all_windows(own, kind, width, plain):
+                            good = np.ones(len(wh), bool)
                             if bits is not None and len(wh):
                                 for bit in filter_places(wh):
                                     good &= (bits[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1) == 1
-                            found |= {(a, int(wh[a]), width, plain) for a in np.nonzero(good)[0].tolist()}
+                            places = np.nonzero(good)[0]
+                            if literal is not None and len(places):
+                                places = places[enough(literal, places, width)]
+                            found |= {(a, int(wh[a]), width, plain) for a in places.tolist()}
                 rows = []
                 for a, h, width, plain in sorted(found):
                     lo, hi = max(0, a - WINDOW), min(len(ids), a + width + WINDOW)
