@@ -207,7 +207,7 @@ def learn_samples(
     """Language -> sample of at most ``chars`` characters, from documents in the order of their text's hash.
 
     Each document gives one passage of at most ``chars / 50`` characters, placed by the hash, so a sample has many
-    documents. What reaches the driver is bounded by ``chars`` and ``MAX_LANGUAGES`` (the most frequent ones).
+    documents. What reaches the driver is ``chars`` characters a language at most.
     """
     text, lang = F.col(f"`{text_col}`"), F.col(f"`{lang_col}`")
     size, h = chars // 50, F.xxhash64(text)

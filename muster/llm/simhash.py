@@ -297,9 +297,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float)
 def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with all its columns, one document of each group of near copies: the one with the least doc_id.
 
-    Rows with a null doc_id are compared like any other but only stay if no member of their group has an id, and
-    then all of them stay. Rows that repeat both doc_id and text are one document. Null and empty texts are one
-    group.
+    Rows with a null doc_id are compared like any other but only stay if no member of their group has an id; then the rows of
+    one text stay, that of the least hash, with its repeats. Rows that repeat both doc_id and text are one document. Null
+    and empty texts are one group.
     """
     groups = similar_components(docs.select("doc_id", "text"), words=words, similarity=similarity)
     first = groups.groupBy("component").agg(F.min("id").alias("least"))
