@@ -9,6 +9,7 @@ from muster.operators import assemble as J
 from muster.operators import candidates as C
 from muster.operators import dedup as D
 from muster.operators import fusion as U
+from muster.plans.q_tables import SCORE_SQL
 from muster.plans.registry import query
 from muster.plans.views import table, view
 
@@ -175,6 +176,16 @@ def _(spark, d):
     return view(spark, d, "pred").select("report_id", F.when(c("processing_status") == "FAILED", 50.0).otherwise(F.round(F.least(F.lit(100.0), c("value")), 2)).alias("priority_score"))
 
 
+@query("priority_sentence", f"""WITH {SCORE_SQL} SELECT incident_id, CASE WHEN status = 'RESOLVED' THEN 'closed, so it ranks last with 0' ELSE level || ' at ' || printf('%.2f', score)
+ || ': urgency ' || coalesce(urgency, 'not known') || ' adds ' || printf('%.2f', round(u * 0.35, 2)) || '; people ' || CASE WHEN people_at_risk_count > 0 THEN people_at_risk_count::VARCHAR ELSE 'none named' END
+ || ' adds ' || printf('%.2f', round(p * 0.3, 2)) || '; sources ' || independent_source_count || ' adds ' || printf('%.2f', round(c * 0.2, 2)) || '; hazard ' || coalesce(incident_type, 'not known')
+ || ' adds ' || printf('%.2f', round(h * 0.15, 2)) END AS explanation FROM scored""")
+def _(spark, d):
+    from muster.operators.review import explain_priority
+
+    return explain_priority(view(spark, d, "incident")).select("incident_id", "explanation")
+
+
 @query("priority_explain")
 def _(spark, d):
     from muster.operators.review import explain_priority
@@ -305,6 +316,16 @@ def _(spark, d):
     return J.incident_detail(v, view(spark, d, "link"), view(spark, d, "report"), view(spark, d, "audit"))
 
 
+@query("detail_digest", """WITH s AS (SELECT l.incident_id, string_agg(l.report_id, ',' ORDER BY l.fused_at, l.link_id) AS reports FROM link l JOIN report r USING (report_id) GROUP BY 1),
+a AS (SELECT incident_id, string_agg(override_id, ',' ORDER BY created_at DESC, override_id DESC) AS trail FROM audit GROUP BY 1)
+SELECT incident_id, coalesce(reports, '') AS reports, coalesce(trail, '') AS trail FROM incident LEFT JOIN s USING (incident_id) LEFT JOIN a USING (incident_id)""")
+def _(spark, d):
+    v = J.assemble(*[view(spark, d, n) for n in ("incident", "link", "calc", "pred")])
+    out = J.incident_detail(v, view(spark, d, "link"), view(spark, d, "report"), view(spark, d, "audit"))
+    listed = lambda rows, f: F.coalesce(F.array_join(F.transform(rows, lambda x: x[f]), ","), F.lit(""))
+    return out.select("incident_id", listed("reports", "report_id").alias("reports"), listed("audit_trail", "override_id").alias("trail"))
+
+
 @query("run_incidents", "SELECT incident_id FROM incident WHERE incident_id IN (SELECT incident_id FROM link WHERE report_id LIKE 'rep-000001%' AND report_id IN (SELECT report_id FROM report))")
 def _(spark, d):
     return J.incidents_of_run(view(spark, d, "incident"), view(spark, d, "link"), view(spark, d, "report"), "rep-000001").select("incident_id")
