@@ -241,34 +241,44 @@ def entity_metrics_exact(true: DataFrame, pred: DataFrame) -> DataFrame:
     return out.withColumn("f1", ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")))
 
 
+def same_span(a: str | None, b: str | None) -> bool:
+    """Equal or one inside the other, by lower-case words; an empty span equals only an empty one."""
+    a, b = (" ".join((x or "").lower().split()) for x in (a, b))
+    return a == b or bool(a and b and (a in b or b in a))
+
+
+def greedy_pairs(true: list, pred: list, joint: bool) -> tuple[list[str], list[str], list[str]]:
+    """Types of the matched true entities, of the predicted ones left, and of the true ones missed; in order, one to one."""
+    left, hit, missed = list(pred), [], []
+    for t in true:
+        k = next((i for i, p in enumerate(left) if same_span(t["text"], p["text"]) and (not joint or t["type"] == p["type"])), None)
+        if k is None:
+            missed.append(t["type"])
+        else:
+            hit.append(t["type"])
+            del left[k]
+    return hit, [p["type"] for p in left], missed
+
+
 def entity_metrics_greedy(df: DataFrame) -> DataFrame:
-    """``(report_id, true, pred)`` arrays of ``(text, type)``: greedy one-to-one in order, joint and by span alone."""
+    """``(report_id, true, pred)`` arrays of ``(text, type)``: greedy one-to-one in order, joint and by span alone, for each type
+    and for ``ALL``. A match counts for the true entity's type."""
     import pandas as pd
 
-    norm = lambda x: " ".join((x or "").lower().split())
+    from muster.runtime import arrow_batches
 
     def match(batches):
         for rows in batches:
             out = []
-            for rid, ts, ps in zip(rows["report_id"], rows["true"], rows["pred"]):
-                ts, ps = list(ts), list(ps)
+            for ts, ps in zip(rows["true"], rows["pred"]):
                 for grain in ("joint", "span"):
-                    left, tp = list(ps), 0
-                    for t in ts:
-                        for p in left:
-                            span = norm(t["text"]) == norm(p["text"]) or norm(t["text"]) in norm(p["text"]) or norm(p["text"]) in norm(t["text"])
-                            if span and (grain == "span" or t["type"] == p["type"]):
-                                left.remove(p)
-                                tp += 1
-                                break
-                    out.append((rid, grain, tp, len(ps) - tp, len(ts) - tp))
-            yield pd.DataFrame(out, columns=["report_id", "grain", "tp", "fp", "fn"])
-
-    from muster.runtime import arrow_batches
+                    found = greedy_pairs([] if ts is None else list(ts), [] if ps is None else list(ps), grain == "joint")
+                    out += [(grain, kind, *(int(i == k) for i in range(3))) for k, kinds in enumerate(found) for t in kinds for kind in ("ALL", t)]
+            yield pd.DataFrame(out, columns=["grain", "type", "tp", "fp", "fn"])
 
     arrow_batches(df.sparkSession, 10_000)
-    each = df.select("report_id", "true", "pred").mapInPandas(match, "report_id string, grain string, tp int, fp int, fn int")
-    out = each.groupBy("grain").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
+    each = df.select("true", "pred").mapInPandas(match, "grain string, type string, tp int, fp int, fn int")
+    out = each.groupBy("grain", "type").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
     return out.withColumns({
         "precision": ratio(F.col("tp"), F.col("tp") + F.col("fp"), 1.0), "recall": ratio(F.col("tp"), F.col("tp") + F.col("fn"), 1.0), "f1": ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn"), 1.0),
     })

@@ -68,3 +68,10 @@ def test_an_override_sees_what_the_one_before_left(spark):
     }
     row = W.apply_overrides(state, actions).first()
     assert (row["urgency"], row["people_at_risk_count"], row["location_text"], row["latitude"], row["longitude"], row["overridden"]) == ("CRITICAL", None, "mill", 5.0, None, True)
+
+
+def test_greedy_entities():
+    e = lambda *x: [dict(zip(("text", "type"), t)) for t in x]
+    assert M.greedy_pairs(e(("mill road", "ROAD"), ("bank", "PLACE")), e(("Mill  Road", "PLACE"), ("the bank", "PLACE")), True) == (["PLACE"], ["PLACE"], ["ROAD"])
+    assert M.greedy_pairs(e(("mill road", "ROAD")), e(("Mill", "PLACE")), False) == (["ROAD"], [], [])
+    assert M.greedy_pairs(e(("", "ROAD"), ("x", "ROAD")), e(("mill", "ROAD"), (None, "ROAD")), True) == (["ROAD"], ["ROAD"], ["ROAD"])
