@@ -25,3 +25,23 @@ def test_reports_of_similar_vectors_alone_meet(spark, monkeypatch):
     plain = C.candidate_pairs(r, True, matching=True)
     assert "a_embedding" in plain.columns
     assert got == sorted(map(tuple, C.correlate(plain, True).where("matched").select(KEY).collect()), key=str) and got
+
+
+def test_counts_by_classes_are_the_counts_of_pairs(spark):
+    r = view(spark, SF, "report").where("event_id % 2 = 0")
+    r = r.withColumn("reported_at", F.when(F.col("event_id") % 14 != 0, F.timestamp_micros(F.unix_micros("reported_at") % F.lit(40_000_000_000))))  # ties, nulls and full slots
+    p = C.prepared(r, vectors=False)
+    every = C.correlate(C._tidy(C._meet(p, p, 6.0)).withColumn("kind", C._kind()))
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert rows(C.place_counts(r, by_points=True)) == rows(every.groupBy("kind", "spatial").agg(F.count("*").alias("n")))
+    plan = C.place_counts(r)._jdf.queryExecution().executedPlan().toString()
+    assert "a_report_id" not in plan  # reports aren't paired
+
+
+def test_relations_and_highest_scores_of_all_pairs(spark):
+    r = some_blind(spark)
+    every = C.correlate(C.candidate_pairs(r, True), True).persist()
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert rows(C.relation_counts(r)) == rows(every.groupBy("relation", "kind").agg(F.count("*").alias("n")))
+    assert rows(C.highest_scores(r)) == rows(every.groupBy("kind").agg(F.count("*").alias("n"), F.max("score").alias("high")))
+    every.unpersist()
