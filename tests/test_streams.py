@@ -107,3 +107,17 @@ def test_feed_of_the_reports_names_every_link(spark):
     links = {(x["incident_id"], x["report_id"]) for x in U.fuse_replay(view(spark, SF, "report"), "region").collect()}
     feed = registry.QUERIES["feed_sink"](spark, SF).collect()
     assert {(x["incident_id"], x["report_id"]) for x in feed} == links and len(feed) == len(links)
+
+
+def test_files_of_a_stream_grow_in_number_with_the_table(spark, monkeypatch):
+    from muster.plans import q_stream
+
+    monkeypatch.setattr(q_stream, "FILE_ROWS", 100)
+    monkeypatch.setattr(q_stream, "TRIGGER_FILES", 2)
+    asked, real = [], q_stream.order_files
+    monkeypatch.setattr(q_stream, "order_files", lambda s, path: (asked.append(path), real(s, path)))
+    want = rows(view(spark, SF, "report").select("report_id", "reported_at"))
+    assert rows(registry.QUERIES["stream_source"](spark, SF)) == want
+    made = [f for f in os.listdir(asked[0]) if f.startswith("part-")]
+    assert len(made) >= len(want) // 100 and spark.read.parquet(asked[0]).columns == ["report_id", "reported_at"]
+    assert max(spark.read.parquet(f"{asked[0]}/{f}").count() for f in made) < 300
