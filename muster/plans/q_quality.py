@@ -70,7 +70,7 @@ def _(spark, d):
     import uuid
 
     path = f"{shared_dir(spark)}/muster-src-{uuid.uuid4().hex}"
-    with_metadata(spark, d).select("report_id", "text", "source", "is_synthetic", "reported_at", "metadata").write.json(path)
+    with_metadata(spark, d).select("report_id", "text", "source", "is_synthetic", "reported_at", "metadata").write.option("compression", "gzip").json(path)
     got = R.read_reports(spark, path, "json")
     return got.select("report_id", F.md5("text").alias("text"), "source", "is_synthetic", "reported_at", c("metadata")["caller_id"].alias("caller"))
 
@@ -85,7 +85,7 @@ def _(spark, d):
         c("event_id").cast("string").alias("event_id"), F.lit(1.5).alias("delay_seconds"),
         F.struct("report_id", "text", "source", "is_synthetic", "reported_at", "metadata").alias("dispatch"),
         F.struct(F.concat(F.lit("g"), c("event_id") % 37).alias("incident_group"), c("urgency").alias("expected_urgency")).alias("ground_truth"),
-    ).write.json(path)
+    ).write.option("compression", "gzip").json(path)
     reports, labels = R.read_labelled(spark, path)
     return reports.select("event_id", "report_id", F.md5("text").alias("text")).join(labels.select("report_id", "incident_group", "expected_urgency"), "report_id")
 
