@@ -45,3 +45,17 @@ def test_relations_and_highest_scores_of_all_pairs(spark):
     assert rows(C.relation_counts(r)) == rows(every.groupBy("relation", "kind").agg(F.count("*").alias("n")))
     assert rows(C.highest_scores(r)) == rows(every.groupBy("kind").agg(F.count("*").alias("n"), F.max("score").alias("high")))
     every.unpersist()
+
+
+def test_best_candidates_hold_the_best_of_all_and_few_more(spark):
+    from muster.plans import registry  # noqa: F401  loads all queries in their order
+    from muster.plans.q_scores import open_incidents
+
+    r, i = view(spark, SF, "report"), open_incidents(spark, SF)
+    squeeze = lambda df, ts: df.withColumn(ts, F.timestamp_micros(F.unix_micros(ts) % F.lit(9_000_000_000)))
+    r, i = squeeze(r, "reported_at"), squeeze(i, "last_active")  # ties of time are rare, so half of the incidents share theirs
+    i = i.withColumn("last_active", F.when(F.crc32("incident_id") % 2 == 0, F.date_trunc("minute", "last_active")).otherwise(F.col("last_active")))
+    every, few = C.score_candidates(r, i).persist(), C.best_candidates(r, i).persist()
+    best = lambda df: sorted(map(tuple, C.best_match(df).select("report_id", "incident_id", "last_active", "score").collect()))
+    assert best(few) == best(every) and len(best(few)) > 500
+    assert few.count() < 5 * r.count() < every.count() / 2
