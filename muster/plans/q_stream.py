@@ -64,10 +64,10 @@ def drained(spark, df, mode: str = "append"):
 
 
 def stream_of(spark, df):
-    """``df`` as files in the shared folder, read back as a stream of a file a trigger."""
+    """``df`` as files in the shared folder, read back as a stream of ``TRIGGER_FILES`` files a trigger, so that a trigger keeps as many tasks busy."""
     path = f"{shared_dir(spark)}/muster-in-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", TRIGGER_FILES).parquet(path)
 
 
 @query("stream_source", "SELECT report_id, reported_at FROM report")

@@ -124,3 +124,27 @@ def test_one_bad_text_in_a_thousand_costs_one_row(spark):
     assert {r["report_id"] for r in rows if r["analysis"] is None} == {617} and {r["analysis_error"] for r in rows} == {None, "KeyError"}
     vectors = T.embed(df, lambda b: model(b) and [[1.0, 2.0] for _ in b])
     assert vectors.where("embedding is null").count() == 1
+
+
+def test_small_gazetteers_need_no_runs_in_a_join_and_give_the_same(spark, monkeypatch):
+    gazetteer = spark.createDataFrame([("mill", "PLACE"), ("mill", "HOUSE"), ("old mill", "PLACE"), ("mill road", "ROAD"), ("a_b", "ODD"), ("road  x", "ODD")], "term string, entity_type string")
+    df = spark.createDataFrame([(1, "Old Mill Road, old mill; MILL"), (2, None), (3, "a_b road x a b"), (4, "mill mill road Old Town Hospital NH-5")], "report_id long, text string")
+    small = T.extract_entities(df, gazetteer)
+    assert "Join" not in small._jdf.queryExecution().executedPlan().toString()
+    got = sorted(map(str, small.collect()))
+    monkeypatch.setattr(lexscan, "MOST_TERMS", 2)
+    joined = T.extract_entities(df, gazetteer)
+    assert "Join" in joined._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(str, joined.collect())) == got
+
+
+def test_a_trigger_reads_as_many_files_as_tasks_can_work_on(spark, tmp_path):
+    from pathlib import Path
+
+    from muster.plans.q_stream import TRIGGER_FILES, stream_of
+    from muster.streaming.stream import drain
+
+    stream = stream_of(spark, spark.range(100).repartition(2 * TRIGGER_FILES))
+    drain(stream, str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 100
+    assert len([p for p in Path(tmp_path / "out-state" / "commits").iterdir() if p.name.isdigit()]) == 2
