@@ -127,6 +127,9 @@ def override_value(field: Column, value: Column) -> Column:
     )
 
 
+LEDGER_ROWS = 500_000  # about so many overrides go to a task
+
+
 def override_ledger(state: DataFrame, actions: DataFrame) -> DataFrame:
     """Every override ``actions(incident_id, field, new_value, reason, at, override_id)`` with what it did, in order of (at,
     override_id): ``previous_value`` as the accepted ones before left it, ``applied_value``, and ``rejected`` (null: accepted).
@@ -134,23 +137,33 @@ def override_ledger(state: DataFrame, actions: DataFrame) -> DataFrame:
     A field's overrides depend on each other only, so they are a window by incident and field. Overrides of unknown
     incidents are rejected. A state without some field's columns has null there.
     """
-    has = lambda c, kind: F.col(c).cast(kind) if c in state.columns else F.lit(None).cast(kind)
-    place = F.to_json(F.struct(has("location_text", "string").alias("text"), has("latitude", "double").alias("latitude"), has("longitude", "double").alias("longitude"), has("location_precision", "string").alias("precision")))
-    now = F.create_map(
-        F.lit("incident_type"), has("incident_type", "string"), F.lit("urgency"), has("urgency", "string"), F.lit("people_at_risk_count"), has("people_at_risk_count", "int").cast("string"),
-        F.lit("location"), place, F.lit("required_response"), F.to_json(has("required_response", "array<string>")), F.lit("priority_score"), has("priority_score", "double").cast("string"),
+    kinds = {
+        "incident_type": "string", "urgency": "string", "people_at_risk_count": "int", "location_text": "string", "latitude": "double", "longitude": "double",
+        "location_precision": "string", "required_response": "array<string>", "priority_score": "double",
+    }
+    has = [(F.col(c) if c in state.columns else F.lit(None)).cast(kind).alias(f"s_{c}") for c, kind in kinds.items()]
+    # an action carries the one value that it overrides, not the whole state: sorts hold narrow rows, in as many tasks as the table needs
+    tasks = max(int(state.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), -(-actions.count() // LEDGER_ROWS))
+    j = actions.repartition(tasks, "incident_id").join(state.select("incident_id", F.lit(True).alias("known"), *has), "incident_id", "left")
+    s = lambda c: F.col(f"s_{c}")
+    place = F.to_json(F.struct(s("location_text").alias("text"), s("latitude").alias("latitude"), s("longitude").alias("longitude"), s("location_precision").alias("precision")))
+    here = lambda f: F.col("field") == f
+    now = (
+        F.when(here("location"), place).when(here("required_response"), F.to_json(s("required_response")))
+        .when(here("people_at_risk_count"), s("people_at_risk_count").cast("string")).when(here("priority_score"), s("priority_score").cast("string"))
+        .when(here("incident_type"), s("incident_type")).when(here("urgency"), s("urgency"))
     )
-    j = actions.join(state.select("incident_id", now.alias("now")), "incident_id", "left")
+    j = j.select(*actions.columns, "known", F.when(F.col("known"), now).alias("now"))
     value = override_value(F.col("field"), F.col("new_value"))
     cleared = F.col("field").isin(*CLEARABLE) & F.col("new_value").isNull()
     rejected = (
-        F.when(F.col("now").isNull(), "UNKNOWN_INCIDENT").when(F.length(F.trim(F.coalesce("reason", F.lit("")))) < 5, "REASON_TOO_SHORT")
+        F.when(F.col("known").isNull(), "UNKNOWN_INCIDENT").when(F.length(F.trim(F.coalesce("reason", F.lit("")))) < 5, "REASON_TOO_SHORT")
         .when(~F.coalesce(F.col("field").isin(*OVERRIDABLE), F.lit(False)), "FIELD_NOT_ALLOWED").when(value.isNull() & ~cleared, "VALUE_NOT_VALID")
     )
     j = j.withColumn("rejected", rejected).withColumn("applied_value", F.when(F.col("rejected").isNull(), value))
     before = Window.partitionBy("incident_id", "field").orderBy("at", "override_id").rowsBetween(Window.unboundedPreceding, -1)
     last = F.last(F.when(F.col("rejected").isNull(), F.struct("applied_value")), ignorenulls=True).over(before)
-    previous = F.when(last.isNotNull(), last["applied_value"]).otherwise(F.try_element_at("now", "field"))
+    previous = F.when(last.isNotNull(), last["applied_value"]).otherwise(F.col("now"))
     return j.select("incident_id", "override_id", "field", previous.alias("previous_value"), "applied_value", "rejected", "reason", "at")
 
 

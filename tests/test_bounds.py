@@ -70,6 +70,16 @@ def test_an_override_sees_what_the_one_before_left(spark):
     assert (row["urgency"], row["people_at_risk_count"], row["location_text"], row["latitude"], row["longitude"], row["overridden"]) == ("CRITICAL", None, "mill", 5.0, None, True)
 
 
+def test_the_ledger_sorts_narrow_rows_in_tasks_of_bounded_size(spark, monkeypatch):
+    state = spark.range(40).select(F.concat(F.lit("i"), "id").alias("incident_id"), F.lit("LOW").alias("urgency"), F.lit(1.0).alias("latitude"))
+    actions = state.select("incident_id", F.lit("urgency").alias("field"), F.lit("high").alias("new_value"), F.lit("seen on site").alias("reason"), F.lit(1).alias("at"), F.lit("o").alias("override_id"))
+    monkeypatch.setattr(W, "LEDGER_ROWS", 4, raising=False)
+    out = W.override_ledger(state, actions)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(incident_id" in plan and ", 10)" in plan and "map(" not in plan
+    assert {tuple(r) for r in out.select("previous_value", "applied_value").collect()} == {("LOW", "HIGH")} and out.count() == 40
+
+
 def test_greedy_entities():
     e = lambda *x: [dict(zip(("text", "type"), t)) for t in x]
     assert M.greedy_pairs(e(("mill road", "ROAD"), ("bank", "PLACE")), e(("Mill  Road", "PLACE"), ("the bank", "PLACE")), True) == (["PLACE"], ["PLACE"], ["ROAD"])
