@@ -162,3 +162,31 @@ def test_only_a_located_report_refines_the_place(spark):
     assert got == [("mill", None, "APPROXIMATE"), ("mill", 2.0, "UNKNOWN"), ("harbour", 2.0, "EXACT"), ("mill", 1.0, "EXACT")]
     held = U.fuse_pair(df.withColumn("conflict", F.lit(True)), "conflict")
     assert [r["latitude"] for r in held.collect()] == [None, None, 1.0, 1.0]
+
+
+def test_vectors_that_cannot_match_are_replayed_apart(spark):
+    rnd = random.Random(2)
+    rows = [dict(r, vector=[(3.0 if i == k % 4 else 0.0) + rnd.gauss(0, 0.2) for i in range(8)]) for k, r in enumerate(made(300, 12, 21))]
+    want = brute(rows, "exact", True)
+    assert links(U.fuse_replay(frame(spark, rows), "exact", semantic=True, dim=8)) == want
+    narrow = R.narrow_reports(frame(spark, rows), F.lit("all"), True, 8)
+    cut = R.apart_by_vectors(narrow)
+    assert cut.count() == 300 and cut.select("region").distinct().count() > 1
+    blind = narrow.withColumn("vector", F.when(F.col("report_id") != "r00001", F.col("vector")))
+    kind = next(r["is_synthetic"] for r in rows if r["report_id"] == "r00001")
+    assert R.apart_by_vectors(blind).where(F.col("is_synthetic") == kind).select("region").distinct().count() == 1
+
+
+def test_few_and_many_open_incidents_are_decided_alike(monkeypatch):
+    rnd, rows, got = random.Random(4), [], []
+    for k in range(400):
+        has = rnd.random() < 0.6
+        rows.append({
+            "report_id": f"r{k:04d}", "hours": k * 0.01, "lat": 20 + rnd.randrange(9) * 0.006 if has else None, "lon": 85 + rnd.randrange(9) * 0.006 if has else None,
+            "place": norm(rnd.choice(WORDS)), "precision": rnd.choice([1, 2, 3]), "vector": None,
+        })
+    for few in (0, 1000):
+        monkeypatch.setattr(R, "FEW", few, raising=False)
+        fuser = R.Fuser()
+        got.append(([fuser.add(r) for r in rows], fuser.state(4.0)))
+    assert got[0] == got[1] and len(got[0][1]) > 5
