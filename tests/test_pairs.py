@@ -59,3 +59,27 @@ def test_best_candidates_hold_the_best_of_all_and_few_more(spark):
     best = lambda df: sorted(map(tuple, C.best_match(df).select("report_id", "incident_id", "last_active", "score").collect()))
     assert best(few) == best(every) and len(best(few)) > 500
     assert few.count() < 5 * r.count() < every.count() / 2
+
+
+def test_pairs_that_match_without_vectors_are_those_of_a_plain_join(spark):
+    r = view(spark, SF, "report").where("event_id % 2 = 0")
+    r = r.withColumn("reported_at", F.when(F.col("event_id") % 14 != 0, F.timestamp_micros(F.unix_micros("reported_at") % F.lit(40_000_000_000))))  # ties and nulls
+    p = C.prepared(r, vectors=False)
+    keys = ["a_report_id", "b_report_id", "kind"]
+    rule = "a_is_synthetic = b_is_synthetic and (b_reported_at > a_reported_at or (b_reported_at = a_reported_at and a_report_id < b_report_id)) and unix_micros(b_reported_at) - unix_micros(a_reported_at) <= 21600000000"
+    both = p.select(*[F.col(x).alias(f"a_{x}") for x in p.columns]).join(p.select(*[F.col(x).alias(f"b_{x}") for x in p.columns]), F.expr(rule))
+    want = sorted(map(tuple, C.correlate(C._tidy(both).withColumn("kind", C._kind())).where("matched").select(keys).collect()))
+    found = C.matched_pairs(r)
+    assert sorted(map(tuple, found.collect())) == want and len(want) > 500
+    likely = C.likely_pairs(p, p)
+    assert {x["sure"] for x in likely.select("sure").distinct().collect()} == {True, False}
+
+
+def test_pair_join_keeps_exact_scores_out_of_the_generated_join(spark):
+    from muster.plans import registry
+
+    plan = registry.QUERIES["pair_join"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    joins = [x for x in plan.splitlines() if "SortMergeJoin" in x and "a_is_synthetic" in x]
+    exact = [x for x in joins if "ATAN2" in x]
+    assert len(joins) >= 5 and exact and all("exists(" in x[: x.index("ATAN2")] for x in exact)
+    assert "REPARTITION_BY_NUM" in plan  # few bytes give many pairs, so partitions aren't merged by bytes
