@@ -83,3 +83,17 @@ def test_pair_join_keeps_exact_scores_out_of_the_generated_join(spark):
     exact = [x for x in joins if "ATAN2" in x]
     assert len(joins) >= 5 and exact and all("exists(" in x[: x.index("ATAN2")] for x in exact)
     assert "REPARTITION_BY_NUM" in plan  # few bytes give many pairs, so partitions aren't merged by bytes
+
+
+def test_candidates_meet_in_a_given_number_of_tasks_and_are_those_of_a_plain_join(spark):
+    from muster.plans import registry  # noqa: F401  loads all queries in their order
+    from muster.plans.q_scores import open_incidents
+
+    r, i = view(spark, SF, "report"), open_incidents(spark, SF)
+    names = i.select(*[F.col(x).alias(f"i_{x}") for x in i.columns])
+    rule = "is_synthetic = i_is_synthetic and i_status in ('ACTIVE', 'NEEDS_REVIEW') and unix_micros(reported_at) - unix_micros(i_last_active) between 0 and 21600000000"
+    pairs = lambda df: sorted(map(tuple, df.select("report_id", "i_incident_id").collect()))
+    found = C.candidates(r, i)
+    assert pairs(found) == pairs(r.join(names, F.expr(rule))) and found.columns == [*r.columns, *[f"i_{x}" for x in i.columns if x != "is_synthetic"]]
+    plan = found.select("report_id", "i_incident_id")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 2
