@@ -169,8 +169,8 @@ def op1_simhash(spark, sf_dir: str) -> DataFrame:
 # Near copies by similarity. The sign of a vote is a weak witness of a Jaccard similarity of 0.8: the measured distance of such
 # pairs on 64 bits is up to 17, where no chain of segments is selective. The fingerprint of this form therefore has
 # minima of hashed shingles as its symbols (each differs with the probability of one minus the similarity). Segments
-# of the ring are join keys again, and the ring's budget prunes the pairs before their texts are compared.
-SLOTS, BAND = 64, 4
+# of the ring are join keys again, and chains of segments prune the pairs before their texts are compared.
+SLOTS = 64
 
 
 def slot_budget(similarity: float) -> int:
@@ -179,6 +179,45 @@ def slot_budget(similarity: float) -> int:
     return int(SLOTS * miss + 4.0 * (SLOTS * miss * (1.0 - miss)) ** 0.5)
 
 
+def slot_ring(budget: int) -> int:
+    """Segments of the ring of slots: few, but more than the budget, so that a chain's first segment has a budget of zero."""
+    if budget >= SLOTS:
+        raise ValueError("the similarity is too low for the ring of slots")
+    return SLOTS // 2 if budget < SLOTS // 2 else SLOTS
+
+
+def slot_keys(budget: int) -> list[list[int]]:
+    """Slots of the join keys: every pair within ``budget`` agrees under at least one of them.
+
+    By the pigeonring principle some start has all its chains within their budgets, so its first segment is equal, and so is
+    another one of the shortest chain whose budget is less than the segments after the first.
+    """
+    ring = slot_ring(budget)
+    width, found = SLOTS // ring, set()
+    longest = next((n for n, most in enumerate(chain_budgets(budget, ring), 1) if n > 1 and most < n - 1), None)
+    for start in range(ring):
+        for t in range(1, longest) if longest else (0,):
+            used = {start, (start + t) % ring}
+            found.add(tuple(sorted(j * width + i for j in used for i in range(width))))
+    return [list(x) for x in sorted(found)]
+
+
+def chains_hold(a: np.ndarray, b: np.ndarray, budget: int) -> np.ndarray:
+    """For each pair of rows of slots whether from some start every chain is within its budget; a pair without such a start left is dropped at once."""
+    ring = slot_ring(budget)
+    gaps = (a != b).reshape(len(a), ring, SLOTS // ring).sum(axis=2)
+    rows, total, alive = np.arange(len(a)), np.zeros_like(gaps), np.ones(gaps.shape, bool)
+    for length, most in enumerate(chain_budgets(budget, ring)):
+        total = total + np.roll(gaps, -length, axis=1)
+        alive &= total <= most
+        some = alive.any(axis=1)
+        if not some.all():
+            rows, gaps, total, alive = rows[some], gaps[some], total[some], alive[some]
+    out = np.zeros(len(a), bool)
+    out[rows] = True
+    return out
+
+
 def shingle_set(text: bytes, words: int) -> np.ndarray:
     return np.unique(shingle_hashes(text, words))
 
@@ -226,8 +265,18 @@ def _similar(a: Column, b: Column, words: int, similarity: float) -> Column:
     return apply(a.cast("binary"), b.cast("binary"))
 
 
+def _chains_column(a: Column, b: Column, budget: int) -> Column:
+    @F.pandas_udf("boolean")
+    def apply(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for left, right in batches:
+            one, two = (np.array(list(x), np.int64).reshape(-1, SLOTS) for x in (left, right))
+            yield pd.Series(chains_hold(one, two, budget), dtype=bool)
+
+    return apply(a, b)
+
+
 def _slots_close(a: Column, b: Column, budget: int) -> Column:
-    """The whole ring's budget; the equal segment that made the pair is its chain's first link."""
+    """The whole ring's budget: within it some start has all its chains within theirs, and beyond it none has."""
     whole = sum((a[i] != b[i]).cast("int") for i in range(1, SLOTS)) + (a[0] != b[0]).cast("int")
     return whole <= budget
 
@@ -237,9 +286,9 @@ def similar_components(
 ) -> DataFrame:
     """``(id, text_hash, component)``: rows whose texts are connected by pairs at ``similarity`` or more.
 
-    Equal slot fingerprints (exact copies, but for chance) form one class first. Classes that agree on one whole
-    segment of the ring are candidates; the others' chance of a pair at 0.8 is 2 in 10,000. Buckets of up to
-    ``crowded`` classes give all pairs. In a larger bucket every class is checked against the bucket's least class; then,
+    Equal slot fingerprints (exact copies, but for chance) form one class first. Classes that agree under a key of
+    :func:`slot_keys` are candidates, so all pairs within the ring's budget are. Buckets of up to
+    ``crowded`` classes give all pairs, which the chains prune. In a larger bucket every class is checked against the bucket's least class; then,
     exactly, each class that is still apart from it is paired with the whole bucket. All pairs are verified on the
     texts' exact shingle sets, so distinct texts below ``similarity`` never link.
     """
@@ -254,16 +303,18 @@ def similar_components(
     classes = materialize(
         rows.groupBy(key.alias("c")).agg(F.min("text_hash").alias("node"), F.first("fp").alias("fp")), "slot-classes"
     )
-    bands = F.array(*[F.xxhash64(F.lit(j), F.slice("fp", j * BAND + 1, BAND)) for j in range(SLOTS // BAND)])
-    keyed = classes.select("node", "fp", F.explode(bands).alias("k"))
-    sizes = keyed.groupBy("k").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).where("n > 1")
-    shared = materialize(keyed.join(sizes, "k"), "slot-buckets")
     budget = slot_budget(similarity)
-    few = shared.where(F.col("n") <= crowded)
-    a = few.select("k", F.col("node").alias("a"), F.col("fp").alias("fa"))
-    b = few.select("k", F.col("node").alias("b"), F.col("fp").alias("fb"))
-    close = (F.col("a") < F.col("b")) & _slots_close(F.col("fa"), F.col("fb"), budget)
-    pairs = a.join(b, (a["k"] == b["k"]) & close).select("a", "b")
+    places = F.array(*[F.array(*[F.lit(i) for i in places]) for places in slot_keys(budget)])
+    keys = F.transform(places, lambda x: F.xxhash64(x, F.transform(x, lambda i: F.get(F.col("fp"), i))))
+    keyed = classes.select("node", F.explode(keys).alias("k"))
+    bucket = Window.partitionBy("k")
+    shared = keyed.withColumns({"n": F.count("*").over(bucket), "pivot": F.min("node").over(bucket)}).where("n > 1")
+    shared = materialize(shared, "slot-buckets")
+    # similar classes share many keys; buckets of the same classes are paired once
+    few = shared.where(F.col("n") <= crowded).groupBy("k").agg(F.sort_array(F.collect_list("node")).alias("s")).select("s").distinct()
+    pairs = few.select("s", F.explode("s").alias("a")).select("a", F.explode(F.filter("s", lambda x: x > F.col("a"))).alias("b")).distinct()
+    side = lambda x: classes.select(F.col("node").alias(x), F.col("fp").alias(f"f{x}"))
+    pairs = pairs.join(side("a"), "a").join(side("b"), "b").where(_chains_column(F.col("fa"), F.col("fb"), budget)).select("a", "b")
     many = shared.where(F.col("n") > crowded)
     pairs = pairs.unionByName(many.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))).distinct()
     texts = docs.select(F.xxhash64(text).alias("h"), text.alias("t"))
@@ -271,10 +322,11 @@ def similar_components(
     labels = materialize(connected_components(linked), "slot-labels")
     # exact rest of the crowded buckets: classes not yet with their pivot meet the whole bucket
     placed = labels.withColumnRenamed("component", "l")
-    named = many.select("k", "node", "pivot", "fp").join(placed, "node", "left").withColumn("l", F.coalesce("l", "node"))
+    named = many.select("k", "node", "pivot").join(placed, "node", "left").withColumn("l", F.coalesce("l", "node"))
     home = named.where("node = pivot").select("k", F.col("l").alias("home"))
-    apart = named.join(home, "k").where("l <> home").select("k", F.col("node").alias("a"), F.col("fp").alias("fa"), F.col("l").alias("la"))
-    whole = named.select("k", F.col("node").alias("b"), F.col("fp").alias("fb"), F.col("l").alias("lb"))
+    apart = named.join(home, "k").where("l <> home").select("k", F.col("node").alias("a"), F.col("l").alias("la"))
+    whole = named.join(apart.select("k").distinct(), "k", "left_semi").select("k", F.col("node").alias("b"), F.col("l").alias("lb"))
+    apart, whole = apart.join(side("a"), "a"), whole.join(side("b"), "b")
     rest = apart.join(whole, (apart["k"] == whole["k"]) & (F.col("la") != F.col("lb")) & _slots_close(F.col("fa"), F.col("fb"), budget))
     rest = materialize(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "slot-rest")
     if rest.limit(1).count():

@@ -77,3 +77,25 @@ def test_near_dedup_against_all_pairs(spark):
     assert got.columns == df.columns
     assert sorted(r["doc_id"] for r in got.collect()) == want
     assert H.near_dedup(df.limit(0)).count() == 0
+
+
+def test_slot_keys_and_chains_hold_all_pairs_within_the_budget():
+    rng = np.random.default_rng(3)
+    for similarity in (0.8, 0.9, 0.6):
+        budget = H.slot_budget(similarity)
+        keys = H.slot_keys(budget)
+        a = rng.integers(0, 1 << 20, (3000, H.SLOTS))
+        b, gaps = a.copy(), rng.integers(0, 2 * budget if budget < 32 else H.SLOTS, len(a))
+        gaps[:1000] = budget  # the most that is still within, spread and in a run
+        for i, n in enumerate(gaps):
+            run = (np.arange(n) + rng.integers(H.SLOTS)) % H.SLOTS
+            b[i, run if i % 3 == 0 else rng.permutation(H.SLOTS)[:n]] += 1
+        even = np.arange(budget) * H.SLOTS // budget  # as evenly as can be, so that few segments are equal
+        b[0], b[0, even] = a[0], a[0, even] + 1
+        near = gaps <= budget
+        assert near.any() and not near.all()
+        assert (H.chains_hold(a, b, budget) == near).all()
+        keyed = np.any([(a[:, k] == b[:, k]).all(axis=1) for k in keys], axis=0)
+        assert keyed[near].all()
+    assert len(H.slot_keys(H.slot_budget(0.8))) == 128 and {len(k) for k in H.slot_keys(H.slot_budget(0.8))} == {4}
+    assert len(H.chains_hold(a[:0], b[:0], budget)) == 0
