@@ -3,9 +3,11 @@
 import hashlib
 import re
 
+from pyspark.sql import functions as F
+
 from muster.operators import fusion as U
 from muster.plans import registry
-from muster.plans.views import table, view
+from muster.plans.views import short_view, table, view
 from tests.test_jobs import reports
 
 SF = "/root/testdata/sf0.001"
@@ -43,3 +45,30 @@ def test_clean_text_of_every_language(spark, tmp_path):
     spark.createDataFrame(rows + odd, "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = dict(map(tuple, registry.QUERIES["clean_text_all"](spark, str(tmp_path)).collect()))
     assert got == {i: None if t is None else hashlib.md5(tidy(t).encode()).hexdigest() for i, _, t in rows + odd}
+
+
+def test_fusion_outputs_links_reports_of_all_regions(spark):
+    from collections import Counter
+
+    from tests.test_replay import brute
+
+    r = view(spark, SF, "report").withColumn("hours", F.unix_micros("reported_at") / F.lit(3_600_000_000.0)).drop("embedding")
+    rows = [x.asDict() | {"location_precision": None, "vector": None} for x in r.collect()]
+    want = Counter(incident for _, incident, _, _ in brute(rows, "exact", False))
+    got = {x["incident_id"]: x["report_count"] for x in registry.QUERIES["fusion_outputs"](spark, SF).collect()}
+    assert got == dict(want) and len(got) < len({incident for _, incident, _, _ in brute(rows, "region", False)})
+
+
+def test_short_texts_are_equal_where_normal_forms_are(spark, tmp_path):
+    import os
+
+    texts = ["Fire", " fire ", "fire.", "", "Unknown", None, "FIRE", "smoke"]
+    for t in os.listdir(SF):
+        if t != "documents.parquet":
+            os.symlink(f"{SF}/{t}", tmp_path / t)
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    short = {x["doc_id"]: x["text"] for x in short_view(spark, str(tmp_path)).select("doc_id", "text").distinct().collect()}
+    norm = lambda t: None if t is None or t.strip().lower() in ("", "unknown") else t.strip().lower()
+    assert len(short) == len(texts) and all((short[i] == short[j]) == (norm(a) == norm(b)) for i, a in enumerate(texts) for j, b in enumerate(texts))
+    assert {i for i, t in short.items() if t is None} == {3, 4, 5}
+    assert short_view(spark, str(tmp_path)).count() == view(spark, str(tmp_path), "report").count()
