@@ -1,9 +1,14 @@
 """Pairs by their distinct vectors and by classes of rows are the pairs of a plain join."""
 
+from collections import Counter
+
+import numpy as np
 from pyspark.sql import functions as F
 
+from muster.graph import connected_components
 from muster.operators import candidates as C
 from muster.plans.views import view
+from tests import test_replay
 
 SF = "/root/testdata/sf0.001"
 KEY = ["a_report_id", "b_report_id", "semantic", "score", "relation"]
@@ -97,3 +102,35 @@ def test_candidates_meet_in_a_given_number_of_tasks_and_are_those_of_a_plain_joi
     assert pairs(found) == pairs(r.join(names, F.expr(rule))) and found.columns == [*r.columns, *[f"i_{x}" for x in i.columns if x != "is_synthetic"]]
     plan = found.select("report_id", "i_incident_id")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("REPARTITION_BY_NUM") == 2
+
+
+def seen(spark, n=400, hours=30, seed=3):
+    """Reports whose vectors can all be used; few of them, so that reports share them."""
+    rows = [r for r in test_replay.made(n, hours, seed) if r["hours"] is not None]
+    vectors = [r["vector"] for r in rows if r["vector"]][:12]
+    return test_replay.frame(spark, [r | {"vector": vectors[k % 12]} for k, r in enumerate(rows)])
+
+
+def test_pairs_scored_in_arrays_are_those_of_columns(spark, monkeypatch):
+    monkeypatch.setattr(C, "PAIR_STEP", 700)
+    reports = seen(spark)
+    names = [x.split()[0] for x in C.GIVEN["pairs"].split(", ")]
+    want = C.correlate(C.candidate_pairs(reports, True, dim=8), True).select(*names).collect()
+    matched = {tuple(x) for x in want if x["relation"] != "INITIAL"}
+    assert {x[7] for x in matched} == {"UNCERTAIN", "DUPLICATE", "CORROBORATING"}
+    got = C.alike_scores(reports, C.least_cosine(), "pairs", dim=8).collect()
+    assert len(got) == len(matched) and {tuple(x) for x in got} == matched
+    every = Counter((x["relation"], x["kind"]) for x in want)
+    counts = C.alike_scores(reports, -1.0, "relations", dim=8).groupBy("relation", "kind").agg(F.sum("n").alias("n")).collect()
+    assert {(x["relation"], x["kind"]): x["n"] for x in counts} == every and len({k for _, k in every}) == 6
+    high = C.alike_scores(reports, -1.0, "highest", dim=8).groupBy("kind").agg(F.max("high").alias("high")).collect()
+    assert dict(map(tuple, high)) == {k: max(x["score"] for x in want if x["kind"] == k) for k in {x["kind"] for x in want}}
+    edges = C.alike_scores(reports, C.least_cosine(), "edges", dim=8)
+    a, b = (connected_components(e).collect() for e in (edges, spark.createDataFrame([x[:2] for x in matched], "a string, b string")))
+    assert sorted(map(tuple, a)) == sorted(map(tuple, b)) and edges.count() < len(matched)
+
+
+def test_rounding_is_that_of_columns(spark):
+    values = [0.70004999999999995, 0.70005, 0.123450000001, 0.5, 0.55 * 0.8181 + 0.2 * 0.5 + 0.25 * 0.6] + [k * 0.000005 for k in range(4000)]
+    want = [x[0] for x in spark.createDataFrame([(v,) for v in values], "v double").select(F.round("v", 4)).collect()]
+    assert C.rounded(np.array(values)).tolist() == want
