@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from muster.graph import connected_components
 from muster.operators import candidates as C
+from muster.operators import fusion as U
 from muster.plans.views import view
 from tests import test_replay
 
@@ -134,3 +135,15 @@ def test_rounding_is_that_of_columns(spark):
     values = [0.70004999999999995, 0.70005, 0.123450000001, 0.5, 0.55 * 0.8181 + 0.2 * 0.5 + 0.25 * 0.6] + [k * 0.000005 for k in range(4000)]
     want = [x[0] for x in spark.createDataFrame([(v,) for v in values], "v double").select(F.round("v", 4)).collect()]
     assert C.rounded(np.array(values)).tolist() == want
+
+
+def test_components_of_linked_vectors_at_once(spark, monkeypatch):
+    reports = seen(spark, n=150, hours=60)
+    pairs = C.correlate(C.candidate_pairs(reports, True, dim=8), True)
+    want = {tuple(x) for x in U.fuse_components(pairs, reports).collect()}
+    assert len({c for _, c in want}) not in (1, len(want))
+    once = C.matched_components(reports, dim=8)
+    assert {tuple(x) for x in U.with_components(reports, once).collect()} == want
+    monkeypatch.setattr(C, "CLOSED_ROWS", 5)
+    assert C.alike_scores(reports, C.least_cosine(), "components", dim=8) is None
+    assert {tuple(x) for x in U.with_components(reports, C.matched_components(reports, dim=8)).collect()} == want
