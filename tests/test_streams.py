@@ -1,5 +1,6 @@
 """Streams over the whole report view lose no row and agree with the batch forms."""
 
+import glob
 import os
 import time
 
@@ -121,3 +122,16 @@ def test_files_of_a_stream_grow_in_number_with_the_table(spark, monkeypatch):
     made = [f for f in os.listdir(asked[0]) if f.startswith("part-")]
     assert len(made) >= len(want) // 100 and spark.read.parquet(asked[0]).columns == ["report_id", "reported_at"]
     assert max(spark.read.parquet(f"{asked[0]}/{f}").count() for f in made) < 300
+
+
+def test_streamed_files_hold_no_whole_texts(spark):
+    from muster.plans import q_stream
+
+    s = q_stream.streamed(spark, SF)
+    path = max(glob.glob(f"{shared_dir(spark).removeprefix('file:')}/muster-in-*"), key=os.path.getmtime)
+    texts = [r["text"] for r in spark.read.schema(s.schema).parquet(path).select("text").collect()]
+    assert len(texts) == view(spark, SF, "report").count() and max(map(len, texts)) <= 16
+    assert len(set(texts)) == view(spark, SF, "report").select(F.lower(F.trim("text"))).distinct().count()
+    out, schema = q_stream.routed_late(spark, SF)
+    rows = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{out}/in_time", f"{out}/late").select("text").collect()
+    assert len(rows) == len(texts) and max(len(r["text"]) for r in rows) <= 16
