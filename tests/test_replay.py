@@ -190,3 +190,15 @@ def test_few_and_many_open_incidents_are_decided_alike(monkeypatch):
         fuser = R.Fuser()
         got.append(([fuser.add(r) for r in rows], fuser.state(4.0)))
     assert got[0] == got[1] and len(got[0][1]) > 5
+
+
+def test_tables_that_no_later_step_reads_are_deleted(spark):
+    import glob
+
+    from muster.runtime import shared_dir
+
+    here = lambda: set(glob.glob(f"{shared_dir(spark).removeprefix('file:')}/muster-*"))
+    rows, before = made(200, 8, 11), here()
+    out = U.fuse_replay(frame(spark, rows), "exact", slice_rows=40)
+    left = {p.split("muster-")[-1].rsplit("-", 1)[0] for p in here() - before}
+    assert links(out) == brute(rows, "exact", False) and not left & {"blocks", "replay", "slices"} and "replayed" in left
